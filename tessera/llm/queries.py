@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from tessera.llm.packing import op3_packing
+from tessera.llm.quality import op8_quality_rules
 from tessera.llm.suffix_dedup import op7_suffix_dedup
 
 
 def queries():
-    return {f.__name__: f for f in (op7_suffix_dedup,)}
+    return {f.__name__: f for f in (op3_packing, op7_suffix_dedup, op8_quality_rules)}
 
 
 def oracle_sql():
