@@ -70,20 +70,21 @@ def gram_hashes(values: np.ndarray, size: int) -> np.ndarray:
 
 
 class Spans:
-    """Hashes of any spans of a byte array, by sums of keyed powers."""
+    """Hashes of any spans of a byte array, by sums of keyed powers; a span's hash depends on its bytes alone."""
 
     def __init__(self, data: np.ndarray, seed: int):
-        n = len(data)
-        power = np.full(n + 1, BASE, U64)
-        inverse = np.full(n + 1, BASE_INV, U64)
-        power[0] = inverse[0] = 1
-        np.multiply.accumulate(power, out=power)
-        self.inverse = np.multiply.accumulate(inverse)
-        self.sums = np.zeros(n + 1, U64)
-        np.cumsum(byte_keys(seed)[data] * power[:n], out=self.sums[1:])
+        self.n = len(data)
+        self.power = np.full(self.n + 1, BASE, U64)
+        self.power[0] = 1
+        np.multiply.accumulate(self.power, out=self.power)
+        self.sums = np.zeros(self.n + 1, U64)
+        keyed = byte_keys(seed)[data]
+        keyed *= self.power[:-1]
+        np.cumsum(keyed, out=self.sums[1:])
+        self.scale = U64(pow(BASE_INV, self.n, 1 << 64))
 
     def hash(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        return mix((self.sums[end] - self.sums[start]) * self.inverse[start] + (end - start).astype(U64))
+        return mix((self.sums[end] - self.sums[start]) * self.power[self.n - start] * self.scale + (end - start).astype(U64))
 
 
 def sums_at(values: np.ndarray, offsets: np.ndarray, kind=np.int64) -> np.ndarray:

@@ -38,7 +38,7 @@ WINDOW, GRAM = 50, 20
 #: Grams in a window.
 SLIDE = WINDOW - GRAM + 1
 #: Bytes of text in a block; positions worked on at once; text for each bucket of hashes and runs.
-BLOCK, STRIDE, BUCKET = 12 << 20, 1 << 20, 24 << 20
+BLOCK, STRIDE, BUCKET = 4 << 20, 1 << 17, 8 << 20
 LAST = np.iinfo(np.int64).max
 _LOW = U64((1 << 48) - 1)
 _PLACE = U64((1 << 24) - 1)
