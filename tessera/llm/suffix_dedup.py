@@ -206,21 +206,45 @@ def _shared(table: pa.Table) -> pa.Table:
     blocks = table.column("block").to_numpy()
     order = np.argsort(blocks, kind="stable")
     payloads = table.column("payload")
-    parts = [_from_six(payloads[int(i)].as_py()) for i in order]
-    every = np.concatenate(parts) if parts else np.zeros(0, U64)
+    packed = [payloads[int(i)].as_py() for i in order]
+    every = _from_six(b"".join(packed))
     gram, several = every & ~U64(1), (every & U64(1)).astype(bool)
-    ranked = np.sort(gram)
-    twice = np.unique(np.concatenate([ranked[1:][ranked[1:] == ranked[:-1]], gram[several]]))
-    out = [[], [], []]
-    for i, part in zip(order, parts, strict=True):
-        mine = part & ~U64(1)
-        mine = np.sort(mine[np.isin(mine, twice)]) if len(twice) else mine[:0]
+    by = np.argsort(gram)
+    ranked = gram[by]
+    new = np.ones(len(by), bool)
+    new[1:] = ranked[1:] != ranked[:-1]
+    head = np.flatnonzero(new)
+    size = np.diff(np.append(head, len(by)))
+    known = np.zeros(len(by), bool)
+    known[by] = np.repeat((size > 1) | np.logical_or.reduceat(several[by], head), size) if len(by) else False
+    out: list[list] = [[], [], []]
+    ends = np.cumsum([0, *(len(p) // 6 for p in packed)])
+    name = table.column("bucket")[0].as_py().to_bytes(8, "little")
+    for i, a, b in zip(order, ends[:-1], ends[1:], strict=True):
+        mine = np.sort(gram[a:b][known[a:b]])
         if len(mine):
-            for column, value in zip(out, (int(blocks[i]), 1, table.column("bucket")[int(i)].as_py().to_bytes(8, "little") + _six(mine)), strict=True):
+            for column, value in zip(out, (int(blocks[i]), 1, name + _six(mine)), strict=True):
                 column.append(value)
     return pa.Table.from_batches([_batch(_BACK[0], out, _BACK[1])])
 
 
+def _alike(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The first of each set of equal spans, and the set of each span; two hashes must agree.
+
+    Should one hash collide, equal spans may come out as several sets, which the digit passes bring together again.
+    """
+    if not len(start):
+        return start, start
+    one, two = (Spans(data, seed).hash(start, end) for seed in (23, 37))
+    order = np.argsort(one)
+    one, two = one[order], two[order]
+    new = np.ones(len(order), bool)
+    new[1:] = (one[1:] != one[:-1]) | (two[1:] != two[:-1])
+    index = np.empty(len(order), np.int64)
+    index[order] = np.cumsum(new) - 1
+    return order[new], index
+
+
 def _open(left: pa.Table, right: pa.Table, kind: int) -> tuple[pa.Table | None, list[bytes]]:
     """The block's rows, and the payloads of one kind that came back for it."""
     rows = _unpack(left.column("payload")[0].as_py()) if left.num_rows else None
@@ -263,12 +287,7 @@ class _Repeats:
         self.bucket = bucket[head]
         self.row = np.searchsorted(self.offsets, self.start, "right") - 1
         end = self.start + self.count + WINDOW - 1
-        if len(head):
-            key = np.empty(len(head), [("a", U64), ("b", U64)])
-            key["a"], key["b"] = Spans(self.data, 23).hash(self.start, end), Spans(self.data, 37).hash(self.start, end)
-            _, self.first, self.index = np.unique(key, return_index=True, return_inverse=True)
-        else:
-            self.first = self.index = none
+        self.first, self.index = _alike(self.data, self.start, end)
         self.least = np.full(len(self.first), LAST)
         np.minimum.at(self.least, self.index, self.ids[self.row])
 
@@ -309,7 +328,9 @@ def digit_groups(text: np.ndarray, start: np.ndarray, depth: int = WINDOW) -> np
     Four bytes are a digit. After each pass a suffix that no other shares its prefix with drops out.
     """
     padded = np.concatenate([text, np.zeros(4, np.uint8)])
-    four = padded[:-3].astype(U64) << U64(24) | padded[1:-2].astype(U64) << U64(16) | padded[2:-1].astype(U64) << U64(8) | padded[3:].astype(U64)
+    four = np.zeros(len(text) + 1, np.uint32)
+    for i in range(4):
+        four |= padded[i : len(padded) - 3 + i].astype(np.uint32) << np.uint32(24 - 8 * i)
     alive, group = np.arange(len(start)), np.zeros(len(start), U64)
     for at in [*range(0, depth - 3, 4), *([depth - 4] if depth % 4 else [])]:
         key = group << U64(32) | four[start[alive] + at]
@@ -342,9 +363,7 @@ def _radix(table: pa.Table) -> pa.Table:
         block = np.array(blocks)
         run, least, size = (np.concatenate([p.column(c).to_numpy() for p in parts]) for c in ("run", "least", "size"))
         at = np.concatenate([[0], np.cumsum(size)])[:-1]
-        key = np.empty(len(at), [("a", U64), ("b", U64)])
-        key["a"], key["b"] = Spans(text, 23).hash(at, at + size), Spans(text, 37).hash(at, at + size)
-        _, first, same = np.unique(key, return_index=True, return_inverse=True)
+        first, same = _alike(text, at, at + size)
         low = np.full(len(first), LAST)
         np.minimum.at(low, same, least)
         count = (size[first] - WINDOW + 1).astype(np.int64)
