@@ -113,8 +113,11 @@ def verify(texts: pa.ChunkedArray, side: np.ndarray | None, size: int, threshold
     data, offsets = text_bytes(texts)
     row, hashes = shingles(data, offsets, size)
     n = len(offsets) - 1
-    pair = np.unique(np.rec.fromarrays([row, hashes])) if len(row) else np.rec.fromarrays([row, hashes])
-    row, hashes = pair["f0"], pair["f1"]
+    order = np.lexsort((hashes, row))
+    row, hashes = row[order], hashes[order]
+    new = np.ones(len(row), bool)
+    new[1:] = (row[1:] != row[:-1]) | (hashes[1:] != hashes[:-1])
+    row, hashes = row[new], hashes[new]
     count = np.bincount(row, minlength=n)
     _, place, often = np.unique(hashes, return_inverse=True, return_counts=True)
     shared = often[place] > 1

@@ -44,8 +44,11 @@ _LOW = U64((1 << 48) - 1)
 _PLACE = U64((1 << 24) - 1)
 
 
-def remove_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """All columns of docs, then kept (binary: the bytes that stay) and removed (array of start and end of each run taken out)."""
+def remove_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", whole_characters: bool = False) -> DataFrame:
+    """All columns of docs, then kept (binary: the bytes that stay) and removed (array of start and end of each run taken out).
+
+    With whole_characters, a character stays unless all its bytes are to go, so that kept is valid UTF-8.
+    """
     prepare(docs.sparkSession)
     kept, removed = fresh(docs, "kept", "removed")
     size = docs.agg(F.coalesce(F.sum(F.octet_length(text)), F.lit(0))).first()[0]
@@ -61,7 +64,7 @@ def remove_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id")
     runs = blocks.groupBy("block").cogroup(shared.groupBy("block")).applyInArrow(_runs(at_text, at_id, buckets), "bucket long, block long, payload binary")
     least = runs.groupBy("bucket").applyInArrow(_radix, "block long, kind int, payload binary")
     schema = T.StructType([*[T.StructField(f"c{i}", t) for i, t in enumerate(types)], T.StructField("kept", T.BinaryType()), T.StructField("removed", T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())])))])
-    out = blocks.groupBy("block").cogroup(shared.unionByName(least).groupBy("block")).applyInArrow(_cut(at_text, at_id, buckets), schema)
+    out = blocks.groupBy("block").cogroup(shared.unionByName(least).groupBy("block")).applyInArrow(_cut(at_text, at_id, buckets, whole_characters), schema)
     return out.toDF(*columns, kept, removed)
 
 
@@ -398,7 +401,7 @@ def _radix(table: pa.Table) -> pa.Table:
     return pa.Table.from_batches([_batch(_BACK[0], out, _BACK[1])])
 
 
-def _cut(at_text: int, at_id: int, buckets: int):
+def _cut(at_text: int, at_id: int, buckets: int, whole_characters: bool):
     def make(left: pa.Table, right: pa.Table) -> pa.Table:
         rows, replies = _open(left, right, 1)
         r = _Repeats(rows, replies, at_text, at_id, buckets)
@@ -420,6 +423,11 @@ def _cut(at_text: int, at_id: int, buckets: int):
         np.add.at(depth, start, 1)
         np.add.at(depth, start + WINDOW, -1)
         gone = np.cumsum(depth[:-1]) > 0
+        if whole_characters and len(gone):
+            character = np.cumsum((r.data & 0xC0) != 0x80) - 1
+            stays = np.zeros(character[-1] + 1, bool)
+            stays[character[~gone]] = True
+            gone = ~stays[character]
         # maximal runs, cut at the ends of documents
         edge = np.zeros(len(gone) + 1, bool)
         edge[r.offsets] = True
