@@ -99,10 +99,8 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for block in _blocks(batches):
         last = None
         for row, i, marker, features, _ in _split(block):
-            role = row["role"]
-            if i or marker:
-                # a label belongs to a whole turn; segments of a marked-up one may be others'
-                role = MARKERS.get(marker, role) if i else role
+            # a label belongs to a turn's first segment; others, and those without one, go by their markers
+            role = MARKERS.get(marker, row["role"]) if i or row["role"] is None else row["role"]
             if role is None:
                 last = None
                 continue
