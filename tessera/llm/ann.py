@@ -220,7 +220,8 @@ def search(graph: DataFrame, queries: DataFrame, nearest: int = NEAREST, beam: i
     asked = queries.select(F.col("id").alias("query_id"), "vector", F.pmod(F.xxhash64("id"), F.lit(blocks)).alias("block"))
     # every block of queries meets every shard of its dimension, and each meeting is one task's work
     last = F.coalesce(*[F.when(F.size("vector") == r["d"], F.lit(int(r["last"]))) for r in counts], F.lit(0)).cast("long")
-    asked = asked.select("query_id", "vector", "block", (F.explode(F.sequence(F.lit(0).cast("long"), last)) * 100_000 + F.size("vector")).alias("shard"))
+    named = F.transform(F.sequence(F.lit(0).cast("long"), last), lambda i: i * 100_000 + F.size("vector"))
+    asked = asked.select("query_id", "vector", "block", F.explode(named).alias("shard"))
     here = graph.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
     found = here.groupBy("shard", "block").cogroup(asked.groupBy("shard", "block")).applyInArrow(_search(nearest, beam), "query_id long, vec_id long, score double")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
