@@ -5,12 +5,12 @@ The posterior over languages, and over "und" for text that fits none, is the pro
 - a host prior: counts of first-pass languages by host, smoothed towards the host's parent domain, that towards its
   last label, that towards the whole corpus (one grouped aggregation per level, each a Dirichlet prior of STRENGTH
   rows for the next);
-- the text's likelihood under a naive Bayes model of byte 1- to 3-grams, tempered by TEMPER as n-grams overlap;
+- the text's likelihood under a naive Bayes model of byte trigrams, tempered by TEMPER as they overlap;
 - the likelihood of the declared language, and that of the address hint (a two-letter path segment or subdomain, else
   the country suffix), each from counts of the hint by first-pass language over the whole corpus.
 
-The text model is fitted on FIT_ROWS labelled rows per language of at most FIT_BYTES bytes (parameters): rows whose
-declared language is one of the most declared, by least hash. Counts for priors and hints cover every row. Host priors
+The text model is fitted on a sample of about FIT_ROWS labelled rows per language, of at most FIT_BYTES bytes each
+(parameters), for the MOST_LANGUAGES languages declared most. Counts for priors and hints cover every row. Host priors
 reach the rows by a join on the host; it is broadcast only if it has BROADCAST rows at most, else both sides are
 shuffled with the rows of a host spread over SALTS sub-keys.
 
@@ -33,11 +33,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.llm.common import fresh, prepare
-from tessera.llm.kernels import U64, byte_keys, gram_hashes, sums_at, text_bytes
+from tessera.llm.kernels import sums_at, text_bytes
 from tessera.llm.quality import slices
 
 FIT_ROWS, FIT_BYTES, MOST_LANGUAGES = 600, 16384, 64
-BITS, TEMPER, STRENGTH, LEAST = 16, 0.1, 20.0, 0.5
+BITS, TEMPER, STRENGTH, LEAST = 16, 0.2, 20.0, 0.5
 BROADCAST, SALTS = 50_000, 32
 #: Country suffixes that hint at a language. Fixed values.
 COUNTRY = {"de": "de", "at": "de", "fr": "fr", "es": "es", "mx": "es", "ar": "es", "it": "it", "pt": "pt", "br": "pt", "nl": "nl", "pl": "pl", "ru": "ru", "jp": "ja", "cn": "zh", "kr": "ko", "uk": "en", "us": "en", "au": "en", "ie": "en"}
@@ -49,7 +49,7 @@ _FOLD[128:] = np.arange(128, 256)
 
 @dataclass
 class TextModel:
-    """Log-probabilities of hashed n-grams, a row of the table per language and a flat one for "und"."""
+    """Log-probabilities of hashed trigrams: a row of the table for each, a column per language and a flat one for "und"."""
 
     languages: list[str]
     table: np.ndarray
@@ -58,34 +58,40 @@ class TextModel:
         """Log-likelihood by row and language, and whether a row has a letter."""
         folded = _FOLD[data]
         out = np.zeros((len(offsets) - 1, len(self.languages)))
-        for places, whole in grams(folded, offsets):
-            for k, logs in enumerate(self.table):
-                out[:, k] += sums_at(np.where(whole, logs[places], 0), offsets, np.float64)
+        places, row = trigrams(folded, offsets)
+        if len(row):
+            heads = np.flatnonzero(np.diff(row, prepend=-1))
+            for k in range(0, out.shape[1], 8):  # a few languages at once, to bound memory
+                out[row[heads], k : k + 8] = np.add.reduceat(self.table[:, k : k + 8][places], heads, axis=0, dtype=np.float64)
         return out, sums_at(folded != 32, offsets) > 0
 
 
-def grams(folded: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """For each n: the hashed n-gram that starts at each byte, and whether it counts (inside its row, not all blank)."""
-    row = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
-    keys, n = byte_keys(9)[folded], len(folded)
-    for size in (1, 2, 3):
-        whole = np.zeros(n, bool)
-        whole[: n - size + 1] = row[: n - size + 1] == row[size - 1 :] if n >= size else False
-        yield (gram_hashes(keys, size) >> U64(64 - BITS + 1)).astype(np.int64) + (size == 3) * (1 << (BITS - 1)), whole & (folded != 32)
+def trigrams(folded: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The hashed three bytes around each letter (a blank beyond a row's ends), and its row."""
+    x = folded.astype(np.uint32)
+    before, after = np.full_like(x, 32), np.full_like(x, 32)
+    before[1:], after[:-1] = x[:-1], x[1:]
+    size = np.diff(offsets)
+    before[offsets[:-1][size > 0]] = 32
+    after[offsets[1:][size > 0] - 1] = 32
+    hashed = before * np.uint32(0x9E3779B1) + x * np.uint32(0x85EBCA77) + after * np.uint32(0xC2B2AE3D)
+    hashed ^= hashed >> np.uint32(15)
+    hashed *= np.uint32(0x2C1B3C6D)
+    letters = np.flatnonzero(folded != 32)
+    return (hashed[letters] >> np.uint32(32 - BITS)), np.repeat(np.arange(len(size)), size)[letters]
 
 
 def fit(texts: list[str], languages: list[str]) -> TextModel:
-    """Naive Bayes with a small constant added to every count; "und" has all n-grams alike."""
+    """Naive Bayes with a small constant added to every count; "und" has all trigrams seen alike."""
     names = sorted(set(languages))
     counts = np.zeros((len(names), 1 << BITS))
     for text, language in zip(texts, languages, strict=True):
         data = np.frombuffer(text.encode(), np.uint8)
-        for places, whole in grams(_FOLD[data], np.array([0, len(data)])):
-            counts[names.index(language)] += np.bincount(places[whole], minlength=1 << BITS)
+        counts[names.index(language)] += np.bincount(trigrams(_FOLD[data], np.array([0, len(data)]))[0], minlength=1 << BITS)
     seen = max(1, (counts.sum(0) > 0).sum())
     table = np.log((counts + 0.05) / (counts.sum(1, keepdims=True) + 0.05 * (1 << BITS)))
-    flat = np.full((1, 1 << BITS), np.log(1 / (8 * seen))) if names else np.zeros((1, 1 << BITS))
-    return TextModel([*names, "und"], np.concatenate([table, flat]).astype(np.float32))
+    flat = np.full((1, 1 << BITS), np.log(1 / (8 * seen)) if names else 0.0)
+    return TextModel([*names, "und"], np.ascontiguousarray(np.concatenate([table, flat]).T.astype(np.float32)))
 
 
 def declared(html: Column) -> Column:
@@ -178,20 +184,15 @@ def hint_table(counts: DataFrame, column: str, languages: list[str]) -> dict[str
 
 def train(rows: DataFrame, languages: list[str] | None = None, fit_rows: int = FIT_ROWS) -> TextModel:
     """Fit the text model on rows with text and declared columns."""
-    if languages is None:
-        top = rows.filter("declared rlike '^[a-z]{2,3}$' and declared != 'und'").groupBy("declared").count().orderBy(F.desc("count"), "declared").limit(MOST_LANGUAGES).collect()
-        languages = [r[0] for r in top]
-    order = F.xxhash64("text")
-    small = rows.filter(F.col("declared").isin(languages or [""])).filter((F.octet_length("text") > 200) & (F.octet_length("text") <= FIT_BYTES))
-    texts, names = [], []
-    for language in languages:
-        mine = small.filter(F.col("declared") == language).select(order.alias("h"))
-        least = mine.orderBy("h").limit(fit_rows).agg(F.max("h")).first()[0]
-        if least is not None:
-            found = small.filter((F.col("declared") == language) & (order <= least)).dropDuplicates(["text"]).limit(fit_rows).select("text").toArrow().column(0).to_pylist()
-            texts += sorted(found)
-            names += [language] * len(found)
-    return fit(texts, names)
+    counts = rows.filter("declared rlike '^[a-z]{2,3}$' and declared != 'und'").groupBy("declared").count()
+    if languages is not None:
+        counts = counts.filter(F.col("declared").isin(languages or [""]))
+    top = counts.orderBy(F.desc("count"), "declared").limit(MOST_LANGUAGES).collect()
+    share = {r["declared"]: min(1.0, 1.5 * fit_rows / r["count"]) for r in top}
+    chance = F.coalesce(*[F.when(F.col("declared") == k, F.lit(v)) for k, v in share.items()], F.lit(0.0))
+    small = rows.filter(F.rand(11) < chance).filter((F.octet_length("text") > 200) & (F.octet_length("text") <= FIT_BYTES))
+    found = small.select("declared", "text").limit(2 * fit_rows * max(1, len(share))).toArrow().sort_by([("declared", "ascending"), ("text", "ascending")])
+    return fit(found.column("text").to_pylist(), found.column("declared").to_pylist())
 
 
 def identify(docs: DataFrame, text: str | Column = "text", declared: str | Column | None = None, url: str | Column | None = None, host: str | Column | None = None, model: TextModel | None = None, temper: float = TEMPER, strength: float = STRENGTH, least: float = LEAST) -> DataFrame:
