@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tessera.llm import oracles
 from tessera.llm.ann import op6_nearest_neighbours
 from tessera.llm.bpe import op5_byte_bpe
 from tessera.llm.chat import op4_chat_formatting
@@ -30,4 +31,4 @@ def queries():
 
 
 def oracle_sql():
-    return {}
+    return {"op7_suffix_dedup": oracles.SUFFIX_DEDUP, "op10_jaccard_join": oracles.JACCARD_JOIN}
