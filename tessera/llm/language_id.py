@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.common import fresh, prepare
+from tessera.llm.common import fresh, keep, prepare
 from tessera.llm.kernels import sums_at, text_bytes
 from tessera.llm.quality import slices
 
@@ -207,7 +207,7 @@ def identify(docs: DataFrame, text: str | Column = "text", declared: str | Colum
     hint = hint_of(url, names)
     at_text, at_said, at_hint, at_host, at_prior, at_salt = fresh(docs, "text_", "declared_", "hint_", "host_", "prior_", "salt_")
     counts = _evidence(docs.select(text.alias("text"), host.alias("host"), said.alias("declared"), hint.alias("hint")), model)
-    counts = counts.groupBy("host", "declared", "hint", "language").agg(F.sum("n").alias("n")).cache()
+    counts = keep(counts.groupBy("host", "declared", "hint", "language").agg(F.sum("n").alias("n")), "evidence")
     tables = hint_table(counts, "declared", names), hint_table(counts, "hint", names)
     priors = host_priors(counts, names, strength).select(F.col("host").alias(at_host), F.col("prior").alias(at_prior))
     hosts = counts.select("host").distinct().count()
