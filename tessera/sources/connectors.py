@@ -16,7 +16,7 @@ R = Registry()
 
 def shared_folder(spark: SparkSession) -> str:
     """A new folder below the one in spark.checkpoint.dir; a local one only where that is unset, as in tests."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
     if not base:
         base = tempfile.mkdtemp(prefix="tessera-")
         spark.sparkContext.setCheckpointDir(base)
