@@ -1,7 +1,7 @@
 """Byte-level BPE encoding and decoding, the merges folded by Spark's higher-order functions.
 
 Method: every match of the pattern is a word, encoded by itself. Documents are taken in chunks of about CHUNK bytes;
-a chunk carries its distinct words as byte arrays and its documents as places in that list. A fold over each distinct
+a chunk carries its distinct words as arrays of their bytes (as ids) and its documents as places in that list. A fold over each distinct
 word merges the adjacent pair of least rank (the leftmost, if several have it), one merge a step, until no pair is in
 the rank map. The rank map is one literal of the plan (an array of small maps by hash, as Spark searches a map entry
 by entry). Chunks are then put together again from the words' ids.
@@ -19,10 +19,11 @@ chunk makes a chunk of its own.
 from __future__ import annotations
 
 import base64
+import hashlib
 import json
-import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from itertools import batched
 
 import numpy as np
 import public_tokenizers
@@ -33,12 +34,15 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import prepare
 from tessera.llm.kernels import text_bytes
+from tessera.llm.quality import slices
 
-CHUNK, CACHE_ROWS, CACHE_WORDS = 8 << 20, 8192, 400_000
-#: Maps in the rank literal, and the rank of what is not in it.
-MAPS, NONE = 1 << 14, (1 << 31) - 1
-_CHUNK_SCHEMA = "rows binary, places binary, counts binary, words array<binary>"
-_CHUNK_ARROW = pa.schema([("rows", pa.binary()), ("places", pa.binary()), ("counts", pa.binary()), ("words", pa.list_(pa.binary()))])
+CHUNK, CACHE_ROWS, CACHE_WORDS = 24 << 20, 24_000, 800_000
+#: Maps in the rank literal (a prime), the bound of ids, and the unit of ranks in a part's entry: ids and places lie below it.
+MAPS, IDS, RANK = 65_521, 1 << 17, 1 << 45
+_CHUNK_SCHEMA = "rows binary, places binary, counts binary, words array<array<bigint>>"
+_CHUNK_ARROW = pa.schema([("rows", pa.binary()), ("places", pa.binary()), ("counts", pa.binary()), ("words", pa.list_(pa.list_(pa.int64())))])
+#: New words in one row.
+PART = 4096
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -47,54 +51,77 @@ def read_ranks(path: str) -> dict[bytes, int]:
 
 
 def rank_literal(ranks: dict[bytes, int]) -> Column:
-    """The rank map as one literal: array<map<string, int>>, the map of a piece (by its hex digits) at its CRC-32 modulo MAPS.
+    """The rank map as one literal: array<map<string, int>>, with the rank of every two tokens that join to a third.
 
-    It is written as JSON of a fixed size, which the optimizer folds to a value before anything runs.
+    The key of ids a and b is a * IDS + b, and its map that at its remainder by MAPS. It is written as JSON of a fixed
+    size, which the optimizer folds to a value before anything runs.
     """
     maps: list[dict[str, int]] = [{} for _ in range(MAPS)]
     for piece, rank in ranks.items():
-        maps[zlib.crc32(piece) % MAPS][piece.hex().upper()] = rank
+        for cut in range(1, len(piece)):
+            left, right = ranks.get(piece[:cut]), ranks.get(piece[cut:])
+            if left is not None and right is not None:
+                key = left * IDS + right
+                maps[key % MAPS][str(key)] = rank
     return F.from_json(F.lit(json.dumps(maps, separators=(",", ":"))), "array<map<string,int>>")
 
 
 def encode_words(words: Column, ranks: dict[bytes, int]) -> Column:
-    """array<array<int>>: the ids of each word of an array<binary>."""
+    """array<array<int>>: the ids of each word, from its bytes' entries (array<array<bigint>>, see byte_entries)."""
     return _let(rank_literal(ranks), lambda r: F.transform(words, lambda w: encode_word(w, r)))
 
 
 def encode_word(word: Column, ranks: Column) -> Column:
     """array<int>: the ids of one word.
 
-    The fold's state lists the parts: for each, the rank of it with its successor (NONE if there is no such merge) in the
-    upper half of a long and its start in the lower; a last entry marks the word's end.
+    The fold's state is an array of long, an entry for each part, at first for each byte: the rank of the merge with
+    the next part (IDS if there is none), the part's place and its id, from high bits to low. Its least entry is the
+    leftmost pair of least rank, and that rank is the merged part's id.
     """
-    size = F.octet_length(word)
-    shift = F.lit(1 << 32)
+    low, size = F.lit(RANK - 1), F.size(word)
+    ident = lambda entry: entry.bitwiseAND(F.lit(IDS - 1))
 
-    def rank(start: Column, end: Column) -> Column:
-        return _let(F.substring(word, start + 1, end - start), lambda p: F.coalesce(F.get(ranks, F.pmod(F.crc32(p), F.lit(MAPS)).cast("int"))[F.hex(p)], F.lit(NONE)).cast("long"))
-
-    place = lambda entry: entry.bitwiseAND(F.lit((1 << 32) - 1))
-    start = F.transform(F.sequence(F.lit(0), size), lambda i: F.when(i + 1 < size, rank(i, i + 2)).otherwise(F.lit(NONE).cast("long")) * shift + i)
+    def rank(a: Column, b: Column) -> Column:
+        key = a * IDS + b
+        return F.coalesce(F.get(ranks, (key % MAPS).cast("int"))[key.cast("string")], F.lit(IDS)).cast("long") * RANK
 
     def merge(parts: Column, best: Column) -> Column:
-        """best: the least entry; its part and the next become one."""
+        """best: the least entry; its part and the next become one, whose id is the rank."""
+        merged = F.shiftright(best, RANK.bit_length() - 1)
 
         def at(j: Column) -> Column:
-            left, own, after, last = (place(F.get(parts, j + d)) for d in (-2, -1, 1, 2))
             # j counts from 1, get() from 0
-            before = F.when(j > 1, F.array(rank(left, after) * shift + left)).otherwise(F.array().cast("array<long>"))
-            merged = F.coalesce(F.when(last.isNotNull(), rank(own, last)), F.lit(NONE).cast("long")) * shift + own
-            return F.concat(F.slice(parts, 1, F.greatest(j - 2, F.lit(0))), before, F.array(merged), F.slice(parts, j + 2, F.size(parts)))
+            left, after = F.get(parts, j - 2), F.get(parts, j + 1)
+            before = F.when(j > 1, F.array(rank(ident(left), merged) + left.bitwiseAND(low))).otherwise(F.array().cast("array<long>"))
+            own = F.when(after.isNotNull(), rank(merged, ident(after))).otherwise(F.lit(IDS * RANK)) + best.bitwiseAND(low) - ident(best) + merged
+            return F.concat(F.slice(parts, 1, F.greatest(j - 2, F.lit(0))), before, F.array(own), F.slice(parts, j + 2, size))
 
         return _let(F.array_position(parts, best).cast("int"), at)
 
     def step(parts: Column, _: Column) -> Column:
-        return _let(F.array_min(parts), lambda best: F.when(best < NONE * shift, merge(parts, best)).otherwise(parts))
+        return _let(F.array_min(parts), lambda best: F.when(best < IDS * RANK, merge(parts, best)).otherwise(parts))
+
+    parts = F.reduce(F.slice(word, 2, size), word, step)
+    return F.transform(parts, lambda entry: ident(entry).cast("int"))
+
+
+def pair_ranks(ranks: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray]:
+    """The id of each byte, and the rank of every two bytes (IDS if there is none)."""
+    single = np.array([ranks[bytes([b])] for b in range(256)], np.int64)
+    double = np.array([[ranks.get(bytes([a, b]), IDS) for b in range(256)] for a in range(256)], np.int64)
+    return single, double
+
 
-    parts = F.reduce(F.sequence(F.lit(2), F.greatest(size, F.lit(2))), start, step)
-    ids = lambda p: F.transform(F.slice(p, 1, F.size(p) - 1), lambda entry, i: rank(place(entry), place(F.get(p, i + 1))).cast("int"))
-    return F.when(size == 0, F.array().cast("array<int>")).otherwise(_let(parts, ids))
+def byte_entries(words: pa.Array, tables: tuple[np.ndarray, np.ndarray]) -> pa.Array:
+    """list<int64>: each word as the fold's first state, an entry for each byte."""
+    single, double = tables
+    data, offsets = text_bytes(words)
+    size = np.diff(offsets)
+    rank = np.full(len(data), IDS)
+    rank[:-1] = double[data[:-1], data[1:]]
+    rank[offsets[1:][size > 0] - 1] = IDS
+    place = np.arange(len(data)) - np.repeat(offsets[:-1], size)
+    return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(rank * RANK + place * IDS + single[data]))
 
 
 def _let(value: Column, body) -> Column:
@@ -112,56 +139,71 @@ def _split(column: pa.Array, pattern) -> tuple[pa.Array, np.ndarray]:
     return (pa.concat_arrays(found) if found else pa.array([], pa.string())).cast(pa.binary()), counts
 
 
-def _chunks(pattern: str, known: pa.Array, size: int):
-    """Chunks: the other columns' rows, each word's place (below zero: in the cache), words a row, and words not cached."""
+def _chunks(pattern: str, known: pa.Array, size: int, tables: tuple[np.ndarray, np.ndarray]):
+    """Chunks: rows of PART words that are not cached, then one with the other columns' rows, each word's place (below
+    zero: in the cache) and the number of words a document has."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import regex
 
-        compiled, held, bytes_held = regex.compile(pattern), [], 0
+        compiled = regex.compile(pattern)
+        rest, places, counts, fresh_words, held = [], [], [], [], 0
 
-        def chunk() -> pa.RecordBatch:
-            table = pa.Table.from_batches(held)
-            parts, counts = [], []
-            for piece in table.column("text").chunks:
-                words, n = _split(piece, compiled)
-                parts.append(words.dictionary_encode())
-                counts.append(n)
-            coded = pa.chunked_array(parts).unify_dictionaries().combine_chunks()
-            coded = coded if isinstance(coded, pa.DictionaryArray) else pa.concat_arrays(coded.chunks)
-            distinct = coded.dictionary
-            cached = pc.index_in(distinct, value_set=known)
-            new = cached.is_null().to_numpy(zero_copy_only=False)
-            place = np.where(new, np.cumsum(new) - 1, -1 - cached.fill_null(0).to_numpy(zero_copy_only=False)).astype(np.int32)
-            places = place[coded.indices.to_numpy(zero_copy_only=False)] if len(coded) else np.zeros(0, np.int32)
+        def chunk() -> Iterator[pa.RecordBatch]:
+            coded = pa.chunked_array([w.dictionary_encode() for w in fresh_words], pa.dictionary(pa.int32(), pa.binary())).unify_dictionaries()
+            words = coded.chunk(0).dictionary
+            every = []
+            for place, index in zip(places, coded.chunks, strict=True):
+                index = np.append(index.indices.to_numpy(), 0)
+                every.append(np.where(place >= 0, index[np.maximum(place, 0)], place).astype(np.int32))
             sink = pa.BufferOutputStream()
-            rest = table.drop_columns(["text"])
-            with pa.ipc.new_stream(sink, rest.schema) as out:
-                out.write_table(rest)
-            lists = pa.ListArray.from_arrays(pa.array([0, int(new.sum())], pa.int32()), distinct.filter(pa.array(new)))
-            return pa.RecordBatch.from_arrays([pa.array([sink.getvalue().to_pybytes()], pa.binary()), pa.array([places.tobytes()], pa.binary()), pa.array([np.concatenate(counts).astype(np.int64).tobytes()], pa.binary()), lists], schema=_CHUNK_ARROW)
-
-        for batch in batches:
-            _, offsets = text_bytes(batch.column("text"))
-            start = 0
-            while start < batch.num_rows:
-                end = min(batch.num_rows, max(start + 1, int(np.searchsorted(offsets, offsets[start] + size - bytes_held, "right")) - 1))
-                held.append(batch.slice(start, end - start))
-                bytes_held += int(offsets[end] - offsets[start])
-                if bytes_held >= size * 3 // 4:
-                    yield chunk()
-                    held, bytes_held = [], 0
-                start = end
-        if held:
-            yield chunk()
+            with pa.ipc.new_stream(sink, rest[0].schema) as out:
+                for batch in rest:
+                    out.write_batch(batch)
+            for at in range(0, len(words), PART):
+                part = byte_entries(words.slice(at, PART), tables)
+                yield _row(None, None, None, part)
+            yield _row(sink.getvalue().to_pybytes(), _squeezed(np.concatenate(every)), _squeezed(np.concatenate(counts)), part[:0] if len(words) else byte_entries(words, tables))
+
+        for whole in batches:
+            for batch in slices(whole, whole.num_columns - 1, 4 << 20):
+                words, n = _split(batch.column(batch.num_columns - 1), compiled)
+                coded = words.dictionary_encode()
+                cached = pc.index_in(coded.dictionary, value_set=known)
+                new = cached.is_null()
+                which = new.to_numpy(zero_copy_only=False)
+                # below zero: the place in the cache; else that among the batch's new words
+                place = np.where(which, np.cumsum(which) - 1, -1 - cached.fill_null(0).to_numpy(zero_copy_only=False))
+                places.append(place[coded.indices.to_numpy()] if len(coded) else place[:0])
+                fresh_words.append(coded.dictionary.filter(new))
+                counts.append(n)
+                rest.append(batch.select(batch.schema.names[:-1]))
+                held += words.nbytes
+                if held >= size * 2:  # text and an offset for each word
+                    yield from chunk()
+                    rest, places, counts, fresh_words, held = [], [], [], [], 0
+        if rest:
+            yield from chunk()
 
     return run
 
 
-def _flat(column: pa.ChunkedArray) -> pa.Array:
-    """The elements of all lists of a column."""
-    parts = [chunk.flatten() for chunk in column.chunks]
-    return pa.concat_arrays(parts) if parts else pa.array([], column.type.value_type)
+def _row(rows: bytes | None, places: bytes | None, counts: bytes | None, words: pa.Array) -> pa.RecordBatch:
+    lists = pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), words)
+    return pa.RecordBatch.from_arrays([*(pa.array([x], pa.binary()) for x in (rows, places, counts)), lists], schema=_CHUNK_ARROW)
+
+
+def _squeezed(x: np.ndarray) -> bytes:
+    return x.nbytes.to_bytes(8, "little") + pa.compress(x.tobytes(), codec="zstd", asbytes=True)
+
+
+def _unsqueezed(payload: bytes, kind: type) -> np.ndarray:
+    return np.frombuffer(pa.decompress(payload[8:], decompressed_size=int.from_bytes(payload[:8], "little"), codec="zstd", asbytes=True), kind)
+
+
+def _whole(column: pa.ChunkedArray) -> pa.Array:
+    """A column as one array."""
+    return pa.concat_arrays(column.chunks) if column.num_chunks else pa.array([], column.type)
 
 
 def _lists(offsets: np.ndarray, values: np.ndarray) -> pa.Array:
@@ -174,18 +216,24 @@ def _ranges(start: np.ndarray, count: np.ndarray) -> np.ndarray:
     return np.arange(ends[-1] if len(ends) else 0) + np.repeat(start - (ends - count), count)
 
 
-def _assemble(cache_ends: np.ndarray, cache_ids: np.ndarray, names: list[str], per: int):
+def _assemble(cache_ends: np.ndarray, cache_ids: np.ndarray, names: list[str], per: int, finish: Callable[[pa.RecordBatch], pa.RecordBatch] | None):
     """Rows with their ids, from chunks whose new words have ids."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts: list[pa.Array] = []
         for batch in batches:
             for i in range(batch.num_rows):
-                rows = pa.ipc.open_stream(batch.column("rows")[i].as_buffer()).read_all()
-                places = np.frombuffer(batch.column("places")[i].as_buffer(), np.int32)
-                counts = np.frombuffer(batch.column("counts")[i].as_buffer(), np.int64)
                 own = batch.column("ids").slice(i, 1).flatten()
-                ends = own.offsets.to_numpy() if len(own) else np.zeros(1, np.int32)
-                flat = own.values.to_numpy(zero_copy_only=False)
+                payload = batch.column("rows")[i]
+                if not payload.is_valid:
+                    parts.append(own)
+                    continue
+                rows = pa.ipc.open_stream(payload.as_buffer()).read_all()
+                places, counts = _unsqueezed(batch.column("places")[i].as_py(), np.int32), _unsqueezed(batch.column("counts")[i].as_py(), np.int64)
+                own = pa.concat_arrays([*parts, own])
+                parts = []
+                ends = np.concatenate([[0], np.cumsum(pc.list_value_length(own).to_numpy(zero_copy_only=False))]).astype(np.int64)
+                flat = own.flatten().to_numpy(zero_copy_only=False)
                 # the cache's words stand behind the chunk's own
                 start = np.concatenate([ends[:-1], cache_ends[:-1] + len(flat)])
                 size = np.concatenate([np.diff(ends), np.diff(cache_ends)])
@@ -199,16 +247,21 @@ def _assemble(cache_ends: np.ndarray, cache_ids: np.ndarray, names: list[str], p
                     ids = every[_ranges(start[mine], n)]
                     total = np.concatenate([[0], np.cumsum(n)])
                     part = rows.slice(a, b - a).combine_chunks()
-                    yield pa.RecordBatch.from_arrays([*(c.chunk(0) for c in part.columns), _lists(total[at[a : b + 1] - at[a]], ids.astype(np.int32))], names=names)
+                    done = pa.RecordBatch.from_arrays([*(c.chunk(0) for c in part.columns), _lists(total[at[a : b + 1] - at[a]], ids.astype(np.int32))], names=names)
+                    yield finish(done) if finish else done
 
     return run
 
 
-def encode(docs: DataFrame, text: str = "text", path: str | None = None, pattern: str = public_tokenizers.PATTERN, chunk: int = CHUNK, cache_rows: int = CACHE_ROWS, cache_words: int = CACHE_WORDS) -> DataFrame:
-    """All columns of docs but the text, then ids (array of int)."""
+def encode(docs: DataFrame, text: str = "text", path: str | None = None, pattern: str = public_tokenizers.PATTERN, chunk: int = CHUNK, cache_rows: int = CACHE_ROWS, cache_words: int = CACHE_WORDS, finish: Callable[[pa.RecordBatch], pa.RecordBatch] | None = None, schema: str | None = None) -> DataFrame:
+    """All columns of docs but the text, then ids (array of int).
+
+    finish, with the schema of what it returns, is applied to each batch of these rows before it leaves its worker.
+    """
     spark = docs.sparkSession
     prepare(spark)
     ranks = read_ranks(path or public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    tables = pair_ranks(ranks)
     others = [c for c in docs.columns if c != text]
     inner = [f"c{i}" for i in range(len(others))]
     rows = docs.select(*[F.col(f"`{c}`").alias(i) for c, i in zip(others, inner, strict=True)], F.col(text).alias("text"))
@@ -220,53 +273,83 @@ def encode(docs: DataFrame, text: str = "text", path: str | None = None, pattern
         for batch in batches:
             for value in batch.column(0):
                 counted.update(compiled.findall(value.as_py() or ""))
-        most = [w.encode() for w, _ in counted.most_common(cache_words)]
-        for i in range(0, len(most), 10_000):
-            yield pa.RecordBatch.from_arrays([pa.array([most[i : i + 10_000]], pa.list_(pa.binary()))], names=["words"])
-
-    words = docs.select(text).limit(cache_rows).mapInArrow(frequent, "words array<binary>").repartition(spark.sparkContext.defaultParallelism)
-    cached = words.select("words", encode_words(F.col("words"), ranks).alias("ids")).toArrow()
-    known, ids = (_flat(cached.column(c)) for c in ("words", "ids"))
-    known = known.cast(pa.binary())
+        for part in batched(counted.items(), 10_000):
+            words, n = zip(*part, strict=True)
+            words = pa.array(words, pa.string()).cast(pa.binary())
+            yield pa.RecordBatch.from_arrays([words, pa.array(n, pa.int64())], names=["word", "n"])
+
+    share = min(1.0, cache_rows / max(1, docs.count()))
+    sampled = docs.select(text).sample(fraction=share, seed=5) if share < 1 else docs.select(text)
+    counted = sampled.mapInArrow(frequent, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    top = counted.orderBy(F.desc("n"), "word").limit(cache_words).select("word").repartition(spark.sparkContext.defaultParallelism)
+
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), byte_entries(batch.column(0), tables)], names=["word", "entries"])
+
+    states = top.mapInArrow(first, "word binary, entries array<bigint>")
+    cached = states.select("word", F.get(encode_words(F.array("entries"), ranks), 0).alias("ids")).toArrow()
+    known, ids = (_whole(cached.column(c)) for c in ("word", "ids"))
     cache_ends = np.concatenate([[0], np.cumsum(pc.list_value_length(ids).to_numpy(zero_copy_only=False))]).astype(np.int64)
     cache_ids = ids.flatten().to_numpy(zero_copy_only=False)
 
-    chunks = rows.mapInArrow(_chunks(pattern, known, chunk), _CHUNK_SCHEMA)
+    chunks = rows.mapInArrow(_chunks(pattern, known, chunk, tables), _CHUNK_SCHEMA)
     merged = chunks.select("rows", "places", "counts", encode_words(F.col("words"), ranks).alias("ids"))
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
-    schema = ", ".join([*(f"{c} {kinds[c]}" for c in inner), "ids array<int>"])
-    return merged.mapInArrow(_assemble(cache_ends, cache_ids, [*inner, "ids"], 1000), schema).toDF(*others, "ids")
+    own = ", ".join([*(f"{c} {kinds[c]}" for c in inner), "ids array<int>"])
+    done = merged.mapInArrow(_assemble(cache_ends, cache_ids, [*(others if finish else inner), "ids"], 1000, finish), schema if finish else own)
+    return done if finish else done.toDF(*others, "ids")
 
 
-def decode(encoded: DataFrame, ids: str = "ids", path: str | None = None, into: str = "decoded") -> DataFrame:
-    """encoded with the bytes that its ids stand for; ids that the file has not, and nulls, give nothing."""
-    prepare(encoded.sparkSession)
-    ranks = read_ranks(path or public_tokenizers.path("byte_bpe_50k.tiktoken"))
+def piece_table(ranks: dict[bytes, int]) -> pa.Array:
+    """Each id's bytes; the last entry, for what is no id, has none."""
     pieces = [b""] * (max(ranks.values(), default=-1) + 2)
     for piece, rank in ranks.items():
         pieces[rank] = piece
-    table = pa.array(pieces, pa.binary())
+    return pa.array(pieces, pa.binary())
+
+
+def joined(lists: pa.Array, pieces: pa.Array) -> pa.Array:
+    """The pieces of each list of ids, one after another."""
+    none = len(pieces) - 1
+    place = pc.list_flatten(lists).fill_null(none).to_numpy(zero_copy_only=False)
+    place = np.where((place < 0) | (place >= none), none, place)
+    data, ends = text_bytes(pieces.take(pa.array(place)))
+    sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+    edge = ends[np.concatenate([[0], np.cumsum(sizes)])]
+    return pa.Array.from_buffers(pa.binary(), len(lists), [None, pa.py_buffer(edge.astype(np.int32).tobytes()), pa.py_buffer(data)])
+
+
+def decode(encoded: DataFrame, ids: str = "ids", path: str | None = None, into: str = "decoded") -> DataFrame:
+    """encoded with the bytes that its ids stand for; ids that the file has not, and nulls, give nothing."""
+    prepare(encoded.sparkSession)
+    pieces = piece_table(read_ranks(path or public_tokenizers.path("byte_bpe_50k.tiktoken")))
     at = encoded.columns.index(ids)
     inner = [f"c{i}" for i in range(len(encoded.columns))]
     schema = ", ".join([*(f"{c} {f.dataType.simpleString()}" for c, f in zip(inner, encoded.schema.fields, strict=True)), "d binary"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lists = batch.column(at)
-            flat = pc.list_flatten(lists)
-            place = flat.fill_null(len(pieces) - 1).to_numpy(zero_copy_only=False)
-            place = np.where((place < 0) | (place >= len(pieces)), len(pieces) - 1, place)
-            data, ends = text_bytes(table.take(pa.array(place)))
-            sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
-            edge = ends[np.concatenate([[0], np.cumsum(sizes)])]
-            decoded = pa.Array.from_buffers(pa.binary(), len(lists), [None, pa.py_buffer(edge.astype(np.int32).tobytes()), pa.py_buffer(data)])
-            yield pa.RecordBatch.from_arrays([*batch.columns, decoded], names=[*inner, "d"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, joined(batch.column(at), pieces)], names=[*inner, "d"])
 
     return encoded.toDF(*inner).mapInArrow(run, schema).toDF(*encoded.columns, into)
 
 
+def digests(pieces: pa.Array) -> Callable[[pa.RecordBatch], pa.RecordBatch]:
+    """For batches of doc_id and ids: the number of ids, and digests of them in decimals and of what they decode to."""
+    decimals = pa.array([f"{i} ".encode() for i in range(len(pieces) - 1)] + [b""], pa.binary())
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        lists = batch.column("ids")
+        texts, decoded = joined(lists, decimals), joined(lists, pieces)
+        hexed = lambda column, cut: pa.array([hashlib.sha256(memoryview(x.as_buffer())[: len(x.as_buffer()) - cut if len(x.as_buffer()) else 0]).hexdigest() for x in column], pa.string())
+        return pa.RecordBatch.from_arrays([batch.column("doc_id"), pc.list_value_length(lists).cast(pa.int64()), hexed(texts, 1), hexed(decoded, 0)], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+
+    return run
+
+
 def op5_byte_bpe(spark, sf_dir: str) -> DataFrame:
     """Every document's ids, and what they decode to, as digests."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    both = decode(encode(docs))
-    return both.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join("ids", " "), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    pieces = piece_table(read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken")))
+    return encode(docs, finish=digests(pieces), schema="doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
