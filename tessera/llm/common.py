@@ -11,6 +11,9 @@ from pyspark.sql import DataFrame, SparkSession
 #: Rows in one Arrow batch. Texts run to hundreds of kilobytes, so Spark's default of 10,000 rows is too many.
 BATCH_ROWS = 1000
 
+#: Workers live on between tasks; with these, arrays above 2 MB go back to the system as soon as they are freed.
+LEAN = {"MALLOC_MMAP_THRESHOLD_": "2097152", "MALLOC_TRIM_THRESHOLD_": "2097152", "MALLOC_ARENA_MAX": "2", "ARROW_DEFAULT_MEMORY_POOL": "system"}
+
 
 def prepare(spark: SparkSession) -> None:
     """Let Python workers import this package, bound their batches, and make sure a shared scratch folder is set."""
@@ -18,6 +21,8 @@ def prepare(spark: SparkSession) -> None:
     env = spark.sparkContext.environment
     if root not in env.get("PYTHONPATH", "").split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(x for x in (root, env.get("PYTHONPATH", "")) if x)
+    for name, value in LEAN.items():
+        env.setdefault(name, value)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     shared_dir(spark)
 
