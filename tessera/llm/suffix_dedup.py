@@ -59,7 +59,8 @@ def remove_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     renamed = docs.toDF(*[f"c{i}" for i in range(len(columns))])
 
     blocks = renamed.mapInArrow(_blocks(at_text), "block long, kind int, payload binary")
-    hashes = blocks.mapInArrow(_hashes(at_text, at_id, buckets), "bucket long, block long, payload binary")
+    make, hash_ = _blocks(at_text), _hashes(at_text, at_id, buckets)
+    hashes = renamed.mapInArrow(lambda batches: hash_(make(batches)), "bucket long, block long, payload binary")
     shared = hashes.groupBy("bucket").applyInArrow(_shared, "block long, kind int, payload binary")
     runs = blocks.groupBy("block").cogroup(shared.groupBy("block")).applyInArrow(_runs(at_text, at_id, buckets), "bucket long, block long, payload binary")
     least = runs.groupBy("bucket").applyInArrow(_radix, "block long, kind int, payload binary")
