@@ -139,31 +139,38 @@ def fit(texts: list[str], good: np.ndarray, steps: int = 150, rate: float = 0.5,
     """Train on four fifths of the rows, calibrate on the rest."""
     if len(texts) < 10 or good.min() == good.max():
         return None
-    rows, places, values = [], [], []
-    for i, text in enumerate(texts):
-        data = np.frombuffer(text.encode(), np.uint8)
-        offsets = np.array([0, len(data)])
-        for _, place in families(data, offsets, find_words(data, offsets, Spans(data, 3))):
-            if len(place):
-                unique, count = np.unique(place, return_counts=True)
-                rows.append(np.full(len(unique), i, np.int32))
-                places.append(unique.astype(np.int32))
-                values.append((count / len(place)).astype(np.float32))
-    row, place, value = (np.concatenate(x) if x else np.zeros(0, int) for x in (rows, places, values))
+    # features in blocks of documents, so that a step's temporaries stay small
+    blocks = []
+    for low in range(0, len(texts), 128):
+        part = [t.encode() for t in texts[low : low + 128]]
+        data, offsets = np.frombuffer(b"".join(part), np.uint8), np.cumsum([0, *map(len, part)])
+        rows, places, values = [], [], []
+        for row, place in families(data, offsets, find_words(data, offsets, Spans(data, 3))):
+            size = np.bincount(row, minlength=len(part))
+            unique, count = np.unique(row * (4 << BITS) + place, return_counts=True)
+            rows.append((unique // (4 << BITS)).astype(np.int32))
+            places.append((unique % (4 << BITS)).astype(np.int32))
+            values.append((count / size[rows[-1]]).astype(np.float32))
+        blocks.append((low, len(part), np.concatenate(rows), np.concatenate(places), np.concatenate(values)))
     held = np.arange(len(texts)) % 5 == 4
     weights, bias = np.zeros(4 << BITS), 0.0
     squares, bias_squares = np.full(len(weights), 1e-6), 1e-6
     # both kinds weigh the same
     weigh = np.where(good == 1, 0.5 / max(1, good[~held].sum()), 0.5 / max(1, (1 - good[~held]).sum())) * ~held
+
+    def scores() -> np.ndarray:
+        return bias + np.concatenate([np.bincount(row, value * weights[place], minlength=n) for _, n, row, place, value in blocks])
+
     for _ in range(steps):
-        score = np.bincount(row, value * weights[place], minlength=len(texts)) + bias
-        gap = (1 / (1 + np.exp(-np.clip(score, -60, 60))) - good) * weigh
-        grad = np.bincount(place, value * gap[row], minlength=len(weights)) + decay * weights
+        gap = (1 / (1 + np.exp(-np.clip(scores(), -60, 60))) - good) * weigh
+        grad = decay * weights
+        for low, n, row, place, value in blocks:
+            grad += np.bincount(place, value * gap[low : low + n][row], minlength=len(weights))
         squares += grad**2
         weights -= rate * grad / np.sqrt(squares)
         bias_squares += gap.sum() ** 2
         bias -= rate * gap.sum() / np.sqrt(bias_squares)
-    score = np.bincount(row, value * weights[place], minlength=len(texts)) + bias
+    score = scores()
     slope, shift = platt(score[held], good[held])
     return Model(weights.astype(np.float32), bias, slope, shift)
 
