@@ -204,10 +204,11 @@ def join(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", threshold:
 
     # candidates: a star in each bucket of a band
     keyed = nodes.select("nid", F.explode("bands").alias("key"))
-    bucket = keyed.groupBy("key").agg(F.min("nid").alias("low"), F.max("nid").alias("high")).filter("low != high").drop("high")
+    # aggregates are written before a join, so that both its sides are plain shuffles, whose large keys Spark can split
+    bucket = keep(keyed.groupBy("key").agg(F.min("nid").alias("low"), F.max("nid").alias("high")).filter("low != high").drop("high"), "buckets")
     met = components(keyed.join(bucket, "key").select(F.col("nid").alias("a"), F.col("low").alias("b")))
     member = met.unionByName(met.select(F.col("root").alias("node"), "root").distinct()).select(F.col("node").alias("nid"), F.col("root").alias("comp"))
-    size = member.groupBy("comp").agg(F.count("*").alias("size"))
+    size = keep(member.groupBy("comp").agg(F.count("*").alias("size")), "sizes")
     member = member.join(size, "comp").join(nodes.select("nid", "node", "rep", "copies"), "nid")
 
     # verification on whole texts, each sent once unless its component is larger than a chunk
@@ -225,8 +226,8 @@ def join(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", threshold:
     links = checked.groupBy("nid").agg(F.sum("docs").alias("docs"), F.sum("texts").alias("texts"))
     classes = components(checked.select(F.col("nid").alias("a"), F.col("root").alias("b")))
     whole = nodes.select("nid", "node", "rep", "copies").join(links, "nid", "left").join(classes.select(F.col("node").alias("nid"), "root"), "nid", "left")
-    whole = whole.withColumn("root", F.coalesce("root", "nid"))
-    first = whole.groupBy("root").agg(F.min(F.struct("rep", "nid")).alias("top"))
+    whole = keep(whole.withColumn("root", F.coalesce("root", "nid")), "classes")
+    first = keep(whole.groupBy("root").agg(F.min(F.struct("rep", "nid")).alias("top")), "firsts")
     whole = whole.join(first, "root").select(
         "node",
         F.col("rep").alias("copy_id"),
