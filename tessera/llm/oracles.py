@@ -29,3 +29,11 @@ WITH RECURSIVE t AS (SELECT coalesce(text, '') AS text, min(doc_id) AS node, cou
      link AS (SELECT a AS node, sum(copies) AS n FROM edge JOIN t ON t.node = b GROUP BY a)
 SELECT doc_id, class_id, t.node AS copy_id, copies AS n_copies, CAST(copies - 1 + coalesce(link.n, 0) AS BIGINT) AS n_links
 FROM documents d JOIN t ON coalesce(d.text, '') = t.text JOIN class USING (node) LEFT JOIN link USING (node)"""
+
+NEAREST_NEIGHBOURS = """
+WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL),
+     u AS (SELECT vec_id, v, sqrt(list_dot_product(v, v)) AS n FROM v WHERE len(list_filter(v, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+     s AS (SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(c.v, q.v) / (q.n * c.n) AS score
+           FROM u q JOIN u c ON q.vec_id <> c.vec_id AND len(q.v) = len(c.v) WHERE q.vec_id % 50 = 0 AND q.n > 0 AND c.n > 0),
+     r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 5"""

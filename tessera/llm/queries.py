@@ -31,4 +31,4 @@ def queries():
 
 
 def oracle_sql():
-    return {"op7_suffix_dedup": oracles.SUFFIX_DEDUP, "op10_jaccard_join": oracles.JACCARD_JOIN}
+    return {"op6_nearest_neighbours": oracles.NEAREST_NEIGHBOURS, "op7_suffix_dedup": oracles.SUFFIX_DEDUP, "op10_jaccard_join": oracles.JACCARD_JOIN}
