@@ -9,6 +9,11 @@ Everything on the main path is a DataFrame function: weights and templates are l
 paragraphs are an array, and no row is exploded or shuffled. A paragraph (text between line feeds) without any cue word
 is "unknown" by definition and is not classified.
 
+Notices wrapped over lines: a line's last REACH words are also judged joined with the next REACH words up to the next
+blank line (one without letters and digits), where REACH is the length of the longest template, so that a template that
+starts in the line is whole in the join. A join counts if no line in it has its family alone; of overlapping joins of
+one family the most similar one counts, of equal ones the last. Its paragraph is its first line.
+
 Edge cases: a null or empty text has no paragraphs with licences; rows with null or repeated ids are scanned each; an
 empty table gives an empty result; other columns pass through, whatever their names.
 """
@@ -30,7 +35,7 @@ PLACES, GRAMS, LEAST, ALIKE = 4096, 3, 0.5, 0.6
 UNKNOWN = "unknown"
 #: Usual notices of licence families. Fixed values.
 TEMPLATES = {
-    "agpl": ["GNU Affero General Public License", "licensed under the GNU Affero General Public License version 3", "SPDX-License-Identifier: AGPL-3.0-only"],
+    "agpl": ["GNU Affero General Public License", "licensed under the GNU Affero General Public License version 3", "you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation", "SPDX-License-Identifier: AGPL-3.0-only"],
     "all-rights-reserved": ["Copyright. All rights reserved.", "All rights reserved. No part may be reproduced without written permission"],
     "apache": ["Licensed under the Apache License, Version 2.0", "Released under the Apache License 2.0", "You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0", "SPDX-License-Identifier: Apache-2.0"],
     "bsd": ["licensed under the BSD License", "Released under the 3-Clause BSD License", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met", "SPDX-License-Identifier: BSD-3-Clause"],
@@ -38,7 +43,7 @@ TEMPLATES = {
     "cc-by-nc": ["Licensed under CC BY-NC 4.0", "licensed under a Creative Commons Attribution-NonCommercial 4.0 International License"],
     "cc-by-sa": ["Licensed under CC BY-SA 4.0", "licensed under a Creative Commons Attribution-ShareAlike 4.0 International License", "Text is available under the Creative Commons Attribution-ShareAlike License"],
     "gpl": ["This work is licensed under the GNU General Public License, version 3", "Released under the GPL v3", "you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation", "SPDX-License-Identifier: GPL-3.0-only"],
-    "lgpl": ["licensed under the GNU Lesser General Public License, version 2.1", "Released under the LGPL", "SPDX-License-Identifier: LGPL-2.1-only"],
+    "lgpl": ["licensed under the GNU Lesser General Public License, version 2.1", "Released under the LGPL", "you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation", "SPDX-License-Identifier: LGPL-2.1-only"],
     "mit": ["Released under the MIT License", "Licensed under the MIT License", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software", "SPDX-License-Identifier: MIT"],
     "mpl": ["subject to the terms of the Mozilla Public License, v. 2.0", "Released under the Mozilla Public License 2.0", "SPDX-License-Identifier: MPL-2.0"],
     "public-domain": ["This work is dedicated to the public domain under CC0 1.0", "This is free and unencumbered software released into the public domain", "SPDX-License-Identifier: CC0-1.0"],
@@ -47,6 +52,10 @@ TEMPLATES = {
 NEAR_MISSES = ["a driver's license is needed to rent a car", "the license plate was stolen last night", "he was licensed to practise medicine in two states", "the apache helicopter landed near the base", "a gnu is a large antelope of africa", "she studied at mit before she moved", "the bar lost its liquor license", "copyright law differs from one country to the next", "permission to leave was granted by the teacher", "the public domain name was sold", "the mozilla headquarters moved", "public hearings are open to any person", "creative work is done in common", "the commons were open to all", "please read the license before you install this software", "fishing licenses are sold at the lake"]
 #: Words of which a notice has at least one. Fixed values.
 CUE = r"(?i)licen[cs]|copyright|apache|\bgnu\b|\bl?gpl|\bagpl|\bmit\b|\bbsd\b|mozilla|\bcc[ -]?(?:by|0)|creative commons|rights reserved|public domain|permission is hereby|redistribution and use"
+#: The same over line ends and comment marks, for whole texts.
+_WRAPPED = CUE.replace(" ", r"\W+")
+#: A line that ends a paragraph.
+_BLANK = r"(?:^|\n)[^\p{L}\p{N}\n]*(?:\n|$)"
 _FILLER = "the of and to in a is that for it as was with be by on not he his but at are this have from or had an they which one you were all her she there would their we him been has when who will no more if out so said what up its about into than them can only other time new some could these two may first then do any like my now over such our man me even most made after also did many off before must through years where much your way well down should because long each just state those people too mr how little good world make very year still see own work men day get here".split()
 
 
@@ -55,6 +64,10 @@ def normal(text: str) -> str:
     return re.sub(r"[^a-z0-9]+", " ", text.lower()).strip()
 
 
+#: Words of the longest template.
+REACH = max(len(normal(t).split()) for notices in TEMPLATES.values() for t in notices)
+
+
 def _grams(text: str) -> list[str]:
     w = normal(text).split()
     return [" ".join(w[i : i + n]) for n in range(1, GRAMS + 1) for i in range(len(w) - n + 1)]
@@ -136,9 +149,10 @@ def scan(docs: DataFrame, text: str = "text", least: float = LEAST, alike: float
     def grams(tokens: Column, n: int) -> Column:
         return F.transform(F.sequence(F.lit(1), F.size(tokens) - n + 1), lambda i: F.array_join(F.slice(tokens, i, n), " ")) if n > 1 else tokens
 
-    def judge(paragraph: Column, i: Column, lit: Column) -> Column:
-        tokens = F.filter(F.split(F.lower(paragraph), r"[^a-z0-9]+"), lambda t: t != "")
+    def split(paragraph: Column) -> Column:
+        return F.filter(F.split(F.lower(paragraph), r"[^a-z0-9]+"), lambda t: t != "")
 
+    def judge(tokens: Column, i: Column, lit: Column) -> Column:
         def scored(tokens: Column) -> Column:
             every = F.concat(*[F.when(F.size(tokens) >= n, grams(tokens, n)).otherwise(F.array().cast("array<string>")) for n in range(1, GRAMS + 1)])
             places = F.array_distinct(F.transform(every, lambda g: F.pmod(F.crc32(g.cast("binary")), F.lit(PLACES)).cast("int")))
@@ -158,14 +172,45 @@ def scan(docs: DataFrame, text: str = "text", least: float = LEAST, alike: float
 
         return _let(tokens, scored)
 
+    def counts(r: Column) -> Column:
+        return (r["family"] != UNKNOWN) & (r["probability"] >= least) & (r["similarity"] >= alike)
+
+    def join(paragraphs: Column, p: Column, i: Column) -> Column:
+        """The words around the end of line i, the number of lines joined to it, and i."""
+        rest = F.get(F.split(F.array_join(F.slice(paragraphs, i + 2, REACH), "\n"), _BLANK, 2), 0)
+
+        def joined(rest: Column) -> Column:
+            own, more = split(p), F.slice(split(rest), 1, REACH)
+            words = _let(own, lambda t: F.slice(t, F.greatest(F.lit(1), F.size(t) - REACH + 1), REACH))
+            return F.struct(F.when(p.rlike(r"[\p{L}\p{N}]") & (rest != ""), F.concat(words, more)).otherwise(F.array().cast("array<string>")).alias("t"), F.size(F.split(rest, "\n")).alias("n"), i.alias("i"))
+
+        return _let(rest, joined)
+
     def judged(paragraphs: Column) -> Column:
         literal = F.struct(weights.alias("w"), known.alias("k"), family.alias("f"))
         cued = F.filter(F.transform(paragraphs, lambda p, i: F.struct(p.alias("p"), i.alias("i"))), lambda s: s["p"].rlike(CUE))
-        return _let(literal, lambda lit: F.filter(F.transform(cued, lambda s: judge(s["p"], s["i"], lit)), lambda r: (r["family"] != UNKNOWN) & (r["probability"] >= least) & (r["similarity"] >= alike)))
+        joins = F.filter(F.transform(paragraphs, lambda p, i: join(paragraphs, p, i)), lambda s: F.array_join(s["t"], " ").rlike(CUE))
+
+        def both(lit: Column) -> Column:
+            alone = F.filter(F.transform(cued, lambda s: judge(split(s["p"]), s["i"], lit)), counts)
+            wrapped = F.filter(F.transform(joins, lambda s: F.struct(judge(s["t"], s["i"], lit).alias("r"), (s["i"] + s["n"]).alias("last"))), lambda s: counts(s["r"]))
+            return _let(F.struct(alone.alias("a"), wrapped.alias("w")), merged)
+
+        def merged(found: Column) -> Column:
+            def stays(s: Column) -> Column:
+                r = s["r"]
+                same = lambda o: (o["family"] == r["family"]) & (o["paragraph"] >= r["paragraph"]) & (o["paragraph"] <= s["last"])
+                overlap = lambda o: (o["r"]["family"] == r["family"]) & (o["r"]["paragraph"] <= s["last"]) & (r["paragraph"] <= o["last"])
+                better = lambda o: (o["r"]["similarity"] > r["similarity"]) | ((o["r"]["similarity"] == r["similarity"]) & (o["r"]["paragraph"] > r["paragraph"]))
+                return ~F.exists(found["a"], same) & ~F.exists(found["w"], lambda o: overlap(o) & better(o))
+
+            return F.array_sort(F.concat(found["a"], F.transform(F.filter(found["w"], stays), lambda s: s["r"])))
+
+        return _let(literal, both)
 
     body = F.coalesce(F.col(text), F.lit(""))
     none = F.array().cast("array<struct<paragraph:int,family:string,probability:double,similarity:double>>")
-    return docs.withColumns({n_columns: F.size(F.split(body, "\n")).cast("long"), licenses: F.when(body.rlike(CUE), judged(F.split(body, "\n"))).otherwise(none)})
+    return docs.withColumns({n_columns: F.size(F.split(body, "\n")).cast("long"), licenses: F.when(body.rlike(_WRAPPED), judged(F.split(body, "\n"))).otherwise(none)})
 
 
 def op9_license_scans(spark, sf_dir: str) -> DataFrame:

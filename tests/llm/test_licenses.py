@@ -48,3 +48,35 @@ def test_edges(spark):
     assert found.columns == ["doc_id", "text", "licenses", "n_paragraphs", "licenses_"]
     assert [[(x["paragraph"], x["family"]) for x in r["licenses_"]] for r in found.collect()] == [[], [], [(1, "mit"), (3, "apache")], [], [], [(1, "mit")]]
     assert L.scan(df.limit(0)).count() == 0
+
+
+_GPL = """This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version."""
+_LGPL = """This library is free software; you can redistribute it and/or
+modify it under the terms of the GNU Lesser General Public
+License as published by the Free Software Foundation; either
+version 2.1 of the License, or (at your option) any later version."""
+_BSD = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are
+met:"""
+
+
+def test_wrapped_headers(spark):
+    comment = lambda text, mark: "\n".join(mark + line for line in text.split("\n"))
+    cases = [
+        (_GPL, [(0, "gpl")]),
+        (_LGPL, [(0, "lgpl")]),
+        (_GPL.replace("GNU General", "GNU Affero General"), [(1, "agpl")]),
+        (_BSD, [(0, "bsd")]),
+        (comment(_GPL, " * "), [(0, "gpl")]),
+        (comment(_LGPL, "# "), [(0, "lgpl")]),
+        (f"int x;\n\n{_GPL}\n *\n{_BSD}\n\nReleased under the MIT License\nand more", [(2, "gpl"), (7, "bsd"), (11, "mit")]),
+        ("This work is dedicated to the public\ndomain under CC0 1.0", [(0, "public-domain")]),
+        ("word " * 5000 + _BSD, [(0, "bsd")]),
+        # a blank line parts a notice
+        (_BSD.replace("without\n", "without\n\n"), []),
+    ]
+    found = L.scan(spark.createDataFrame([(i, t) for i, (t, _) in enumerate(cases)], "i int, text string")).orderBy("i").collect()
+    assert [[(x["paragraph"], x["family"]) for x in r["licenses"]] for r in found] == [want for _, want in cases]
