@@ -9,8 +9,9 @@ The posterior over languages, and over "und" for text that fits none, is the pro
 - the likelihood of the declared language, and that of the address hint (a two-letter path segment or subdomain, else
   the country suffix), each from counts of the hint by first-pass language over the whole corpus.
 
-The text model is fitted on a sample of about FIT_ROWS labelled rows per language, of at most FIT_BYTES bytes each
-(parameters), for the MOST_LANGUAGES languages declared most. Counts for priors and hints cover every row. Host priors
+The text model has every declared language. It is fitted on a sample of about FIT_ROWS labelled rows per language, short
+and long, of which the first FIT_BYTES bytes count (parameters). It takes 256 KiB a language in each worker, and in the driver the
+sample besides. Counts for priors and hints cover every row. Host priors
 reach the rows by a join on the host; it is broadcast only if it has BROADCAST rows at most, else both sides are
 shuffled with the rows of a host spread over SALTS sub-keys.
 
@@ -36,7 +37,7 @@ from tessera.llm.common import fresh, keep, prepare
 from tessera.llm.kernels import sums_at, text_bytes
 from tessera.llm.quality import slices
 
-FIT_ROWS, FIT_BYTES, MOST_LANGUAGES = 600, 16384, 64
+FIT_ROWS, FIT_BYTES = 600, 16384
 BITS, TEMPER, STRENGTH, LEAST = 16, 0.2, 20.0, 0.5
 BROADCAST, SALTS = 50_000, 32
 #: Country suffixes that hint at a language. Fixed values.
@@ -81,17 +82,25 @@ def trigrams(folded: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     return (hashed[letters] >> np.uint32(32 - BITS)), np.repeat(np.arange(len(size)), size)[letters]
 
 
-def fit(texts: list[str], languages: list[str]) -> TextModel:
-    """Naive Bayes with a small constant added to every count; "und" has all trigrams seen alike."""
-    names = sorted(set(languages))
-    counts = np.zeros((len(names), 1 << BITS))
-    for text, language in zip(texts, languages, strict=True):
-        data = np.frombuffer(text.encode(), np.uint8)
-        counts[names.index(language)] += np.bincount(trigrams(_FOLD[data], np.array([0, len(data)]))[0], minlength=1 << BITS)
-    seen = max(1, (counts.sum(0) > 0).sum())
-    table = np.log((counts + 0.05) / (counts.sum(1, keepdims=True) + 0.05 * (1 << BITS)))
-    flat = np.full((1, 1 << BITS), np.log(1 / (8 * seen)) if names else 0.0)
-    return TextModel([*names, "und"], np.ascontiguousarray(np.concatenate([table, flat]).T.astype(np.float32)))
+def fit(sample: pa.Table) -> TextModel:
+    """Naive Bayes on rows of declared and text, a small constant added to every count; "und" has all trigrams seen alike."""
+    said = sample.column("declared").to_pylist()
+    names = sorted(set(said))
+    at = {x: i for i, x in enumerate(names)}
+    table = np.zeros((1 << BITS, len(names) + 1), np.float32)
+    for whole in sample.append_column("at", pa.array([at[x] for x in said], pa.int64())).to_batches():
+        for batch in slices(whole, 1):
+            places, row = trigrams(_FOLD[text_bytes(batch.column(1))[0]], text_bytes(batch.column(1))[1])
+            keys, n = np.unique(places.astype(np.int64) * (len(names) + 1) + batch.column(2).to_numpy()[row], return_counts=True)
+            table.reshape(-1)[keys] += n
+    seen = max(1, int(table.any(1).sum()))
+    for i in range(len(names)):
+        counts = table[:, i].astype(np.float64)
+        # with little text the constant is smaller, so that a language of a few words is not likelier than "und" for any text
+        small = min(0.05, max(0.1 * counts.sum(), 1e-6) / (1 << BITS))
+        table[:, i] = np.log((counts + small) / (counts.sum() + small * (1 << BITS)))
+    table[:, -1] = np.log(1 / (8 * seen)) if names else 0.0
+    return TextModel([*names, "und"], table)
 
 
 def declared(html: Column) -> Column:
@@ -151,18 +160,17 @@ def host_priors(counts: DataFrame, languages: list[str], strength: float) -> Dat
     size = sum(root)
     whole = [(x + 1.0) / (size + len(root)) for x in root]
 
-    def level(name: str, parent: str | None, prior: list[Column], frame: DataFrame) -> DataFrame:
-        own = [F.col(f"n{i}") for i in k]
-        rows = sum(own[1:], own[0])
-        keys = [name] + ([parent] if parent else [])
-        return frame.select(*keys, F.array(*[(own[i] + strength * prior[i]) / (rows + strength) for i in k]).alias(f"p_{name}"))
+    def level(name: str, prior: Column, frame: DataFrame) -> DataFrame:
+        own = frame.withColumn("own", F.array(*[F.col(f"n{i}") for i in k]))
+        own = own.withColumn("rows", F.reduce("own", F.lit(0.0), lambda total, x: total + x))
+        return own.select(name, F.zip_with("own", prior, lambda x, p: (x + strength * p) / (F.col("rows") + strength)).alias(f"p_{name}"))
 
-    suffix = level("suffix", None, [F.lit(x) for x in whole], _shares(named, "suffix", languages))
+    suffix = level("suffix", F.array(*[F.lit(x) for x in whole]), _shares(named, "suffix", languages))
     parts = [F.sum(F.when(F.col("language") == x, F.col("n")).otherwise(0)).cast("double").alias(f"n{i}") for i, x in enumerate(languages)]
     domain = named.groupBy("domain", "suffix").agg(*parts).join(suffix, "suffix")
-    domain = level("domain", None, [F.col("p_suffix")[i] for i in k], domain)
+    domain = level("domain", F.col("p_suffix"), domain)
     host = named.groupBy("host", "domain").agg(*parts).join(domain, "domain")
-    return level("host", None, [F.col("p_domain")[i] for i in k], host).withColumnRenamed("p_host", "prior")
+    return level("host", F.col("p_domain"), host).withColumnRenamed("p_host", "prior")
 
 
 def hint_table(counts: DataFrame, column: str, languages: list[str]) -> dict[str, list[float]]:
@@ -170,11 +178,11 @@ def hint_table(counts: DataFrame, column: str, languages: list[str]) -> dict[str
     known = [x for x in languages if x != "und"]
     rows = counts.filter(F.col(column).isin(known or [""])).groupBy(column, "language").agg(F.sum("n").alias("n")).collect()
     n = {(r[0], r[1]): float(r[2]) for r in rows}
-    out = {}
+    out, totals = {}, {x: sum(n.get((h, x), 0.0) for h in known) for x in languages}
     for hint in known:
         shares = []
         for language in languages:
-            total = sum(n.get((h, language), 0.0) for h in known)
+            total = totals[language]
             fair = 1 / max(1, len(known))
             agree = 5.0 if hint == language else 0.0
             shares.append(float(np.log((n.get((hint, language), 0.0) + agree + 5.0 * fair) / (total + 10.0 - 5.0 * (language == "und")))))
@@ -187,12 +195,10 @@ def train(rows: DataFrame, languages: list[str] | None = None, fit_rows: int = F
     counts = rows.filter("declared rlike '^[a-z]{2,3}$' and declared != 'und'").groupBy("declared").count()
     if languages is not None:
         counts = counts.filter(F.col("declared").isin(languages or [""]))
-    top = counts.orderBy(F.desc("count"), "declared").limit(MOST_LANGUAGES).collect()
-    share = {r["declared"]: min(1.0, 1.5 * fit_rows / r["count"]) for r in top}
-    chance = F.coalesce(*[F.when(F.col("declared") == k, F.lit(v)) for k, v in share.items()], F.lit(0.0))
-    small = rows.filter(F.rand(11) < chance).filter((F.octet_length("text") > 200) & (F.octet_length("text") <= FIT_BYTES))
-    found = small.select("declared", "text").limit(2 * fit_rows * max(1, len(share))).toArrow().sort_by([("declared", "ascending"), ("text", "ascending")])
-    return fit(found.column("text").to_pylist(), found.column("declared").to_pylist())
+    share = [(r["declared"], min(1.0, 1.5 * fit_rows / r["count"])) for r in counts.collect()]
+    chance = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for pair in share for x in pair]), F.col("declared")), F.lit(0.0)) if share else F.lit(0.0)
+    part = F.substring(F.col("text").cast("binary"), 1, FIT_BYTES).cast("string")
+    return fit(rows.filter(F.rand(11) < chance).filter("text is not null").select("declared", part.alias("text")).toArrow())
 
 
 def identify(docs: DataFrame, text: str | Column = "text", declared: str | Column | None = None, url: str | Column | None = None, host: str | Column | None = None, model: TextModel | None = None, temper: float = TEMPER, strength: float = STRENGTH, least: float = LEAST) -> DataFrame:

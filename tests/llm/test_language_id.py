@@ -65,3 +65,24 @@ def test_page_parts(spark):
     df = spark.createDataFrame([('<html lang="FR-ca"><head><title>t</title></head><body><script>x</script><p>Bon&eacute; jour</p></body></html>', "https://de.Example.co.uk/fr/1?x")], "html string, url string")
     row = df.select(L.declared(F.col("html")), F.trim(L.visible(F.col("html"))), L.host_of(F.col("url")), L.hint_of(F.col("url"), ["fr", "de"])).first()
     assert tuple(row) == ("fr", "Bon  jour", "de.example.co.uk", "fr")
+
+
+def test_every_declared_language_is_kept(spark):
+    rng = np.random.default_rng(5)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    codes = [a + b for a in "abc" for b in letters][:70]
+    words = {c: ["".join(rng.choice(list(letters), rng.integers(3, 8))) for _ in range(40)] for c in codes}
+    size = {codes[0]: 10, codes[1]: 5000}  # all texts short, all texts over FIT_BYTES; the others in between
+    text = lambda c: " ".join(rng.choice(words[c], size.get(c, 60)))
+    rows = [(text(c), c) for i, c in enumerate(codes) for _ in range(3 if i < 2 else 3 + i % 3)]
+    found = L.identify(spark.createDataFrame(rows, "text string, said string"), "text", "said").collect()
+    assert {r["said"] for r in found} == set(codes)
+    assert all(r["language"] == r["text_language"] == r["said"] and r["kept"] for r in found)
+
+
+def test_few_words_of_a_language_do_not_replace_und(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text", F.col("lang").alias("said"))
+    rare = spark.createDataFrame([("blip", "zz")], "text string, said string")
+    model = L.train(docs.union(rare).select("text", F.col("said").alias("declared")))
+    junk = spark.createDataFrame([("qxzj wvkq zzxq jqkx vvqz xkjq " * 5,)], "text string")
+    assert "zz" in model.languages and L.identify(junk, "text", model=model).first()["text_language"] != "zz"
