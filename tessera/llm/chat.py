@@ -1,7 +1,7 @@
 """Chat formatting: roles of a transcript's turns recovered by a hidden Markov model, then turns in canonical form.
 
 Method: a turn's text falls into segments, a new one at every line that begins with a speaker marker. The states of
-the model are roles; a segment is observed by its marker and by line features (length, lines, a question, lists or
+the model are all roles that labels or markers name, however many; a segment is observed by its marker and by line features (length, lines, a question, lists or
 code, first of its conversation). Emissions and transitions are smoothed counts over all labelled turns, by grouped
 aggregation; a marker's usual role adds MARKER_ROWS pseudo-counts, so that markers count where labels have none.
 Viterbi finds the most likely roles; a label is never used to decode its own conversation's turns other than through
@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import keep, prepare
 
-BLOCK, MARKER_ROWS, MOST_ROLES, SMOOTH = 512, 200.0, 16, 1.0
+BLOCK, MARKER_ROWS, SMOOTH = 512, 200.0, 1.0
 ROLES = ["system", "user", "assistant"]
 #: Speaker markers and their roles. Fixed values.
 MARKERS = {"system": "system", "instructions": "system", "user": "user", "human": "user", "question": "user", "q": "user", "customer": "user", "client": "user", "prompter": "user", "assistant": "assistant", "ai": "assistant", "bot": "assistant", "answer": "assistant", "a": "assistant", "agent": "assistant", "gpt": "assistant", "model": "assistant", "response": "assistant"}
@@ -121,7 +121,7 @@ class Model:
         for (kind, _, role), n in counts.items():
             if kind == "marker":
                 total[role] = total.get(role, 0) + n
-        self.roles = sorted(total, key=lambda r: (-total[r], r))[:MOST_ROLES] or ROLES
+        self.roles = sorted(total, key=lambda r: (-total[r], r)) or ROLES
         k = len(self.roles)
         at = {r: i for i, r in enumerate(self.roles)}
         self.start = np.full(k, SMOOTH)
@@ -158,7 +158,8 @@ class Model:
         k = len(self.roles)
         best = np.where(np.eye(k, dtype=bool), emitted[0], -np.inf)
         for e in emitted[1:]:
-            best = (best[:, :, None] + self.move[None]).max(1) + e
+            # a row at a time where roles are many, so that no more than two small matrices are held
+            best = np.stack([(b[:, None] + self.move).max(0) for b in best]) + e if k > 16 else (best[:, :, None] + self.move[None]).max(1) + e
         return best
 
     def path(self, emitted: np.ndarray, start: int | None = None, end: int | None = None) -> list[int]:
