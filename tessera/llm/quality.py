@@ -3,7 +3,7 @@
 Method: logistic regression on hashed word unigrams and bigrams and character (byte) n-grams, each family's counts
 divided by their sum. It is fitted on FIT_ROWS labelled documents of at most FIT_BYTES bytes (those whose hashed id is
 least; both bounds are parameters), four fifths of them; the others calibrate its score to a probability by Platt's
-method. Documents are scored in Arrow batches against a fixed threshold.
+method. Where these four fifths have one kind only, all are fitted on and the score is the log-odds. Documents are scored in Arrow batches against a fixed threshold.
 
 Base: fewer than 20 words, or more than 30 % of the words in eight-word windows that the text has twice or more.
 
@@ -137,7 +137,7 @@ class Model:
 
 def fit(texts: list[str], good: np.ndarray, steps: int = 150, rate: float = 0.5, decay: float = 1e-6) -> Model | None:
     """Train on four fifths of the rows, calibrate on the rest."""
-    if len(texts) < 10 or good.min() == good.max():
+    if not len(texts) or good.min() == good.max():
         return None
     # features in blocks of documents, so that a step's temporaries stay small
     blocks = []
@@ -153,6 +153,8 @@ def fit(texts: list[str], good: np.ndarray, steps: int = 150, rate: float = 0.5,
             values.append((count / size[rows[-1]]).astype(np.float32))
         blocks.append((low, len(part), np.concatenate(rows), np.concatenate(places), np.concatenate(values)))
     held = np.arange(len(texts)) % 5 == 4
+    if good[~held].min() == good[~held].max():
+        held[:] = False
     weights, bias = np.zeros(4 << BITS), 0.0
     squares, bias_squares = np.full(len(weights), 1e-6), 1e-6
     # both kinds weigh the same

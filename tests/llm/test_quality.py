@@ -59,3 +59,14 @@ def test_nothing_to_learn(spark):
     docs = spark.createDataFrame([(1, "a b"), (None, "c")], "doc_id long, text string")
     labels = spark.createDataFrame([(1, 1), (None, 0), (2, None)], "doc_id long, quality int")
     assert Q.train(docs, labels) is None and Q.train(docs, labels.limit(0)) is None
+
+
+def test_few_labels_teach(spark):
+    good, bad = " ".join(f"word{i} of calm prose" for i in range(20)), " ".join(f"click{i} $$$ now ###" for i in range(20))
+    # the second case has its only good text among those held for calibration
+    for kinds in ([1, 0], [0, 0, 0, 0, 1], [1, 0, 1, 0, 1, 0, 1]):
+        docs = spark.createDataFrame([(i, good if k else bad) for i, k in enumerate(kinds)], "doc_id long, text string")
+        Q.prepare(spark)
+        model = Q.train(docs, spark.createDataFrame(list(enumerate(kinds)), "doc_id long, quality int"))
+        found = Q.score(docs, model).orderBy("doc_id").collect()
+        assert [r["kept"] for r in found] == [bool(k) for k in kinds]
