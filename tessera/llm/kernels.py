@@ -69,14 +69,28 @@ def gram_hashes(values: np.ndarray, size: int) -> np.ndarray:
     return mix(whole)
 
 
+_POWERS = np.ones(1, U64)
+
+
+def powers(n: int) -> np.ndarray:
+    """BASE to the powers from 0 to n, kept by the worker for the next text up to a bound."""
+    global _POWERS
+    if n < len(_POWERS):
+        return _POWERS[: n + 1]
+    out = np.full(n + 1, BASE, U64)
+    out[0] = 1
+    np.multiply.accumulate(out, out=out)
+    if n <= 8 << 20:
+        _POWERS = out
+    return out
+
+
 class Spans:
     """Hashes of any spans of a byte array, by sums of keyed powers; a span's hash depends on its bytes alone."""
 
     def __init__(self, data: np.ndarray, seed: int):
         self.n = len(data)
-        self.power = np.full(self.n + 1, BASE, U64)
-        self.power[0] = 1
-        np.multiply.accumulate(self.power, out=self.power)
+        self.power = powers(self.n)
         self.sums = np.zeros(self.n + 1, U64)
         keyed = byte_keys(seed)[data]
         keyed *= self.power[:-1]

@@ -6,14 +6,19 @@ each byte fifty times, so two things come before the digit passes:
 
 1. Pruning. Each window is filed under its minimiser, the K-byte gram with the least hash in it. Equal windows have
    equal minimisers, so a window whose minimiser occurs in one document only has no partner and is never sorted.
-   Minimisers travel as sorted six-byte hashes, about one for fifteen bytes of text.
+   Minimisers travel as sorted five-byte hashes, about one for fifteen bytes of text.
 2. Runs. Neighbouring windows with one minimiser travel as one run of bytes, once per block of documents however
-   many copies the block holds, with the least doc_id that has it.
+   many copies the block holds, with the least doc_id that has it. A minimiser found about HOT times or more (counted
+   in four steps by block) would bring all its runs to one bucket, as those at the edges of a common line differ by
+   their context; its windows travel one by one instead, each to the bucket of its own hash.
 
 Then each bucket of runs is sorted by four-byte digits from the most significant on; groups of one drop out after
 every pass. A block learns, for each window of its runs, the least doc_id over the whole corpus.
 
-Nothing is gathered per document group: a passage that a third of all documents share costs one run for each block.
+Blocks are written before anything is told about them, so a repeated task meets the same blocks. Nothing is gathered
+per document group. What a block has of a bucket comes once however often it has it, so a passage that a third of all
+documents share costs one run, or one window for each byte of it, for each block of BLOCK bytes; at the edges of a
+common line every different context costs a window for each byte of WINDOW on either side, in different buckets.
 
 Edge cases: a null text counts as empty and stays so; a null doc_id counts as larger than every other, so such a
 document loses what a numbered one has and takes nothing from anyone; rows that share a doc_id take nothing from each
@@ -31,20 +36,23 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.common import fresh, prepare
-from tessera.llm.kernels import U64, Spans, byte_keys, gram_hashes, text_bytes
+from tessera.llm.common import fresh, keep, prepare
+from tessera.llm.kernels import U64, Spans, byte_keys, gram_hashes, mix, text_bytes
 
 WINDOW, GRAM = 50, 20
 #: Grams in a window.
 SLIDE = WINDOW - GRAM + 1
 #: Bytes of text in a block; positions worked on at once; text for each bucket of hashes and runs.
 BLOCK, STRIDE, BUCKET = 4 << 20, 1 << 17, 8 << 20
+#: A minimiser found so often has its windows spread by their own hashes. The steps of counting, and what they count as.
+HOT, STEPS, WEIGHTS = 1 << 16, np.array([1, 16, 256]), np.array([1, 4, 64, 2048])
 LAST = np.iinfo(np.int64).max
-_LOW = U64((1 << 48) - 1)
+#: A gram travels as 40 bits of its hash; the lowest three are flags.
+_LOW, _FLAGS = U64((1 << 40) - 1), U64(7)
 _PLACE = U64((1 << 24) - 1)
 
 
-def remove_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", whole_characters: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", whole_characters: bool = False, hot: int = HOT) -> DataFrame:
     """All columns of docs, then kept (binary: the bytes that stay) and removed (array of start and end of each run taken out).
 
     With whole_characters, a character stays unless all its bytes are to go, so that kept is valid UTF-8.
@@ -58,14 +66,14 @@ def remove_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     types = [f.dataType for f in docs.schema.fields]
     renamed = docs.toDF(*[f"c{i}" for i in range(len(columns))])
 
-    blocks = renamed.mapInArrow(_blocks(at_text), "block long, kind int, payload binary")
-    make, hash_ = _blocks(at_text), _hashes(at_text, at_id, buckets)
-    hashes = renamed.mapInArrow(lambda batches: hash_(make(batches)), "bucket long, block long, payload binary")
-    shared = hashes.groupBy("bucket").applyInArrow(_shared, "block long, kind int, payload binary")
+    blocks = keep(renamed.mapInArrow(_blocks(at_text), "block long, payload binary"), "blocks")
+    hashes = blocks.mapInArrow(_hashes(at_text, at_id, buckets), "bucket long, block long, payload binary")
+    shared = hashes.groupBy("bucket").applyInArrow(_shared(hot), "block long, payload binary")
+    # a block's state travels with its runs, as a bucket of its own, and comes back with the answers
     runs = blocks.groupBy("block").cogroup(shared.groupBy("block")).applyInArrow(_runs(at_text, at_id, buckets), "bucket long, block long, payload binary")
     least = runs.groupBy("bucket").applyInArrow(_radix, "block long, kind int, payload binary")
     schema = T.StructType([*[T.StructField(f"c{i}", t) for i, t in enumerate(types)], T.StructField("kept", T.BinaryType()), T.StructField("removed", T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())])))])
-    out = blocks.groupBy("block").cogroup(shared.unionByName(least).groupBy("block")).applyInArrow(_cut(at_text, at_id, buckets, whole_characters), schema)
+    out = blocks.groupBy("block").cogroup(least.groupBy("block")).applyInArrow(_cut(at_text, at_id, whole_characters), schema)
     return out.toDF(*columns, kept, removed)
 
 
@@ -87,7 +95,7 @@ def _blocks(at_text: int):
         base, held, size, n = TaskContext.get().partitionId() << 24, [], 0, 0
 
         def row():
-            return pa.RecordBatch.from_arrays([pa.array([base + n], pa.int64()), pa.array([0], pa.int32()), pa.array([_pack(pa.Table.from_batches(held))], pa.binary())], names=["block", "kind", "payload"])
+            return pa.RecordBatch.from_arrays([pa.array([base + n], pa.int64()), pa.array([_pack(pa.Table.from_batches(held))], pa.binary())], names=["block", "payload"])
 
         for batch in batches:
             _, offsets = text_bytes(batch.column(at_text))
@@ -147,19 +155,19 @@ def _bucket(hashes: np.ndarray, buckets: int) -> np.ndarray:
     return ((hashes >> U64(32)) % U64(buckets)).astype(np.int64)
 
 
-def _six(x: np.ndarray) -> bytes:
-    return np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()
+def _five(x: np.ndarray) -> bytes:
+    return np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]).tobytes()
 
 
-def _from_six(payload: bytes) -> np.ndarray:
-    out = np.zeros((len(payload) // 6, 8), np.uint8)
-    out[:, :6] = np.frombuffer(payload, np.uint8).reshape(-1, 6)
+def _from_five(payload: bytes) -> np.ndarray:
+    out = np.zeros((len(payload) // 5, 8), np.uint8)
+    out[:, :5] = np.frombuffer(payload, np.uint8).reshape(-1, 5)
     return out.reshape(-1).view("<u8")
 
 
 def _low(hashes: np.ndarray) -> np.ndarray:
-    """48 bits of a hash without the lowest, which flags grams that several documents of a block have."""
-    return hashes & _LOW & ~U64(1)
+    """The bits of a hash that travel, without the flags."""
+    return hashes & _LOW & ~_FLAGS
 
 
 def _batch(names: tuple[str, ...], columns: list[list], kinds: list[pa.DataType]) -> pa.RecordBatch:
@@ -167,13 +175,15 @@ def _batch(names: tuple[str, ...], columns: list[list], kinds: list[pa.DataType]
 
 
 _OUT = (("bucket", "block", "payload"), [pa.int64(), pa.int64(), pa.binary()])
-_BACK = (("block", "kind", "payload"), [pa.int64(), pa.int32(), pa.binary()])
+_REPLY = (("block", "payload"), [pa.int64(), pa.binary()])
+#: Kinds of what comes back to a block: answers to its runs, and its state.
+_BACK, ANSWER, STATE = (("block", "kind", "payload"), [pa.int64(), pa.int32(), pa.binary()]), 2, 3
 
 
 def _hashes(at_text: int, at_id: int, buckets: int):
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for block, payload in zip(batch.column(0).to_pylist(), batch.column(2), strict=True):
+            for block, payload in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 table = _unpack(payload.as_py())
                 ids = _ids(table, at_id)
                 data, offsets = text_bytes(table.column(at_text))
@@ -194,117 +204,144 @@ def _hashes(at_text: int, at_id: int, buckets: int):
                 if not len(head):
                     continue
                 several = np.minimum.reduceat(owner, head) != np.maximum.reduceat(owner, head)
+                step = np.searchsorted(STEPS, np.diff(np.append(head, len(gram))))
                 gram = gram[head]
                 place = _bucket(gram, buckets)
-                packed = _low(gram) | several.astype(U64)
+                packed = _low(gram) | several.astype(U64) | step.astype(U64) << U64(1)
                 order = np.argsort(place, kind="stable")
                 place, packed = place[order], packed[order]
                 cuts = np.flatnonzero(np.diff(place, prepend=-1, append=-1))
-                yield _batch(_OUT[0], [[int(place[a]) for a in cuts[:-1]], [block] * (len(cuts) - 1), [_six(packed[a:b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]], _OUT[1])
+                yield _batch(_OUT[0], [[int(place[a]) for a in cuts[:-1]], [block] * (len(cuts) - 1), [_five(packed[a:b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]], _OUT[1])
 
     return make
 
 
-def _shared(table: pa.Table) -> pa.Table:
-    """One bucket: tell each block which of its grams another document has."""
-    blocks = table.column("block").to_numpy()
-    order = np.argsort(blocks, kind="stable")
-    payloads = table.column("payload")
-    packed = [payloads[int(i)].as_py() for i in order]
-    every = _from_six(b"".join(packed))
-    gram, several = every & ~U64(1), (every & U64(1)).astype(bool)
-    by = np.argsort(gram)
-    ranked = gram[by]
-    new = np.ones(len(by), bool)
-    new[1:] = ranked[1:] != ranked[:-1]
-    head = np.flatnonzero(new)
-    size = np.diff(np.append(head, len(by)))
-    known = np.zeros(len(by), bool)
-    known[by] = np.repeat((size > 1) | np.logical_or.reduceat(several[by], head), size) if len(by) else False
-    out: list[list] = [[], [], []]
-    ends = np.cumsum([0, *(len(p) // 6 for p in packed)])
-    name = table.column("bucket")[0].as_py().to_bytes(8, "little")
-    for i, a, b in zip(order, ends[:-1], ends[1:], strict=True):
-        mine = np.sort(gram[a:b][known[a:b]])
-        if len(mine):
-            for column, value in zip(out, (int(blocks[i]), 1, name + _six(mine)), strict=True):
-                column.append(value)
-    return pa.Table.from_batches([_batch(_BACK[0], out, _BACK[1])])
+def _shared(hot: int):
+    def run(table: pa.Table) -> pa.Table:
+        """One bucket: tell each block which of its grams another document has, and which of these are hot."""
+        blocks = table.column("block").to_numpy()
+        order = np.argsort(blocks, kind="stable")
+        payloads = table.column("payload")
+        packed = [payloads[int(i)].as_py() for i in order]
+        every = _from_five(b"".join(packed))
+        gram, flags = every & ~_FLAGS, every & _FLAGS
+        by = np.argsort(gram)
+        ranked = gram[by]
+        new = np.ones(len(by), bool)
+        new[1:] = ranked[1:] != ranked[:-1]
+        head = np.flatnonzero(new)
+        size = np.diff(np.append(head, len(by)))
+        known, often = np.zeros(len(by), bool), np.zeros(len(by), U64)
+        if len(by):
+            ranked = flags[by]
+            known[by] = np.repeat((size > 1) | np.logical_or.reduceat((ranked & U64(1)).astype(bool), head), size)
+            often[by] = np.repeat(np.add.reduceat(WEIGHTS[(ranked >> U64(1)).astype(np.int64)], head) >= hot, size)
+        out: list[list] = [[], []]
+        ends = np.cumsum([0, *(len(p) // 5 for p in packed)])
+        name = table.column("bucket")[0].as_py().to_bytes(8, "little")
+        for i, a, b in zip(order, ends[:-1], ends[1:], strict=True):
+            mine = (gram[a:b] | often[a:b])[known[a:b]]
+            if len(mine):
+                for column, value in zip(out, (int(blocks[i]), name + _five(mine)), strict=True):
+                    column.append(value)
+        return pa.Table.from_batches([_batch(_REPLY[0], out, _REPLY[1])])
 
+    return run
 
-def _alike(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The first of each set of equal spans, and the set of each span; two hashes must agree.
+
+def _alike(one: np.ndarray, two: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The first of each set of equal spans, and the set of each span, numbered as they first appear; both hashes must agree.
 
     Should one hash collide, equal spans may come out as several sets, which the digit passes bring together again.
     """
-    if not len(start):
-        return start, start
-    one, two = (Spans(data, seed).hash(start, end) for seed in (23, 37))
+    if not len(one):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
     order = np.argsort(one)
     one, two = one[order], two[order]
     new = np.ones(len(order), bool)
     new[1:] = (one[1:] != one[:-1]) | (two[1:] != two[:-1])
+    first = np.minimum.reduceat(order, np.flatnonzero(new))
+    by = np.argsort(first)
+    name = np.empty(len(by), np.int64)
+    name[by] = np.arange(len(by))
     index = np.empty(len(order), np.int64)
-    index[order] = np.cumsum(new) - 1
-    return order[new], index
-
-
-def _open(left: pa.Table, right: pa.Table, kind: int) -> tuple[pa.Table | None, list[bytes]]:
-    """The block's rows, and the payloads of one kind that came back for it."""
-    rows = _unpack(left.column("payload")[0].as_py()) if left.num_rows else None
-    return rows, [p.as_py() for p, k in zip(right.column("payload"), right.column("kind").to_pylist(), strict=True) if k == kind]
+    index[order] = name[np.cumsum(new) - 1]
+    return first[by], index
 
 
 class _Repeats:
     """The runs of a block's windows whose minimiser another document has; equal runs have one index."""
 
-    def __init__(self, table: pa.Table, replies: list[bytes], at_text: int, at_id: int, buckets: int):
+    def __init__(self, table: pa.Table, at_text: int, at_id: int):
         self.ids = _ids(table, at_id)
         self.data, self.offsets = text_bytes(table.column(at_text))
-        known = {int.from_bytes(p[:8], "little"): _from_six(p[8:]) for p in replies}
-        starts, places, grams = [], [], []
-        for start, place, gram in anchors(self.data, self.offsets) if known else ():
-            bucket, low = _bucket(gram, buckets), _low(gram)
+
+    def find(self, replies: list[bytes], buckets: int):
+        """From the grams that other documents have."""
+        known = np.sort(np.concatenate([_from_five(p[8:]) | U64(int.from_bytes(p[:8], "little")) << U64(40) for p in replies]))
+        hot = (known & U64(1)).astype(bool)
+        known &= ~_FLAGS
+        starts, places, grams, often = [], [], [], []
+        for start, place, gram in anchors(self.data, self.offsets):
             first = np.ones(len(place), bool)
             first[1:] = place[1:] != place[:-1]
             head = np.flatnonzero(first)
-            hit = np.zeros(len(head), bool)
-            order = np.argsort(bucket[head], kind="stable")
-            cuts = np.flatnonzero(np.diff(bucket[head][order], prepend=-1, append=-1))
-            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-                mine = order[a:b]
-                there = known.get(int(bucket[head[mine[0]]]))
-                if there is not None:
-                    at = np.minimum(np.searchsorted(there, low[head[mine]]), len(there) - 1)
-                    hit[mine] = there[at] == low[head[mine]]
-            take = np.repeat(hit, np.diff(np.append(head, len(place))))
+            key = _low(gram[head]) | _bucket(gram[head], buckets).astype(U64) << U64(40)
+            at = np.minimum(np.searchsorted(known, key), len(known) - 1)
+            size = np.diff(np.append(head, len(place)))
+            hit = known[at] == key
+            take = np.repeat(hit, size)
             starts.append(start[take])
             places.append(place[take])
-            grams.append(bucket[take])
+            grams.append(gram[take])
+            often.append(np.repeat(hot[at][hit], size[hit]))
         none = np.zeros(0, np.int64)
-        start, place, bucket = (np.concatenate(x) if x else none for x in (starts, places, grams))
+        start, place, gram, alone = (np.concatenate(x) if x else none.astype(k) for x, k in ((starts, np.int64), (places, np.int64), (grams, U64), (often, bool)))
         new = np.ones(len(start), bool)
-        new[1:] = (place[1:] != place[:-1]) | (start[1:] != start[:-1] + 1)
+        new[1:] = (place[1:] != place[:-1]) | (start[1:] != start[:-1] + 1) | alone[1:]
         head = np.flatnonzero(new)
         self.start = start[head]
         self.count = np.diff(np.append(head, len(start)))
-        self.bucket = bucket[head]
+        gram, alone = gram[head], alone[head]
+        self.bucket = _bucket(gram, buckets)
+        one = Spans(self.data, 23).hash(self.start, self.start + self.count + WINDOW - 1) if len(head) else gram
+        self.bucket[alone] = _bucket(one[alone], buckets)
+        # the second hash: the gram, its place in the run, and the run's length
+        self.first, self.index = _alike(one, mix(gram + ((place[head] - self.start) * WINDOW + self.count).astype(U64)))
+        self._own()
+        return self
+
+    def _own(self) -> None:
         self.row = np.searchsorted(self.offsets, self.start, "right") - 1
-        end = self.start + self.count + WINDOW - 1
-        self.first, self.index = _alike(self.data, self.start, end)
         self.least = np.full(len(self.first), LAST)
         np.minimum.at(self.least, self.index, self.ids[self.row])
 
+    def state(self) -> bytes:
+        """Where the runs are and which are equal; gaps instead of places, as most are 0."""
+        gap = self.start - np.concatenate([[0], (self.start + self.count)[:-1]])
+        return _pack(pa.table({"gap": pa.array(gap.astype(np.int32)), "count": pa.array(self.count.astype(np.uint8)), "index": pa.array(np.diff(self.index, prepend=-1).astype(np.int32))}))
+
+    def restore(self, state: bytes | None) -> _Repeats:
+        none = np.zeros(0, np.int64)
+        gap, count, step = (c.to_numpy().astype(np.int64) for c in _unpack(state).columns) if state else (none, none, none)
+        self.count = count
+        self.start = np.cumsum(gap + np.concatenate([[0], count[:-1]])) if len(gap) else none
+        self.index = np.cumsum(step) - 1 if len(step) else none
+        # sets are numbered as they first appear
+        self.first = np.flatnonzero(np.diff(np.maximum.accumulate(self.index), prepend=-1) > 0) if len(step) else none
+        self._own()
+        return self
+
 
 def _runs(at_text: int, at_id: int, buckets: int):
     def make(left: pa.Table, right: pa.Table) -> pa.Table:
-        rows, replies = _open(left, right, 1)
         out: list[list] = [[], [], []]
-        if rows is not None and replies:
-            r = _Repeats(rows, replies, at_text, at_id, buckets)
+        if left.num_rows and right.num_rows:
+            block = left.column("block")[0].as_py()
+            r = _Repeats(_unpack(left.column("payload")[0].as_py()), at_text, at_id).find(right.column("payload").to_pylist(), buckets)
             bucket = r.bucket[r.first]
             order = np.argsort(bucket, kind="stable")
-            cuts = np.flatnonzero(np.diff(bucket[order], prepend=-1, append=-1))
+            cuts = np.flatnonzero(np.diff(bucket[order], prepend=-1, append=-1)) if len(order) else []
             for a, b in zip(cuts[:-1], cuts[1:], strict=True):
                 mine = order[a:b]
                 at, size = r.start[r.first[mine]], r.count[r.first[mine]] + WINDOW - 1
@@ -312,8 +349,10 @@ def _runs(at_text: int, at_id: int, buckets: int):
                 table = pa.table({"run": pa.array(mine.astype(np.int32)), "least": pa.array(r.least[mine]), "size": pa.array(size.astype(np.int32))})
                 packed = _pack(table)
                 body = pa.compress(text.tobytes(), codec="zstd", asbytes=True)
-                for column, value in zip(out, (int(bucket[mine[0]]), left.column("block")[0].as_py(), len(packed).to_bytes(8, "little") + int(ends[-1]).to_bytes(8, "little") + packed + body), strict=True):
+                for column, value in zip(out, (int(bucket[mine[0]]), block, len(packed).to_bytes(8, "little") + int(ends[-1]).to_bytes(8, "little") + packed + body), strict=True):
                     column.append(value)
+            for column, value in zip(out, (-1 - block, block, r.state()), strict=True):
+                column.append(value)
         return pa.Table.from_batches([_batch(_OUT[0], out, _OUT[1])])
 
     return make
@@ -354,7 +393,9 @@ def digit_groups(text: np.ndarray, start: np.ndarray, depth: int = WINDOW) -> np
 
 
 def _radix(table: pa.Table) -> pa.Table:
-    """One bucket of runs: the least doc_id of each window, to the blocks that would not know it."""
+    """One bucket of runs: the least doc_id of each window, to the blocks that would not know it. A state goes on as it is."""
+    if table.column("bucket")[0].as_py() < 0:
+        return pa.table({"block": table.column("block"), "kind": pa.array([STATE] * table.num_rows, pa.int32()), "payload": table.column("payload")})
     blocks, parts, texts, at = [], [], [], 0
     for block, payload in sorted(zip(table.column("block").to_pylist(), table.column("payload").to_pylist(), strict=True)):
         head, size = int.from_bytes(payload[:8], "little"), int.from_bytes(payload[8:16], "little")
@@ -367,7 +408,7 @@ def _radix(table: pa.Table) -> pa.Table:
         block = np.array(blocks)
         run, least, size = (np.concatenate([p.column(c).to_numpy() for p in parts]) for c in ("run", "least", "size"))
         at = np.concatenate([[0], np.cumsum(size)])[:-1]
-        first, same = _alike(text, at, at + size)
+        first, same = _alike(*(Spans(text, seed).hash(at, at + size) for seed in (23, 37)))
         low = np.full(len(first), LAST)
         np.minimum.at(low, same, least)
         count = (size[first] - WINDOW + 1).astype(np.int64)
@@ -397,20 +438,20 @@ def _radix(table: pa.Table) -> pa.Table:
         for a, b in zip(cuts[:-1], cuts[1:], strict=True):
             w, s = which[a:b], source[a:b]
             answer = pa.table({"run": run[s].astype(np.int32), "from": from_[w].astype(np.int32), "to": to[w].astype(np.int32), "least": value[w]})
-            for column, x in zip(out, (int(block[s[0]]), 2, _pack(answer)), strict=True):
+            for column, x in zip(out, (int(block[s[0]]), ANSWER, _pack(answer)), strict=True):
                 column.append(x)
     return pa.Table.from_batches([_batch(_BACK[0], out, _BACK[1])])
 
 
-def _cut(at_text: int, at_id: int, buckets: int, whole_characters: bool):
+def _cut(at_text: int, at_id: int, whole_characters: bool):
     def make(left: pa.Table, right: pa.Table) -> pa.Table:
-        rows, replies = _open(left, right, 1)
-        r = _Repeats(rows, replies, at_text, at_id, buckets)
+        rows = _unpack(left.column("payload")[0].as_py())
+        replies = list(zip(right.column("kind").to_pylist(), right.column("payload"), strict=True))
+        r = _Repeats(rows, at_text, at_id).restore(next((p.as_py() for k, p in replies if k == STATE), None))
         count = r.count[r.first] if len(r.first) else np.zeros(0, np.int64)
         begin = np.concatenate([[0], np.cumsum(count)]).astype(np.int64)
         least = np.repeat(r.least, count)
-        for payload in _open(left.slice(0, 0), right, 2)[1]:
-            answer = _unpack(payload)
+        for answer in (_unpack(p.as_py()) for k, p in replies if k == ANSWER):
             run, a, b, value = (answer.column(c).to_numpy() for c in ("run", "from", "to", "least"))
             n = (b - a).astype(np.int64)
             where = np.arange(n.sum()) + np.repeat(begin[run] + a - np.concatenate([[0], np.cumsum(n)])[:-1], n)
@@ -420,10 +461,11 @@ def _cut(at_text: int, at_id: int, buckets: int, whole_characters: bool):
         inside = np.arange(ends[-1]) - np.repeat(ends[:-1], r.count)
         earlier = least[np.repeat(begin[r.index], r.count) + inside] < np.repeat(r.ids[r.row], r.count) if len(inside) else np.zeros(0, bool)
         start = (np.repeat(r.start, r.count) + inside)[earlier]
-        depth = np.zeros(len(r.data) + 1, np.int32)
-        np.add.at(depth, start, 1)
-        np.add.at(depth, start + WINDOW, -1)
-        gone = np.cumsum(depth[:-1]) > 0
+        opened = np.zeros(len(r.data), bool)
+        opened[start] = True
+        depth = np.cumsum(opened, dtype=np.int32)
+        depth[WINDOW:] -= depth[:-WINDOW].copy()
+        gone = depth > 0
         if whole_characters and len(gone):
             character = np.cumsum((r.data & 0xC0) != 0x80) - 1
             stays = np.zeros(character[-1] + 1, bool)

@@ -4,6 +4,8 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 from tessera.llm import suffix_dedup as S
 
@@ -72,3 +74,41 @@ def test_digit_groups():
     text = np.frombuffer(b"abcdefgh" * 3 + b"zbcdefgh", np.uint8)
     groups = S.digit_groups(text, np.array([0, 8, 1, 9, 25]), depth=7)
     assert groups[0] == groups[1] >= 0 and groups[2] == groups[3] == groups[4] >= 0 and groups[0] != groups[2]
+
+
+def test_hot_minimisers_make_no_difference(spark, documents):
+    rng = random.Random(8)
+    line = "".join(rng.choice("abcdefgh ") for _ in range(87))
+    around = lambda: "".join(rng.choice("abc xyz") for _ in range(rng.randrange(0, 70)))
+    rows = [(i, around() + line[rng.randrange(0, 20) :] + around()) for i in range(60)]
+    docs = spark.read.parquet(f"{documents(rows)}/documents.parquet")
+    cold, hot = ({r["doc_id"]: (bytes(r["kept"]), r["removed"]) for r in S.remove_repeats(docs, hot=h).collect()} for h in (S.HOT, 4))
+    assert cold == hot
+    assert sorted((i, hashlib.sha256(kept).hexdigest()) for i, (kept, _) in hot.items()) == sorted((r[0], r[4]) for r in brute(rows))
+
+
+def test_one_line_in_50000_contexts_fills_no_bucket():
+    """What the edges of a common line ship is spread: no bucket gets 1.5 times the mean."""
+    rng = np.random.default_rng(3)
+    letters = np.frombuffer(b"abcdefghijklmnopqrstuvwxyz ", np.uint8)
+    line = rng.choice(letters, 87).tobytes().decode()
+    noise = rng.choice(letters, 50_000 * 200).tobytes().decode()
+    texts = [noise[i * 200 : i * 200 + 100] + line + noise[i * 200 + 100 : i * 200 + 200] for i in range(50_000)]
+    size = sum(map(len, texts))
+    buckets, per = -(-size // (1 << 20)), 10_000
+    blocks = [pa.RecordBatch.from_arrays([pa.array([k]), pa.array([S._pack(pa.table({"id": pa.array(range(k * per, k * per + per), pa.int64()), "t": texts[k * per : k * per + per]}))], pa.binary())], names=["block", "payload"]) for k in range(5)]
+    hashes = pa.Table.from_batches(list(S._hashes(1, 0, buckets)(iter(blocks))))
+
+    def by_bucket(table, run):
+        return pa.concat_tables([run(table.filter(pc.equal(table.column("bucket"), b))) for b in table.column("bucket").unique().to_pylist()])
+
+    def spread_out(hot):
+        replies = by_bucket(hashes, S._shared(hot))
+        runs = pa.concat_tables([S._runs(1, 0, buckets)(pa.Table.from_batches([b]), replies.filter(pc.equal(replies.column("block"), k))) for k, b in enumerate(blocks)])
+        filled = {}
+        for b, payload in zip(runs.column("bucket").to_pylist(), runs.column("payload").to_pylist(), strict=True):
+            if b >= 0:
+                filled[b] = filled.get(b, 0) + int.from_bytes(payload[8:16], "little")
+        return max(filled.values()) / (sum(filled.values()) / buckets)
+
+    assert spread_out(1 << 12) < 1.5 < 2 < spread_out(1 << 62)
