@@ -43,7 +43,7 @@ WINDOW, GRAM = 50, 20
 #: Grams in a window.
 SLIDE = WINDOW - GRAM + 1
 #: Bytes of text in a block; positions worked on at once; text for each bucket of hashes and runs.
-BLOCK, STRIDE, BUCKET = 4 << 20, 1 << 17, 8 << 20
+BLOCK, STRIDE, BUCKET = 4 << 20, 1 << 17, 4 << 20
 #: A minimiser found so often has its windows spread by their own hashes. The steps of counting, and what they count as.
 HOT, STEPS, WEIGHTS = 1 << 16, np.array([1, 16, 256]), np.array([1, 4, 64, 2048])
 LAST = np.iinfo(np.int64).max
