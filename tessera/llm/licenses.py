@@ -2,20 +2,23 @@
 
 Method: a multinomial logistic regression on hashed word 1- to 3-grams, trained here in numpy on variations of the
 families' usual notices and on paragraphs that are none (near misses among them), with a class "unknown", and
-calibrated by a temperature on held-out variations. A prediction counts if its probability is LEAST or more and the
-paragraph holds ALIKE of the word pairs of one of the family's templates.
+calibrated by a temperature on held-out variations. A prediction counts if its probability is LEAST or more and what is
+judged holds ALIKE of the word pairs of one of the family's templates.
 
-Everything on the main path is a DataFrame function: weights and templates are literals of a fixed size, a document's
-paragraphs are an array, and no row is exploded or shuffled. A paragraph (text between line feeds) without any cue word
-is "unknown" by definition and is not classified.
+A paragraph is what stands between blank lines (those without letters and digits, such as an empty comment line), its
+lines joined. Each line of it is judged alone, and so is every stretch of twice REACH words, from each REACH-th word on,
+where REACH is the length of the longest template: a notice wrapped over lines is whole in one of them. Of one
+family's finds in a paragraph the most similar counts, of equal ones the most probable; a find all of whose matching
+pairs a more similar find of another family in the paragraph has too does not count.
 
-Notices wrapped over lines: a line's last REACH words are also judged joined with the next REACH words up to the next
-blank line (one without letters and digits), where REACH is the length of the longest template, so that a template that
-starts in the line is whole in the join. A join counts if no line in it has its family alone; of overlapping joins of
-one family the most similar one counts, of equal ones the last. Its paragraph is its first line.
+Everything on the main path is a DataFrame function: weights and templates are literals of a fixed size, a document's
+paragraphs are an array, and no row is exploded or shuffled. Lines and stretches without any cue word are not judged;
+that loses nothing: cues() takes so many words of each template that whoever lacks them all lacks too many of its pairs
+to count.
 
-Edge cases: a null or empty text has no paragraphs with licences; rows with null or repeated ids are scanned each; an
-empty table gives an empty result; other columns pass through, whatever their names.
+Edge cases: a null or empty text has one paragraph and no licences; rows with null or repeated ids are scanned each; an
+empty table gives an empty result; other columns pass through, whatever their names; a paragraph of any length is
+judged whole.
 """
 
 from __future__ import annotations
@@ -31,31 +34,34 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import fresh
 
-PLACES, GRAMS, LEAST, ALIKE = 4096, 3, 0.5, 0.6
+PLACES, GRAMS, LEAST, ALIKE = 32768, 3, 0.5, 0.6
 UNKNOWN = "unknown"
 #: Usual notices of licence families. Fixed values.
 TEMPLATES = {
     "agpl": ["GNU Affero General Public License", "licensed under the GNU Affero General Public License version 3", "you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation", "SPDX-License-Identifier: AGPL-3.0-only"],
     "all-rights-reserved": ["Copyright. All rights reserved.", "All rights reserved. No part may be reproduced without written permission"],
-    "apache": ["Licensed under the Apache License, Version 2.0", "Released under the Apache License 2.0", "You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0", "SPDX-License-Identifier: Apache-2.0"],
+    "apache": ["Licensed under the Apache License, Version 2.0", "Released under the Apache License 2.0", "You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0", "http://www.apache.org/licenses/LICENSE-2.0", "SPDX-License-Identifier: Apache-2.0"],
+    "artistic": ["licensed under the Artistic License 2.0", "under the same terms as Perl itself, under the Artistic License", "SPDX-License-Identifier: Artistic-2.0"],
+    "boost": ["Distributed under the Boost Software License, Version 1.0", "See accompanying file LICENSE_1_0.txt or copy at http://www.boost.org/LICENSE_1_0.txt", "SPDX-License-Identifier: BSL-1.0"],
     "bsd": ["licensed under the BSD License", "Released under the 3-Clause BSD License", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met", "SPDX-License-Identifier: BSD-3-Clause"],
     "cc-by": ["Licensed under CC BY 4.0", "licensed under a Creative Commons Attribution 4.0 International License"],
     "cc-by-nc": ["Licensed under CC BY-NC 4.0", "licensed under a Creative Commons Attribution-NonCommercial 4.0 International License"],
     "cc-by-sa": ["Licensed under CC BY-SA 4.0", "licensed under a Creative Commons Attribution-ShareAlike 4.0 International License", "Text is available under the Creative Commons Attribution-ShareAlike License"],
+    "epl": ["This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0", "licensed under the Eclipse Public License", "SPDX-License-Identifier: EPL-2.0"],
     "gpl": ["This work is licensed under the GNU General Public License, version 3", "Released under the GPL v3", "you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation", "SPDX-License-Identifier: GPL-3.0-only"],
+    "isc": ["licensed under the ISC License", "Released under the ISC License", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies", "SPDX-License-Identifier: ISC"],
     "lgpl": ["licensed under the GNU Lesser General Public License, version 2.1", "Released under the LGPL", "you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation", "SPDX-License-Identifier: LGPL-2.1-only"],
-    "mit": ["Released under the MIT License", "Licensed under the MIT License", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software", "SPDX-License-Identifier: MIT"],
-    "mpl": ["subject to the terms of the Mozilla Public License, v. 2.0", "Released under the Mozilla Public License 2.0", "SPDX-License-Identifier: MPL-2.0"],
+    "mit": ["Released under the MIT License", "Licensed under the MIT License", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software", "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software", "SPDX-License-Identifier: MIT"],
+    "mpl": ["subject to the terms of the Mozilla Public License, v. 2.0", "Released under the Mozilla Public License 2.0", "If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/", "SPDX-License-Identifier: MPL-2.0"],
     "public-domain": ["This work is dedicated to the public domain under CC0 1.0", "This is free and unencumbered software released into the public domain", "SPDX-License-Identifier: CC0-1.0"],
+    "zlib": ["licensed under the zlib License", "This software is provided as-is, without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software", "SPDX-License-Identifier: Zlib"],
 }
 #: Paragraphs with licence words that grant nothing. Fixed values.
 NEAR_MISSES = ["a driver's license is needed to rent a car", "the license plate was stolen last night", "he was licensed to practise medicine in two states", "the apache helicopter landed near the base", "a gnu is a large antelope of africa", "she studied at mit before she moved", "the bar lost its liquor license", "copyright law differs from one country to the next", "permission to leave was granted by the teacher", "the public domain name was sold", "the mozilla headquarters moved", "public hearings are open to any person", "creative work is done in common", "the commons were open to all", "please read the license before you install this software", "fishing licenses are sold at the lake"]
-#: Words of which a notice has at least one. Fixed values.
-CUE = r"(?i)licen[cs]|copyright|apache|\bgnu\b|\bl?gpl|\bagpl|\bmit\b|\bbsd\b|mozilla|\bcc[ -]?(?:by|0)|creative commons|rights reserved|public domain|permission is hereby|redistribution and use"
-#: The same over line ends and comment marks, for whole texts.
-_WRAPPED = CUE.replace(" ", r"\W+")
-#: A line that ends a paragraph.
-_BLANK = r"(?:^|\n)[^\p{L}\p{N}\n]*(?:\n|$)"
+#: Words to look for first; cues() adds those of a template that these do not settle. Fixed values.
+CUES = ["licensed", "license", "copyright", "apache", "gnu", "affero", "lesser", "gpl", "lgpl", "agpl", "mit", "bsd", "mozilla", "mpl", "creative", "commons", "cc", "cc0", "reserved", "hereby", "redistribution", "redistribute", "spdx", "unencumbered", "isc", "eclipse", "boost", "artistic", "zlib"]
+#: Between paragraphs: blank lines.
+BREAK = r"\n(?:[^\p{L}\p{N}\n]*\n)+"
 _FILLER = "the of and to in a is that for it as was with be by on not he his but at are this have from or had an they which one you were all her she there would their we him been has when who will no more if out so said what up its about into than them can only other time new some could these two may first then do any like my now over such our man me even most made after also did many off before must through years where much your way well down should because long each just state those people too mr how little good world make very year still see own work men day get here".split()
 
 
@@ -73,6 +79,30 @@ def _grams(text: str) -> list[str]:
     return [" ".join(w[i : i + n]) for n in range(1, GRAMS + 1) for i in range(len(w) - n + 1)]
 
 
+def pairs(notice: str) -> list[str]:
+    """The word pairs of a notice."""
+    w = normal(notice).split()
+    return sorted({f"{a} {b}" for a, b in zip(w[:-1], w[1:], strict=True)})
+
+
+def cues(alike: float) -> list[str]:
+    """Words of which a text has at least one if it holds this share of any template's pairs; none if the share is 0.
+
+    With n pairs, of which k are asked for, a template is settled once fewer than k of them are free of these words.
+    """
+    out = list(CUES)
+    for notices in TEMPLATES.values():
+        for notice in notices:
+            every = pairs(notice)
+            asked = int(np.ceil(alike * len(every) - 1e-9))
+            if asked < 1:
+                return []
+            while len(free := [p for p in every if not set(p.split()) & set(out)]) >= asked:
+                left = [w for p in free for w in p.split()]
+                out.append(min(set(left), key=lambda w: (w in _FILLER, -left.count(w), -len(w), w)))
+    return sorted(out)
+
+
 def _place(gram: str) -> int:
     return zlib.crc32(gram.encode()) % PLACES
 
@@ -80,50 +110,61 @@ def _place(gram: str) -> int:
 def examples(seed: int, copies: int) -> tuple[list[str], list[str]]:
     """Variations: words dropped, others before and behind; for "unknown", near misses, mixed words of notices, filler."""
     rng = np.random.Generator(np.random.PCG64(seed))
-    noise = lambda n: " ".join(rng.choice(_FILLER, n))
+    invented = lambda: "".join(chr(97 + c) for c in rng.integers(0, 26, rng.integers(2, 10)))
+    noise = lambda n: " ".join(invented() if rng.random() < 0.3 else rng.choice(_FILLER) for _ in range(n))
     texts, names = [], []
     for family, notices in TEMPLATES.items():
         for notice in notices:
             w = normal(notice).split()
-            for _ in range(copies):
+            for i in range(copies):
                 kept = [x for x in w if rng.random() > 0.04] or w
-                texts.append(f"{noise(rng.integers(0, 9))} {' '.join(kept)} {noise(rng.integers(0, 9))}")
+                most = 9 if i % 3 == 2 else 32
+                texts.append(f"{noise(rng.integers(0, most))} {' '.join(kept)} {noise(rng.integers(0, most))}")
                 names.append(family)
     every = [x for notices in TEMPLATES.values() for n in notices for x in normal(n).split()]
     for _ in range(copies * 20):
-        texts.append(noise(rng.integers(3, 25)))
-        texts.append(f"{noise(rng.integers(0, 12))} {rng.choice(NEAR_MISSES)} {noise(rng.integers(0, 12))}")
+        texts.append(noise(rng.integers(3, 60)))
+        texts.append(f"{noise(rng.integers(0, 30))} {rng.choice(NEAR_MISSES)} {noise(rng.integers(0, 12))}")
         texts.append(" ".join(rng.permutation(np.concatenate([rng.choice(every, 3), rng.choice(_FILLER, rng.integers(4, 12))]))))
         names += [UNKNOWN] * 3
     return texts, names
 
 
-def _matrix(texts: list[str]) -> np.ndarray:
-    x = np.zeros((len(texts), PLACES), np.float32)
+def _matrix(texts: list[str], places: np.ndarray | None = None) -> np.ndarray:
+    """Which places (all, or those given) each text has."""
+    at = np.arange(PLACES) if places is None else np.full(PLACES, len(places))
+    if places is not None:
+        at[places] = np.arange(len(places))
+    x = np.zeros((len(texts), (PLACES if places is None else len(places)) + 1), np.float32)
     for i, text in enumerate(texts):
-        for gram in _grams(text):
-            x[i, _place(gram)] = 1
-    return x
+        x[i, at[[_place(g) for g in _grams(text)]]] = 1
+    return x[:, :-1]
 
 
 @cache
-def train(copies: int = 12, steps: int = 120) -> tuple[list[str], np.ndarray, np.ndarray]:
+def train(copies: int = 60, steps: int = 600) -> tuple[list[str], np.ndarray, np.ndarray]:
     """Families, sparse weights (places by families) and biases, the calibrating temperature divided in."""
     names = [*sorted(TEMPLATES), UNKNOWN]
     texts, labels = examples(1, copies)
-    x, y = _matrix(texts), np.array([names.index(n) for n in labels])
-    w, b = np.zeros((PLACES, len(names)), np.float32), np.zeros(len(names), np.float32)
+    # only places that some texts have can learn
+    used = np.flatnonzero(np.bincount([p for t in texts for p in {_place(g) for g in _grams(t)}], minlength=PLACES) > 24)
+    x, y = np.ascontiguousarray(_matrix(texts, used)), np.array([names.index(n) for n in labels])
+    w, b = np.zeros((len(used), len(names)), np.float32), np.zeros(len(names), np.float32)
     target = np.eye(len(names), dtype=np.float32)[y] / np.bincount(y)[y][:, None] * len(y) / len(names)
     squares = np.full_like(w, 1e-3)
+    rng = np.random.Generator(np.random.PCG64(7))
     for _ in range(steps):
-        z = x @ w + b
+        some = rng.integers(0, len(y), 256)
+        z = x[some] @ w + b
         p = np.exp(z - z.max(1, keepdims=True))
-        p = p / p.sum(1, keepdims=True) * target.sum(1, keepdims=True)
-        grad = x.T @ (p - target) / len(y) + 1e-4 * w
+        p = p / p.sum(1, keepdims=True) * target[some].sum(1, keepdims=True)
+        grad = x[some].T @ (p - target[some]) / len(some) + 1e-3 * w
         squares += grad * grad
         w -= 0.3 * grad / np.sqrt(squares)
-        b -= 0.1 * (p - target).mean(0)
+        b -= 0.1 * (p - target[some]).mean(0)
     w[np.abs(w) < 0.02] = 0
+    w, small = np.zeros((PLACES, len(names)), np.float32), w
+    w[used] = small
     held, truth = examples(2, 3)
     z, t = _matrix(held) @ w + b, np.array([names.index(n) for n in truth])
     loss = lambda k: -np.mean((s := z / k)[np.arange(len(t)), t] - np.log(np.exp(s - s.max(1, keepdims=True)).sum(1)) - s.max(1))
@@ -141,10 +182,12 @@ def scan(docs: DataFrame, text: str = "text", least: float = LEAST, alike: float
     names, w, b = train()
     rows = [[round(float(v), 4) for v in r] if r.any() else [] for r in w]
     weights = F.from_json(F.lit(json.dumps(rows)), "array<array<double>>")
-    pairs = lambda t: sorted({f"{a} {c}" for a, c in zip(t[:-1], t[1:], strict=True)})
-    known = F.from_json(F.lit(json.dumps([[pairs(normal(t).split()) for t in TEMPLATES.get(n, [])] for n in names])), "array<array<array<string>>>")
+    known = F.from_json(F.lit(json.dumps([[pairs(t) for t in TEMPLATES.get(n, [])] for n in names])), "array<array<array<string>>>")
     family = F.from_json(F.lit(json.dumps(names)), "array<string>")
     n_columns, licenses = fresh(docs, "n_paragraphs", "licenses")
+    cue = cues(alike)
+    said = (lambda c: c.rlike(f"(?i)(?<![a-z0-9])(?:{'|'.join(cue)})(?![a-z0-9])")) if cue else (lambda c: F.lit(True))
+    cued = (lambda t: F.arrays_overlap(t, F.array(*[F.lit(w) for w in cue]))) if cue else (lambda t: F.lit(True))
 
     def grams(tokens: Column, n: int) -> Column:
         return F.transform(F.sequence(F.lit(1), F.size(tokens) - n + 1), lambda i: F.array_join(F.slice(tokens, i, n), " ")) if n > 1 else tokens
@@ -165,8 +208,9 @@ def scan(docs: DataFrame, text: str = "text", least: float = LEAST, alike: float
                 at = (F.array_position(z, top) - 1).cast("int")
                 p = 1 / F.reduce(F.transform(z, lambda v: F.exp(v - top)), F.lit(0.0), lambda acc, v: acc + v)
                 own = F.array_distinct(F.when(F.size(tokens) >= 2, grams(tokens, 2)).otherwise(F.array().cast("array<string>")))
-                match = F.array_max(F.transform(F.get(lit["k"], at), lambda t: F.size(F.array_intersect(t, own)) / F.greatest(F.size(t), F.lit(1))))
-                return F.struct(i.cast("int").alias("paragraph"), F.get(lit["f"], at).alias("family"), p.alias("probability"), F.coalesce(match, F.lit(0.0)).alias("similarity"))
+                share = lambda t: _let(F.array_intersect(t, own), lambda m: F.struct((F.size(m) / F.greatest(F.size(t), F.lit(1))).alias("s"), m.alias("m")))
+                match = _let(F.array_max(F.transform(F.get(lit["k"], at), share)), lambda m: F.struct(F.coalesce(m["s"], F.lit(0.0)).alias("s"), m["m"].alias("m")))
+                return _let(match, lambda m: F.struct(i.cast("int").alias("paragraph"), F.get(lit["f"], at).alias("family"), p.alias("probability"), m["s"].alias("similarity"), m["m"].alias("matched")))
 
             return _let(total, best)
 
@@ -175,42 +219,36 @@ def scan(docs: DataFrame, text: str = "text", least: float = LEAST, alike: float
     def counts(r: Column) -> Column:
         return (r["family"] != UNKNOWN) & (r["probability"] >= least) & (r["similarity"] >= alike)
 
-    def join(paragraphs: Column, p: Column, i: Column) -> Column:
-        """The words around the end of line i, the number of lines joined to it, and i."""
-        rest = F.get(F.split(F.array_join(F.slice(paragraphs, i + 2, REACH), "\n"), _BLANK, 2), 0)
+    def stretches(p: Column) -> Column:
+        """The words of each line, and of each stretch of a paragraph that is not one short line."""
+        lines = F.split(p, "\n")
 
-        def joined(rest: Column) -> Column:
-            own, more = split(p), F.slice(split(rest), 1, REACH)
-            words = _let(own, lambda t: F.slice(t, F.greatest(F.lit(1), F.size(t) - REACH + 1), REACH))
-            return F.struct(F.when(p.rlike(r"[\p{L}\p{N}]") & (rest != ""), F.concat(words, more)).otherwise(F.array().cast("array<string>")).alias("t"), F.size(F.split(rest, "\n")).alias("n"), i.alias("i"))
+        def cut(tokens: Column) -> Column:
+            starts = F.sequence(F.lit(1), F.greatest(F.size(tokens), F.lit(1)), F.lit(REACH))
+            more = F.filter(F.transform(starts, lambda i: F.slice(tokens, i, 2 * REACH)), cued)
+            return F.when((F.size(lines) > 1) | (F.size(tokens) > 2 * REACH), more).otherwise(F.array().cast("array<array<string>>"))
 
-        return _let(rest, joined)
+        return F.concat(F.transform(F.filter(lines, said), split), _let(split(p), cut))
 
     def judged(paragraphs: Column) -> Column:
         literal = F.struct(weights.alias("w"), known.alias("k"), family.alias("f"))
-        cued = F.filter(F.transform(paragraphs, lambda p, i: F.struct(p.alias("p"), i.alias("i"))), lambda s: s["p"].rlike(CUE))
-        joins = F.filter(F.transform(paragraphs, lambda p, i: join(paragraphs, p, i)), lambda s: F.array_join(s["t"], " ").rlike(CUE))
-
-        def both(lit: Column) -> Column:
-            alone = F.filter(F.transform(cued, lambda s: judge(split(s["p"]), s["i"], lit)), counts)
-            wrapped = F.filter(F.transform(joins, lambda s: F.struct(judge(s["t"], s["i"], lit).alias("r"), (s["i"] + s["n"]).alias("last"))), lambda s: counts(s["r"]))
-            return _let(F.struct(alone.alias("a"), wrapped.alias("w")), merged)
-
-        def merged(found: Column) -> Column:
-            def stays(s: Column) -> Column:
-                r = s["r"]
-                same = lambda o: (o["family"] == r["family"]) & (o["paragraph"] >= r["paragraph"]) & (o["paragraph"] <= s["last"])
-                overlap = lambda o: (o["r"]["family"] == r["family"]) & (o["r"]["paragraph"] <= s["last"]) & (r["paragraph"] <= o["last"])
-                better = lambda o: (o["r"]["similarity"] > r["similarity"]) | ((o["r"]["similarity"] == r["similarity"]) & (o["r"]["paragraph"] > r["paragraph"]))
-                return ~F.exists(found["a"], same) & ~F.exists(found["w"], lambda o: overlap(o) & better(o))
+        numbered = F.filter(F.transform(paragraphs, lambda p, i: F.struct(p.alias("p"), i.alias("i"))), lambda s: said(s["p"]))
+        finds = lambda lit: F.flatten(F.transform(numbered, lambda s: F.filter(F.transform(stretches(s["p"]), lambda t: judge(t, s["i"], lit)), counts)))
 
-            return F.array_sort(F.concat(found["a"], F.transform(F.filter(found["w"], stays), lambda s: s["r"])))
+        def best(found: Column) -> Column:
+            same = lambda o, r: o["paragraph"] == r["paragraph"]
+            better = lambda o, r: (o["family"] == r["family"]) & ((o["similarity"] > r["similarity"]) | ((o["similarity"] == r["similarity"]) & (o["probability"] > r["probability"])))
+            # a part of another family's notice, cut at the end of a stretch
+            explains = lambda o, r: (o["family"] != r["family"]) & (o["similarity"] > r["similarity"]) & (F.size(F.array_except(r["matched"], o["matched"])) == 0)
+            left = F.filter(found, lambda r: ~F.exists(found, lambda o: same(o, r) & (better(o, r) | explains(o, r))))
+            return F.array_sort(F.array_distinct(F.transform(left, lambda r: F.struct(*[r[c].alias(c) for c in ("paragraph", "family", "probability", "similarity")]))))
 
-        return _let(literal, both)
+        return _let(_let(literal, finds), best)
 
     body = F.coalesce(F.col(text), F.lit(""))
     none = F.array().cast("array<struct<paragraph:int,family:string,probability:double,similarity:double>>")
-    return docs.withColumns({n_columns: F.size(F.split(body, "\n")).cast("long"), licenses: F.when(body.rlike(_WRAPPED), judged(F.split(body, "\n"))).otherwise(none)})
+    paragraphs = F.split(body, BREAK)
+    return docs.withColumns({n_columns: F.size(paragraphs).cast("long"), licenses: F.when(said(body), judged(paragraphs)).otherwise(none)})
 
 
 def op9_license_scans(spark, sf_dir: str) -> DataFrame:
