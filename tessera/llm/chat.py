@@ -7,13 +7,20 @@ aggregation; a marker's usual role adds MARKER_ROWS pseudo-counts, so that marke
 Viterbi finds the most likely roles; a label is never used to decode its own conversation's turns other than through
 these counts.
 
-A conversation may be of any length. It is cut into blocks of BLOCK turn numbers; each block yields the best score of
-a path between any two states (a small matrix), the matrices of a conversation are chained to fix the states at block
-edges, and each block is then decoded between its edges. The result is an exact Viterbi path, and no task holds more
-than one block of a conversation (more only where turns repeat one number). Transitions are counted inside blocks.
-
-Edge cases: a null text counts as empty and is one segment; null turns sort first and form a block; rows with a null
-conversation form one conversation; equal turns are ordered by text and role; a role that is null trains nothing;
+A conversation may be of any length, and one may hold any share of all rows. Turns are dealt by ranges of conversation,
+turn and text, with a row's number as the last resort, so nothing is too common to be split, and each range is cut into
+blocks of BLOCK rows of one conversation. A block yields the best score of a path between any two states (a small
+matrix); these are multiplied by GROUP blocks, the products of a conversation are chained to fix the states at their
+ends, those of the blocks follow within each group, and each block is then decoded between its ends. The result is an
+exact Viterbi path; no task holds more than one block, GROUP matrices, or a product for each GROUP * BLOCK rows and each
+range that a conversation has. Transitions and starts are counted within blocks and across their edges.
+
+A rendered turn is <|role|>, a line feed, the content and <|end|>. So that no content forges such marks, a < that stands
+before backslashes (or none) and a | gets one backslash more; plain() takes it off again. What is not a letter, digit,
+dot or hyphen in a role is rendered as an underscore.
+
+Edge cases: a null text counts as empty and is one segment; null turns sort first; rows with a null conversation form
+one conversation; equal turns are ordered by the hash of their text and role; a role that is null trains nothing;
 without any label the roles are system, user and assistant, by markers alone; an empty table gives an empty result;
 other columns are not carried.
 """
@@ -25,12 +32,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.common import keep, prepare
 
-BLOCK, MARKER_ROWS, SMOOTH = 512, 200.0, 1.0
+BLOCK, GROUP, MARKER_ROWS, SMOOTH = 512, 512, 200.0, 1.0
 ROLES = ["system", "user", "assistant"]
 #: Speaker markers and their roles. Fixed values.
 MARKERS = {"system": "system", "instructions": "system", "user": "user", "human": "user", "question": "user", "q": "user", "customer": "user", "client": "user", "prompter": "user", "assistant": "assistant", "ai": "assistant", "bot": "assistant", "answer": "assistant", "a": "assistant", "agent": "assistant", "gpt": "assistant", "model": "assistant", "response": "assistant"}
@@ -60,35 +67,61 @@ def observe(marker: str, content: str, first: bool) -> tuple[str, ...]:
     )
 
 
-def _layout(rows: DataFrame, conv_id: str, turn: str, role: str | None, text: str) -> DataFrame:
-    """Turns by conversation and block, in order within a task."""
-    number = F.col(turn).cast("long")
-    named = rows.select(F.col(conv_id).cast("string").alias("conv"), number.alias("turn"), F.floor(number / BLOCK).alias("block"), (F.col(role).cast("string") if role else F.lit(None).cast("string")).alias("role"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    return named
+_ROWS = pa.struct([("turn", pa.int64()), ("role", pa.string()), ("text", pa.string())])
+_BLOCK = pa.schema([("conv", pa.string()), ("block", pa.int64()), ("opens", pa.string()), ("closes", pa.string()), ("rows", pa.list_(_ROWS))])
 
 
-def _sorted(turns: DataFrame) -> DataFrame:
-    return turns.repartition("conv", "block").sortWithinPartitions("conv", "block", "turn", "text", "role")
+def _label(i: int, marker: str, role: str | None) -> str | None:
+    """A label belongs to a turn's first segment; others, and those without one, go by their markers."""
+    return MARKERS.get(marker, role) if i or role is None else role
 
 
-def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[list[dict]]:
-    """The rows of each block, as they come sorted."""
-    held: list[dict] = []
+def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Blocks of sorted turns, with the labels of their first and last segments."""
+    from pyspark import TaskContext
+
+    number, held, out, size = TaskContext.get().partitionId() << 32, [], [], 0
+
+    def close() -> None:
+        nonlocal number, held, size
+        first, last = segments(held[0]["text"]), segments(held[-1]["text"])
+        out.append((held[0]["conv"], number, _label(0, first[0][0], held[0]["role"]), _label(len(last) - 1, last[-1][0], held[-1]["role"]), [{k: r[k] for k in ("turn", "role", "text")} for r in held]))
+        number, held = number + 1, []
+
+    def ready() -> pa.RecordBatch:
+        columns = zip(*out, strict=True) if out else [()] * len(_BLOCK)
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _BLOCK, strict=True)], schema=_BLOCK)
+
     for batch in batches:
         for row in batch.to_pylist():
-            if held and (row["conv"], row["block"]) != (held[0]["conv"], held[0]["block"]):
-                yield held
-                held = []
+            if held and (row["conv"] != held[0]["conv"] or len(held) >= BLOCK):
+                close()
             held.append(row)
+            size += len(row["text"])
+        if size > 1 << 22:
+            yield ready()
+            out, size = [], 0
     if held:
-        yield held
+        close()
+    yield ready()
 
 
-def _split(block: list[dict]) -> list[tuple[dict, int, str, tuple[str, ...], str]]:
+def blocks_of(rows: DataFrame, conv_id: str, turn: str, role: str | None, text: str) -> tuple[DataFrame, DataFrame]:
+    """conv, block, opens, closes and rows of each block, written; and of each block how it follows the one before."""
+    given = F.col(role).cast("string") if role else F.lit(None).cast("string")
+    named = rows.select(F.col(conv_id).cast("string").alias("conv"), F.col(turn).cast("long").alias("turn"), given.alias("role"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    order = ["conv", "turn", "hash", "tie"]
+    placed = named.withColumn("hash", F.xxhash64("text", "role")).withColumn("tie", F.monotonically_increasing_id())
+    dealt = placed.repartitionByRange(*order).sortWithinPartitions(*order).drop("hash", "tie")
+    blocks = keep(dealt.mapInArrow(_cut, "conv string, block long, opens string, closes string, rows array<struct<turn:long,role:string,text:string>>"), "blocks")
+    before = Window.partitionBy("conv").orderBy("block")
+    return blocks, blocks.select("conv", "block", "opens", F.lag("closes").over(before).alias("last"), (F.row_number().over(before) == 1).alias("first"))
+
+
+def _split(rows: list[dict], opening: bool = False) -> list[tuple[dict, int, str, tuple[str, ...], str]]:
     """Row, number in its row, marker, features and content of each segment of a block."""
     out = []
-    opening = (block[0]["block"] or 0) <= 0
-    for row in block:
+    for row in rows:
         for i, (marker, content) in enumerate(segments(row["text"])):
             out.append((row, i, marker, observe(marker, content, opening and not out), content))
     return out
@@ -96,19 +129,15 @@ def _split(block: list[dict]) -> list[tuple[dict, int, str, tuple[str, ...], str
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     counts: dict[tuple[str, str, str], int] = {}
-    for block in _blocks(batches):
-        last = None
-        for row, i, marker, features, _ in _split(block):
-            # a label belongs to a turn's first segment; others, and those without one, go by their markers
-            role = MARKERS.get(marker, row["role"]) if i or row["role"] is None else row["role"]
-            if role is None:
-                last = None
-                continue
-            keys = [(k, v, role) for k, v in zip(_KINDS, features, strict=True)]
-            keys.append(("after", last, role) if last is not None else ("start", "", role) if features[-1] else ("role", "", role))
-            for key in keys:
-                counts[key] = counts.get(key, 0) + 1
-            last = role
+    for batch in batches:
+        for rows in batch.column("rows"):
+            last = None
+            for row, i, marker, features, _ in _split(rows.as_py()):
+                role = _label(i, marker, row["role"])
+                if role is not None:
+                    for key in [*((k, v, role) for k, v in zip(_KINDS, features, strict=True)), *([("after", last, role)] if last is not None else [])]:
+                        counts[key] = counts.get(key, 0) + 1
+                last = role
     kind, value, role = zip(*counts, strict=True) if counts else ((), (), ())
     yield pa.RecordBatch.from_arrays([pa.array(kind, pa.string()), pa.array(value, pa.string()), pa.array(role, pa.string()), pa.array(counts.values(), pa.int64())], names=["kind", "value", "role", "n"])
 
@@ -162,6 +191,28 @@ class Model:
             best = np.stack([(b[:, None] + self.move).max(0) for b in best]) + e if k > 16 else (best[:, :, None] + self.move[None]).max(1) + e
         return best
 
+    def times(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """The best scores over two stretches, one after the other."""
+        enter = np.stack([(x[:, None] + self.move).max(0) for x in a])
+        return np.stack([(x[:, None] + b).max(0) for x in enter])
+
+    def ends(self, parts: list[np.ndarray], start: np.ndarray, end: int | None = None) -> list[tuple[int, int]]:
+        """The first and last state of each stretch on the best path, from scores of starting and with the end given or free."""
+        whole = start[:, None] + parts[0]
+        firsts, back, best = [whole.argmax(0)], [None], whole.max(0)
+        for part in parts[1:]:
+            enter = best[:, None] + self.move
+            back.append(enter.argmax(0))
+            whole = enter.max(0)[:, None] + part
+            firsts.append(whole.argmax(0))
+            best = whole.max(0)
+        state, out = int(best.argmax()) if end is None else end, []
+        for i in range(len(parts) - 1, -1, -1):
+            first = int(firsts[i][state])
+            out.append((first, state))
+            state = int(back[i][first]) if i else state
+        return out[::-1]
+
     def path(self, emitted: np.ndarray, start: int | None = None, end: int | None = None) -> list[int]:
         """The most likely roles, with the first and last given or free."""
         best, back = emitted[0] + self.start, []
@@ -177,97 +228,104 @@ class Model:
         return out[::-1]
 
 
-def fit(turns: DataFrame) -> Model:
-    """Count features and transitions of all labelled turns."""
-    rows = _sorted(turns).mapInArrow(_count, "kind string, value string, role string, n long").groupBy("kind", "value", "role").agg(F.sum("n").alias("n")).collect()
+def fit(blocks: DataFrame, links: DataFrame) -> Model:
+    """Count features, starts and transitions of all labelled turns."""
+    row = lambda kind, value, n=1: F.struct(F.lit(kind).alias("kind"), value.alias("value"), F.col("opens").alias("role"), F.lit(n).cast("long").alias("n"))
+    opening = F.array(row("first", F.lit("first")), row("first", F.lit(""), -1), row("start", F.lit("")))
+    edges = links.filter("opens is not null and (first or last is not null)").select(F.explode(F.when(F.col("first"), opening).otherwise(F.array(row("after", F.col("last"))))).alias("r")).select("r.*")
+    counted = blocks.select("rows").mapInArrow(_count, "kind string, value string, role string, n long").unionByName(edges)
+    rows = counted.groupBy("kind", "value", "role").agg(F.sum("n").alias("n")).filter("n > 0").collect()
     return Model({(r["kind"], r["value"], r["role"]): float(r["n"]) for r in rows})
 
 
-def _edges(model: Model):
-    k = len(model.roles)
+def _groups(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...]) -> Iterator[list[dict]]:
+    """Rows of equal keys, as they come sorted."""
+    held: list[dict] = []
+    for batch in batches:
+        for row in batch.to_pylist():
+            if held and any(row[k] != held[0][k] for k in keys):
+                yield held
+                held = []
+            held.append(row)
+    if held:
+        yield held
 
-    def matrices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out = [(b[0]["conv"], b[0]["block"], model.between(model.scores([s[3] for s in _split(b)])).tobytes()) for b in _blocks(batches)]
-        conv, block, best = zip(*out, strict=True) if out else ((), (), ())
-        yield pa.RecordBatch.from_arrays([pa.array(conv, pa.string()), pa.array(block, pa.int64()), pa.array(best, pa.binary())], names=["conv", "block", "best"])
 
-    def chain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
-
-        def solve() -> list[tuple]:
-            parts = [np.frombuffer(h[2]).reshape(k, k) for h in held]
-            best, back = parts[0] + model.start[:, None], [None]
-            firsts = [best.argmax(0)]
-            score = best.max(0)
-            for part in parts[1:]:
-                enter = score[:, None] + model.move
-                back.append(enter.argmax(0))
-                whole = enter.max(0)[:, None] + part
-                firsts.append(whole.argmax(0))
-                score = whole.max(0)
-            end, out = int(score.argmax()), []
-            for i in range(len(parts) - 1, -1, -1):
-                start = int(firsts[i][end])
-                out.append((held[i][0], held[i][1], start, end))
-                end = int(back[i][start]) if i else end
-            return out
+def _table(rows: list[tuple], names: tuple[str, ...], kinds: tuple[pa.DataType, ...]) -> pa.RecordBatch:
+    columns = zip(*rows, strict=True) if rows else [()] * len(names)
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=list(names))
+
 
+def block_ends(blocks: DataFrame, model: Model) -> DataFrame:
+    """block, first and last: the states at the ends of each block on the best path of its conversation."""
+    k = len(model.roles)
+    square = lambda payload: np.frombuffer(payload).reshape(k, k)
+
+    def matrices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if held and row[0] != held[0][0]:
-                    out += solve()
-                    held = []
-                held.append(row)
-            yield _edge_rows(out)
-        if held:
-            yield _edge_rows(solve())
+            for conv, block, rows in zip(batch.column("conv").to_pylist(), batch.column("block").to_pylist(), batch.column("rows"), strict=True):
+                parts = _split(rows.as_py())
+                # what it means for the first segment to be the conversation's first
+                other = model.scores([observe(parts[0][2], parts[0][4], True), parts[0][3]])
+                out.append((conv, block, model.between(model.scores([p[3] for p in parts])).tobytes(), (other[0] - other[1]).tobytes()))
+            yield _table(out, ("conv", "block", "best", "opening"), (pa.string(), pa.int64(), pa.binary(), pa.binary()))
+
+    def product(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for held in _groups(batches, ("conv", "set")):
+            whole = square(held[0]["best"])
+            for h in held[1:]:
+                whole = model.times(whole, square(h["best"]))
+            yield _table([(held[0]["conv"], held[0]["set"], whole.tobytes(), held[0]["opening"])], ("conv", "set", "best", "opening"), (pa.string(), pa.int64(), pa.binary(), pa.binary()))
 
-    return matrices, chain
+    def chain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for held in _groups(batches, ("conv",)):
+            found = model.ends([square(h["best"]) for h in held], model.start + np.frombuffer(held[0]["opening"]))
+            yield _table([(held[0]["conv"], h["set"], a, b) for h, (a, b) in zip(held, found, strict=True)], ("conv", "set", "first", "last"), (pa.string(), pa.int64(), pa.int32(), pa.int32()))
 
+    def within(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for held in _groups(batches, ("conv", "set")):
+            start = np.where(np.arange(k) == held[0]["first"], 0.0, -np.inf)
+            found = model.ends([square(h["best"]) for h in held], start, held[0]["last"])
+            yield _table([(h["block"], a, b) for h, (a, b) in zip(held, found, strict=True)], ("block", "first", "last"), (pa.int64(), pa.int32(), pa.int32()))
 
-def _edge_rows(rows: list[tuple]) -> pa.RecordBatch:
-    columns = zip(*rows, strict=True) if rows else ((), (), (), ())
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int64(), pa.int32(), pa.int32()), strict=True)], names=["conv", "block", "first", "last"])
+    best = blocks.select("conv", "block", "rows").mapInArrow(matrices, "conv string, block long, best binary, opening binary")
+    best = keep(best.withColumn("set", F.floor(F.col("block") / GROUP)), "matrices")
+    sets = best.repartition("conv", "set").sortWithinPartitions("conv", "set", "block").mapInArrow(product, "conv string, set long, best binary, opening binary")
+    tops = sets.repartition("conv").sortWithinPartitions("conv", "set").mapInArrow(chain, "conv string, set long, first int, last int")
+    a, b = best.alias("a"), tops.alias("b")
+    joined = a.join(b, F.col("a.conv").eqNullSafe(F.col("b.conv")) & (F.col("a.set") == F.col("b.set"))).select("a.conv", "a.set", "block", "best", "first", "last")
+    return joined.repartition("conv", "set").sortWithinPartitions("conv", "set", "block").mapInArrow(within, "block long, first int, last int")
 
 
 def render(role: str, content: str) -> str:
-    """A turn in canonical form."""
-    return f"<|{role}|>\n{content}<|end|>"
+    """A turn in canonical form; marks in the content are made harmless."""
+    return f"<|{re.sub(r'[^\w.-]', '_', role)}|>\n{re.sub(r'<(?=\\*[|])', lambda m: m[0] + chr(92), content)}<|end|>"
+
+
+def plain(rendered: str) -> str:
+    """The content of a rendered turn."""
+    return re.sub(r"<\\(?=\\*[|])", "<", rendered[rendered.index("\n") + 1 : -len("<|end|>")])
 
 
 def parse(rows: DataFrame, conv_id: str = "conv_id", turn: str = "turn", text: str = "text", role: str | None = "role") -> DataFrame:
     """A row for each segment: conv_id, turn, segment, role (recovered), content, rendered and labelled (the given role)."""
     prepare(rows.sparkSession)
     kind = rows.schema[conv_id].dataType
-    turns = _layout(rows, conv_id, turn, role, text)
-    model = fit(turns)
-    matrices, chain = _edges(model)
-    best = _sorted(turns).mapInArrow(matrices, "conv string, block long, best binary")
-    edges = keep(best.repartition("conv").sortWithinPartitions("conv", "block").mapInArrow(chain, "conv string, block long, first int, last int"), "edges")
-    a, b = turns.alias("a"), edges.alias("b")
-    joined = a.join(b, F.col("a.conv").eqNullSafe(F.col("b.conv")) & F.col("a.block").eqNullSafe(F.col("b.block"))).select("a.*", "first", "last")
+    blocks, links = blocks_of(rows, conv_id, turn, role, text)
+    model = fit(blocks, links)
+    ends = keep(block_ends(blocks, model), "ends")
+    kinds = (pa.string(), pa.int64(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.string())
+    names = ("conv_id", "turn", "segment", "role", "content", "rendered", "labelled")
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out: list[tuple] = []
-
-        def flush() -> pa.RecordBatch:
-            columns = zip(*out, strict=True) if out else [()] * 7
-            kinds = (pa.string(), pa.int64(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.string())
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["conv_id", "turn", "segment", "role", "content", "rendered", "labelled"])
-
-        for block in _blocks(batches):
-            parts = _split(block)
-            path = model.path(model.scores([p[3] for p in parts]), block[0]["first"], block[0]["last"])
-            for (row, i, _, _, content), state in zip(parts, path, strict=True):
-                out.append((row["conv"], row["turn"], i, model.roles[state], content, render(model.roles[state], content), row["role"]))
-            if len(out) > 1000:
-                yield flush()
-                out.clear()
-        yield flush()
-
-    schema = "conv_id string, turn long, segment int, role string, content string, rendered string, labelled string"
-    found = _sorted(joined).mapInArrow(decode, schema)
+        for batch in batches:
+            for conv, first, last, rows in zip(*(batch.column(c).to_pylist() for c in ("conv", "first", "last")), batch.column("rows"), strict=True):
+                parts = _split(rows.as_py())
+                path = model.path(model.scores([p[3] for p in parts]), first, last)
+                yield _table([(conv, row["turn"], i, model.roles[state], content, render(model.roles[state], content), row["role"]) for (row, i, _, _, content), state in zip(parts, path, strict=True)], names, kinds)
+
+    found = blocks.select("conv", "block", "rows").join(ends, "block").mapInArrow(decode, "conv_id string, turn long, segment int, role string, content string, rendered string, labelled string")
     return found.withColumn("conv_id", F.col("conv_id").cast(kind))
 
 
