@@ -7,6 +7,15 @@ the rank map. The rank map is one literal of the plan (an array of small maps by
 by entry). Chunks are then put together again from the words' ids.
 Decoding joins the ids' byte pieces.
 
+A fold takes the square of its word's length, so a word of over LONG bytes is folded in pieces of LONG bytes, which
+overlap by half or more. Two neighbouring ids of an encoding stay neighbours in the encoding of any longer text if and
+only if they are the encoding of their own bytes together, and ids of which all neighbours are such pairs are the
+encoding of the whole. So where two pieces have one id at one place, the ids of the first up to it and those of the
+second behind it are the word's. A piece that would begin in a run of one character begins before the run, or in a
+long one at a multiple of the lengths that its merges have, so that pieces meet. Should two have no id in common, as may
+be in runs longer than a piece, the word is merged in the assembling worker, by a heap; the time of both ways is nearly
+linear in the word's length.
+
 So that a frequent word is not folded in every chunk, the CACHE_WORDS most frequent words of CACHE_ROWS documents are
 folded once and sent to all workers (both bounds are parameters). They change the time that it takes, never a result:
 any other word is folded in its chunk. No document is shuffled.
@@ -20,6 +29,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import heapq
 import json
 from collections import Counter
 from collections.abc import Callable, Iterator
@@ -39,10 +49,10 @@ from tessera.llm.quality import slices
 CHUNK, CACHE_ROWS, CACHE_WORDS = 24 << 20, 24_000, 800_000
 #: Maps in the rank literal (a prime), the bound of ids, and the unit of ranks in a part's entry: ids and places lie below it.
 MAPS, IDS, RANK = 65_521, 1 << 17, 1 << 45
-_CHUNK_SCHEMA = "rows binary, places binary, counts binary, words array<array<bigint>>"
-_CHUNK_ARROW = pa.schema([("rows", pa.binary()), ("places", pa.binary()), ("counts", pa.binary()), ("words", pa.list_(pa.list_(pa.int64())))])
-#: New words in one row.
-PART = 4096
+_CHUNK_SCHEMA = "rows binary, places binary, counts binary, cuts binary, words array<array<bigint>>"
+_CHUNK_ARROW = pa.schema([("rows", pa.binary()), ("places", pa.binary()), ("counts", pa.binary()), ("cuts", pa.binary()), ("words", pa.list_(pa.list_(pa.int64())))])
+#: New words in one row; bytes of a piece of a long word, and from one piece to the next.
+PART, LONG, STRIDE = 4096, 384, 192
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -124,6 +134,69 @@ def byte_entries(words: pa.Array, tables: tuple[np.ndarray, np.ndarray]) -> pa.A
     return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(rank * RANK + place * IDS + single[data]))
 
 
+def piece_starts(word: bytes) -> list[int]:
+    """Where the pieces of a long word begin; each has LONG bytes, or what is left."""
+    data, out = np.frombuffer(word, np.uint8), [0]
+    runs = []
+    for period, unit in ((1, 64), (2, 64), (3, 96), (4, 128)):
+        breaks = np.zeros(len(data), np.int64)
+        breaks[period:] = np.where(data[period:] != data[:-period], np.arange(period, len(data)), 0)
+        runs.append((unit, np.maximum.accumulate(breaks) - period + 1))
+    while out[-1] + LONG < len(word):
+        at = out[-1] + STRIDE
+        for unit, since in runs:
+            begin = max(0, int(since[at]))
+            # before the run, as what stands there decides how it falls into parts; else whole parts into it
+            aligned = begin - 8 if begin - 8 > out[-1] else begin + (at - begin) // unit * unit
+            if at - begin >= unit // 2 and aligned > out[-1]:
+                at = aligned
+                break
+        out.append(at)
+    return out
+
+
+def join_pieces(starts: list[int], pieces: list[np.ndarray], sizes: np.ndarray) -> np.ndarray | None:
+    """A word's ids from those of its pieces (sizes: each id's bytes); None if two pieces have no id in common."""
+    ids = pieces[0].astype(np.int64)
+    begins = np.concatenate([[0], np.cumsum(sizes[ids])])[:-1]
+    held = []
+    for start, piece in zip(starts[1:], pieces[1:], strict=True):
+        piece = piece.astype(np.int64)
+        there = start + np.concatenate([[0], np.cumsum(sizes[piece])])[:-1]
+        key = lambda at, of: at << 32 | of
+        _, a, b = np.intersect1d(key(begins, ids), key(there, piece), assume_unique=True, return_indices=True)
+        if not len(a):
+            return None
+        pick = len(a) // 2
+        held.append(ids[: a[pick] + 1])
+        ids, begins = piece[b[pick] + 1 :], there[b[pick] + 1 :]
+    return np.concatenate([*held, ids])
+
+
+def merge_bytes(word: bytes, ranks: dict[bytes, int]) -> list[int]:
+    """The ids of one word by a heap of pairs, lowest rank and then leftmost first."""
+    n = len(word)
+    after, before, end = list(range(1, n + 1)), list(range(-1, n - 1)), list(range(1, n + 1))
+    heap = [(ranks[word[i : i + 2]], i, i + 2) for i in range(n - 1) if word[i : i + 2] in ranks]
+    heapq.heapify(heap)
+    while heap:
+        _, i, stop = heapq.heappop(heap)
+        j = after[i] if end[i] else n
+        if j >= n or not end[i] or end[j] != stop:
+            continue
+        end[i], after[i], end[j] = stop, after[j], 0
+        if after[i] < n:
+            before[after[i]] = i
+        for a, b in ((before[i], i), (i, after[i])):
+            if a >= 0 and b < n and (rank := ranks.get(word[a : end[b]])) is not None:
+                heapq.heappush(heap, (rank, a, end[b]))
+    out, i = [], 0
+    while i < n:
+        out.append(ranks[word[i : end[i]]])
+        i = after[i]
+    return out
+
+
 def _let(value: Column, body) -> Column:
     """body of value, with value computed once."""
     return F.get(F.transform(F.array(value), body), 0)
@@ -152,18 +225,27 @@ def _chunks(pattern: str, known: pa.Array, size: int, tables: tuple[np.ndarray,
         def chunk() -> Iterator[pa.RecordBatch]:
             coded = pa.chunked_array([w.dictionary_encode() for w in fresh_words], pa.dictionary(pa.int32(), pa.binary())).unify_dictionaries()
             words = coded.chunk(0).dictionary
+            far = pc.greater(pc.binary_length(words), LONG).to_numpy(zero_copy_only=False)
+            slot, cuts = np.arange(len(words) + 1), None
+            if far.any():
+                # short words first, then the pieces of long ones
+                longer = [w.as_py() for w in words.filter(pa.array(far))]
+                starts = [piece_starts(w) for w in longer]
+                slot = np.append(np.where(far, (~far).sum() + np.cumsum(far), np.cumsum(~far)) - 1, 0)
+                words = pa.concat_arrays([words.filter(pa.array(~far)), pa.array([w[a : a + LONG] for w, s in zip(longer, starts, strict=True) for a in s], pa.binary())])
+                cuts = _squeezed(np.array([(~far).sum(), len(longer), *map(len, starts), *(a for s in starts for a in s)], np.int64))
             every = []
             for place, index in zip(places, coded.chunks, strict=True):
                 index = np.append(index.indices.to_numpy(), 0)
-                every.append(np.where(place >= 0, index[np.maximum(place, 0)], place).astype(np.int32))
+                every.append(np.where(place >= 0, slot[index[np.maximum(place, 0)]], place).astype(np.int32))
             sink = pa.BufferOutputStream()
             with pa.ipc.new_stream(sink, rest[0].schema) as out:
                 for batch in rest:
                     out.write_batch(batch)
             for at in range(0, len(words), PART):
                 part = byte_entries(words.slice(at, PART), tables)
-                yield _row(None, None, None, part)
-            yield _row(sink.getvalue().to_pybytes(), _squeezed(np.concatenate(every)), _squeezed(np.concatenate(counts)), part[:0] if len(words) else byte_entries(words, tables))
+                yield _row(None, None, None, None, part)
+            yield _row(sink.getvalue().to_pybytes(), _squeezed(np.concatenate(every)), _squeezed(np.concatenate(counts)), cuts, part[:0] if len(words) else byte_entries(words, tables))
 
         for whole in batches:
             for batch in slices(whole, whole.num_columns - 1, 4 << 20):
@@ -188,9 +270,9 @@ def _chunks(pattern: str, known: pa.Array, size: int, tables: tuple[np.ndarray,
     return run
 
 
-def _row(rows: bytes | None, places: bytes | None, counts: bytes | None, words: pa.Array) -> pa.RecordBatch:
+def _row(rows: bytes | None, places: bytes | None, counts: bytes | None, cuts: bytes | None, words: pa.Array) -> pa.RecordBatch:
     lists = pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), words)
-    return pa.RecordBatch.from_arrays([*(pa.array([x], pa.binary()) for x in (rows, places, counts)), lists], schema=_CHUNK_ARROW)
+    return pa.RecordBatch.from_arrays([*(pa.array([x], pa.binary()) for x in (rows, places, counts, cuts)), lists], schema=_CHUNK_ARROW)
 
 
 def _squeezed(x: np.ndarray) -> bytes:
@@ -216,7 +298,29 @@ def _ranges(start: np.ndarray, count: np.ndarray) -> np.ndarray:
     return np.arange(ends[-1] if len(ends) else 0) + np.repeat(start - (ends - count), count)
 
 
-def _assemble(cache_ends: np.ndarray, cache_ids: np.ndarray, names: list[str], per: int, finish: Callable[[pa.RecordBatch], pa.RecordBatch] | None):
+def _whole_words(own: pa.Array, cuts: np.ndarray, pieces: pa.Array) -> pa.Array:
+    """Lists of ids with those of pieces joined: short words first, then long ones."""
+    short, n = int(cuts[0]), int(cuts[1])
+    sizes = pc.binary_length(pieces).to_numpy(zero_copy_only=False)
+    parts = [np.asarray(x.as_py(), np.int64) for x in own[short:]]
+    starts, at, out, ranks = cuts[2 + n :], 0, [], {}
+    for count in cuts[2 : 2 + n].tolist():
+        mine, begins = parts[at : at + count], starts[at : at + count].tolist()
+        at += count
+        ids = join_pieces(begins, mine, sizes)
+        if ids is None:
+            # each piece's bytes up to where the next begins are the word
+            table = pieces.to_pylist()
+            ranks = ranks or {p: i for i, p in enumerate(table[:-1]) if p}
+            texts = [b"".join(table[i] for i in m) for m in mine]
+            word = b"".join([*(t[: b - a] for t, a, b in zip(texts, begins, begins[1:], strict=False)), texts[-1]])
+            ids = merge_bytes(word, ranks)
+        out.append(pa.array(ids, pa.int32()))
+    joined_ = _lists(np.cumsum([0, *map(len, out)]), pa.concat_arrays(out)) if out else own[:0]
+    return pa.concat_arrays([own[:short], joined_.cast(own.type)])
+
+
+def _assemble(cache_ends: np.ndarray, cache_ids: np.ndarray, pieces: pa.Array, names: list[str], per: int, finish: Callable[[pa.RecordBatch], pa.RecordBatch] | None):
     """Rows with their ids, from chunks whose new words have ids."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -232,6 +336,8 @@ def _assemble(cache_ends: np.ndarray, cache_ids: np.ndarray, names: list[str], p
                 places, counts = _unsqueezed(batch.column("places")[i].as_py(), np.int32), _unsqueezed(batch.column("counts")[i].as_py(), np.int64)
                 own = pa.concat_arrays([*parts, own])
                 parts = []
+                if batch.column("cuts")[i].is_valid:
+                    own = _whole_words(own, _unsqueezed(batch.column("cuts")[i].as_py(), np.int64), pieces)
                 ends = np.concatenate([[0], np.cumsum(pc.list_value_length(own).to_numpy(zero_copy_only=False))]).astype(np.int64)
                 flat = own.flatten().to_numpy(zero_copy_only=False)
                 # the cache's words stand behind the chunk's own
@@ -281,7 +387,7 @@ def encode(docs: DataFrame, text: str = "text", path: str | None = None, pattern
     share = min(1.0, cache_rows / max(1, docs.count()))
     sampled = docs.select(text).sample(fraction=share, seed=5) if share < 1 else docs.select(text)
     counted = sampled.mapInArrow(frequent, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    top = counted.orderBy(F.desc("n"), "word").limit(cache_words).select("word").repartition(spark.sparkContext.defaultParallelism)
+    top = counted.filter(F.octet_length("word") <= LONG).orderBy(F.desc("n"), "word").limit(cache_words).select("word").repartition(spark.sparkContext.defaultParallelism)
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -294,10 +400,10 @@ def encode(docs: DataFrame, text: str = "text", path: str | None = None, pattern
     cache_ids = ids.flatten().to_numpy(zero_copy_only=False)
 
     chunks = rows.mapInArrow(_chunks(pattern, known, chunk, tables), _CHUNK_SCHEMA)
-    merged = chunks.select("rows", "places", "counts", encode_words(F.col("words"), ranks).alias("ids"))
+    merged = chunks.select("rows", "places", "counts", "cuts", encode_words(F.col("words"), ranks).alias("ids"))
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
     own = ", ".join([*(f"{c} {kinds[c]}" for c in inner), "ids array<int>"])
-    done = merged.mapInArrow(_assemble(cache_ends, cache_ids, [*(others if finish else inner), "ids"], 1000, finish), schema if finish else own)
+    done = merged.mapInArrow(_assemble(cache_ends, cache_ids, piece_table(ranks), [*(others if finish else inner), "ids"], 1000, finish), schema if finish else own)
     return done if finish else done.toDF(*others, "ids")
 
 
