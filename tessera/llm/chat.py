@@ -256,6 +256,17 @@ def _table(rows: list[tuple], names: tuple[str, ...], kinds: tuple[pa.DataType,
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=list(names))
 
 
+def _batched(parts: Iterator[list[tuple]], names: tuple[str, ...], kinds: tuple[pa.DataType, ...], size: int = 1000) -> Iterator[pa.RecordBatch]:
+    """Rows that come in small lists, in batches of about size."""
+    held: list[tuple] = []
+    for part in parts:
+        held += part
+        if len(held) >= size:
+            yield _table(held, names, kinds)
+            held = []
+    yield _table(held, names, kinds)
+
+
 def block_ends(blocks: DataFrame, model: Model) -> DataFrame:
     """block, first and last: the states at the ends of each block on the best path of its conversation."""
     k = len(model.roles)
@@ -272,22 +283,31 @@ def block_ends(blocks: DataFrame, model: Model) -> DataFrame:
             yield _table(out, ("conv", "block", "best", "opening"), (pa.string(), pa.int64(), pa.binary(), pa.binary()))
 
     def product(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for held in _groups(batches, ("conv", "set")):
-            whole = square(held[0]["best"])
-            for h in held[1:]:
-                whole = model.times(whole, square(h["best"]))
-            yield _table([(held[0]["conv"], held[0]["set"], whole.tobytes(), held[0]["opening"])], ("conv", "set", "best", "opening"), (pa.string(), pa.int64(), pa.binary(), pa.binary()))
+        def rows() -> Iterator[list[tuple]]:
+            for held in _groups(batches, ("conv", "set")):
+                whole = square(held[0]["best"])
+                for h in held[1:]:
+                    whole = model.times(whole, square(h["best"]))
+                yield [(held[0]["conv"], held[0]["set"], whole.tobytes(), held[0]["opening"])]
+
+        yield from _batched(rows(), ("conv", "set", "best", "opening"), (pa.string(), pa.int64(), pa.binary(), pa.binary()))
 
     def chain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for held in _groups(batches, ("conv",)):
-            found = model.ends([square(h["best"]) for h in held], model.start + np.frombuffer(held[0]["opening"]))
-            yield _table([(held[0]["conv"], h["set"], a, b) for h, (a, b) in zip(held, found, strict=True)], ("conv", "set", "first", "last"), (pa.string(), pa.int64(), pa.int32(), pa.int32()))
+        def rows() -> Iterator[list[tuple]]:
+            for held in _groups(batches, ("conv",)):
+                found = model.ends([square(h["best"]) for h in held], model.start + np.frombuffer(held[0]["opening"]))
+                yield [(held[0]["conv"], h["set"], a, b) for h, (a, b) in zip(held, found, strict=True)]
+
+        yield from _batched(rows(), ("conv", "set", "first", "last"), (pa.string(), pa.int64(), pa.int32(), pa.int32()))
 
     def within(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for held in _groups(batches, ("conv", "set")):
-            start = np.where(np.arange(k) == held[0]["first"], 0.0, -np.inf)
-            found = model.ends([square(h["best"]) for h in held], start, held[0]["last"])
-            yield _table([(h["block"], a, b) for h, (a, b) in zip(held, found, strict=True)], ("block", "first", "last"), (pa.int64(), pa.int32(), pa.int32()))
+        def rows() -> Iterator[list[tuple]]:
+            for held in _groups(batches, ("conv", "set")):
+                start = np.where(np.arange(k) == held[0]["first"], 0.0, -np.inf)
+                found = model.ends([square(h["best"]) for h in held], start, held[0]["last"])
+                yield [(h["block"], a, b) for h, (a, b) in zip(held, found, strict=True)]
+
+        yield from _batched(rows(), ("block", "first", "last"), (pa.int64(), pa.int32(), pa.int32()))
 
     best = blocks.select("conv", "block", "rows").mapInArrow(matrices, "conv string, block long, best binary, opening binary")
     best = keep(best.withColumn("set", F.floor(F.col("block") / GROUP)), "matrices")
@@ -319,11 +339,14 @@ def parse(rows: DataFrame, conv_id: str = "conv_id", turn: str = "turn", text: s
     names = ("conv_id", "turn", "segment", "role", "content", "rendered", "labelled")
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        def decoded(batch: pa.RecordBatch) -> Iterator[list[tuple]]:
             for conv, first, last, rows in zip(*(batch.column(c).to_pylist() for c in ("conv", "first", "last")), batch.column("rows"), strict=True):
                 parts = _split(rows.as_py())
                 path = model.path(model.scores([p[3] for p in parts]), first, last)
-                yield _table([(conv, row["turn"], i, model.roles[state], content, render(model.roles[state], content), row["role"]) for (row, i, _, _, content), state in zip(parts, path, strict=True)], names, kinds)
+                yield [(conv, row["turn"], i, model.roles[state], content, render(model.roles[state], content), row["role"]) for (row, i, _, _, content), state in zip(parts, path, strict=True)]
+
+        for batch in batches:
+            yield from _batched(decoded(batch), names, kinds)
 
     found = blocks.select("conv", "block", "rows").join(ends, "block").mapInArrow(decode, "conv_id string, turn long, segment int, role string, content string, rendered string, labelled string")
     return found.withColumn("conv_id", F.col("conv_id").cast(kind))
