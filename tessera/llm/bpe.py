@@ -1,6 +1,7 @@
 """Byte-level BPE encoding and decoding, the merges folded by Spark's higher-order functions.
 
-Method: every match of the pattern is a word, encoded by itself. Documents are taken in chunks of about CHUNK bytes;
+Method: every match of the pattern is a word, encoded by itself. Documents are taken in chunks of about CHUNK bytes,
+and cut before single spaces, where a match always begins, so that the pattern runs over distinct parts only;
 a chunk carries its distinct words as arrays of their bytes (as ids) and its documents as places in that list. A fold over each distinct
 word merges the adjacent pair of least rank (the leftmost, if several have it), one merge a step, until no pair is in
 the rank map. The rank map is one literal of the plan (an array of small maps by hash, as Spark searches a map entry
@@ -204,40 +205,93 @@ def _let(value: Column, body) -> Column:
 
 def _split(column: pa.Array, pattern) -> tuple[pa.Array, np.ndarray]:
     """All words of some texts as one array, and how many each text has."""
-    found, counts = [], np.zeros(len(column), np.int64)
-    for i, text in enumerate(column):
-        words = pattern.findall(text.as_py() or "")
+    found, held, counts = [], [], np.zeros(len(column), np.int64)
+    for i, text in enumerate(column.to_pylist()):
+        words = pattern.findall(text or "")
         counts[i] = len(words)
-        found.append(pa.array(words, pa.string()))
-    return (pa.concat_arrays(found) if found else pa.array([], pa.string())).cast(pa.binary()), counts
+        held += words
+        if len(held) > 100_000:
+            found.append(pa.array(held, pa.string()))
+            held = []
+    found.append(pa.array(held, pa.string()))
+    return pa.concat_arrays(found).cast(pa.binary()), counts
+
+
+#: Where cutting before each single space parts no match: not if white space (Unicode's) stands beside a space, or a text begins or ends with one.
+_WHITE = r"\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+_UNCUT = rf"[{_WHITE}] | [{_WHITE}]|^ | $|\x00"
+
+
+#: Parts that are one match, and two (the last character by itself), with the usual pattern: letters of Latin-1 alone, and before a stop.
+_ONE = "^ ?[A-Za-zÀ-ÖØ-öø-ÿ]+$"
+_TWO = "^ ?[A-Za-zÀ-ÖØ-öø-ÿ]+[.,;:!?]$"
+
+
+def _matches(parts: pa.Array, compiled, usual: bool) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """Matches of the pattern in some parts, their order, and how many each part has; the pattern itself runs where _ONE and _TWO don't settle a part."""
+    one = pc.match_substring_regex(parts, _ONE).to_numpy(zero_copy_only=False) if usual else np.zeros(len(parts), bool)
+    two = pc.match_substring_regex(parts, _TWO).to_numpy(zero_copy_only=False) if usual else one
+    rest = ~(one | two)
+    found, n = _split(parts.filter(pa.array(rest)), compiled)
+    double = parts.filter(pa.array(two))
+    pieces = [parts.filter(pa.array(one)), pc.utf8_slice_codeunits(double, 0, -1), pc.utf8_slice_codeunits(double, -1)]
+    counts = one + 2 * two.astype(np.int64)
+    counts[rest] = n
+    at, order, low = np.cumsum(counts) - counts, np.empty(counts.sum(), np.int64), 0
+    for where in (at[one], at[two], at[two] + 1, _ranges(at[rest], n)):
+        order[where] = low + np.arange(len(where))
+        low += len(where)
+    return pa.concat_arrays([*(p.cast(pa.binary()) for p in pieces), found]), order, counts
+
+
+def _parts(column: pa.Array, cut: bool) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """Parts of texts that hold whole matches: the distinct ones, the places of all in turn, and how many each text has.
+
+    With the usual pattern (cut), a single space between other characters always opens a match, so a text is cut before
+    each; where that can't be told, and with other patterns, a text is one part.
+    """
+    column = pc.fill_null(column.cast(pa.string()), "")
+    whole = pc.match_substring_regex(column, _UNCUT).to_numpy(zero_copy_only=False) if cut else np.ones(len(column), bool)
+    lists = pc.split_pattern(pc.replace_substring(column.filter(pa.array(~whole)), " ", "\0 "), "\0")
+    size = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
+    count, start = np.ones(len(column), np.int64), np.zeros(len(column), np.int64)
+    count[~whole], start[~whole] = size, np.cumsum(size) - size
+    start[whole] = size.sum() + np.arange(whole.sum())
+    coded = pa.concat_arrays([lists.flatten(), column.filter(pa.array(whole))]).cast(pa.binary()).dictionary_encode()
+    return coded, _ranges(start, count), count
 
 
 def _chunks(pattern: str, known: pa.Array, size: int, tables: tuple[np.ndarray, np.ndarray]):
-    """Chunks: rows of PART words that are not cached, then one with the other columns' rows, each word's place (below
-    zero: in the cache) and the number of words a document has."""
+    """Chunks: rows of PART words that are not cached, then one with the other columns' rows, each part's words (by place;
+    below zero: in the cache), and each document's parts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import regex
 
-        compiled = regex.compile(pattern)
-        rest, places, counts, fresh_words, held = [], [], [], [], 0
+        compiled, cut = regex.compile(pattern), pattern == public_tokenizers.PATTERN
+        rest, parts, order, counts, held = [], [], [], [], 0
 
         def chunk() -> Iterator[pa.RecordBatch]:
-            coded = pa.chunked_array([w.dictionary_encode() for w in fresh_words], pa.dictionary(pa.int32(), pa.binary())).unify_dictionaries()
-            words = coded.chunk(0).dictionary
+            coded = pa.chunked_array(parts, pa.dictionary(pa.int32(), pa.binary())).unify_dictionaries()
+            every = [np.append(c.indices.to_numpy(), 0)[np.minimum(at, len(c))] for c, at in zip(coded.chunks, order, strict=True)]
+            found, turn, size_ = _matches(coded.chunk(0).dictionary.cast(pa.string()), compiled, cut)
+            found = found.dictionary_encode()
+            cached = pc.index_in(found.dictionary, value_set=known)
+            new = cached.is_null().to_numpy(zero_copy_only=False)
+            words = found.dictionary.filter(pa.array(new))
             far = pc.greater(pc.binary_length(words), LONG).to_numpy(zero_copy_only=False)
-            slot, cuts = np.arange(len(words) + 1), None
+            slot, cuts = np.arange(len(words)), None
             if far.any():
                 # short words first, then the pieces of long ones
                 longer = [w.as_py() for w in words.filter(pa.array(far))]
                 starts = [piece_starts(w) for w in longer]
-                slot = np.append(np.where(far, (~far).sum() + np.cumsum(far), np.cumsum(~far)) - 1, 0)
+                slot = np.where(far, (~far).sum() + np.cumsum(far), np.cumsum(~far)) - 1
                 words = pa.concat_arrays([words.filter(pa.array(~far)), pa.array([w[a : a + LONG] for w, s in zip(longer, starts, strict=True) for a in s], pa.binary())])
                 cuts = _squeezed(np.array([(~far).sum(), len(longer), *map(len, starts), *(a for s in starts for a in s)], np.int64))
-            every = []
-            for place, index in zip(places, coded.chunks, strict=True):
-                index = np.append(index.indices.to_numpy(), 0)
-                every.append(np.where(place >= 0, slot[index[np.maximum(place, 0)]], place).astype(np.int32))
+            # below zero: the place in the cache; else that among the new words
+            place = -1 - cached.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+            place[new] = slot
+            places = place[found.indices.to_numpy()[turn]].astype(np.int32) if len(found) else np.zeros(0, np.int32)
             sink = pa.BufferOutputStream()
             with pa.ipc.new_stream(sink, rest[0].schema) as out:
                 for batch in rest:
@@ -245,25 +299,21 @@ def _chunks(pattern: str, known: pa.Array, size: int, tables: tuple[np.ndarray,
             for at in range(0, len(words), PART):
                 part = byte_entries(words.slice(at, PART), tables)
                 yield _row(None, None, None, None, part)
-            yield _row(sink.getvalue().to_pybytes(), _squeezed(np.concatenate(every)), _squeezed(np.concatenate(counts)), cuts, part[:0] if len(words) else byte_entries(words, tables))
+            body = b"".join(len(x).to_bytes(8, "little") + x for x in map(_squeezed, (places, size_.astype(np.int32), np.concatenate(every).astype(np.int32))))
+            yield _row(sink.getvalue().to_pybytes(), body, _squeezed(np.concatenate(counts)), cuts, part[:0] if len(words) else byte_entries(words, tables))
 
         for whole in batches:
             for batch in slices(whole, whole.num_columns - 1, 4 << 20):
-                words, n = _split(batch.column(batch.num_columns - 1), compiled)
-                coded = words.dictionary_encode()
-                cached = pc.index_in(coded.dictionary, value_set=known)
-                new = cached.is_null()
-                which = new.to_numpy(zero_copy_only=False)
-                # below zero: the place in the cache; else that among the batch's new words
-                place = np.where(which, np.cumsum(which) - 1, -1 - cached.fill_null(0).to_numpy(zero_copy_only=False))
-                places.append(place[coded.indices.to_numpy()] if len(coded) else place[:0])
-                fresh_words.append(coded.dictionary.filter(new))
+                column = batch.column(batch.num_columns - 1)
+                coded, at, n = _parts(column, cut)
+                parts.append(coded)
+                order.append(at)
                 counts.append(n)
                 rest.append(batch.select(batch.schema.names[:-1]))
-                held += words.nbytes
-                if held >= size * 2:  # text and an offset for each word
+                held += column.nbytes
+                if held >= size:
                     yield from chunk()
-                    rest, places, counts, fresh_words, held = [], [], [], [], 0
+                    rest, parts, order, counts, held = [], [], [], [], 0
         if rest:
             yield from chunk()
 
@@ -333,7 +383,13 @@ def _assemble(cache_ends: np.ndarray, cache_ids: np.ndarray, pieces: pa.Array, n
                     parts.append(own)
                     continue
                 rows = pa.ipc.open_stream(payload.as_buffer()).read_all()
-                places, counts = _unsqueezed(batch.column("places")[i].as_py(), np.int32), _unsqueezed(batch.column("counts")[i].as_py(), np.int64)
+                body, pieces_ = batch.column("places")[i].as_py(), []
+                while body:
+                    end = 8 + int.from_bytes(body[:8], "little")
+                    pieces_.append(_unsqueezed(body[8:end], np.int32))
+                    body = body[end:]
+                places, per_part, order = pieces_
+                counts = _unsqueezed(batch.column("counts")[i].as_py(), np.int64)
                 own = pa.concat_arrays([*parts, own])
                 parts = []
                 if batch.column("cuts")[i].is_valid:
@@ -345,10 +401,15 @@ def _assemble(cache_ends: np.ndarray, cache_ids: np.ndarray, pieces: pa.Array, n
                 size = np.concatenate([np.diff(ends), np.diff(cache_ends)])
                 every = np.concatenate([flat, cache_ids])
                 where = np.where(places >= 0, places, len(ends) - 1 + (-1 - places))
+                # the ids of each part, from those of its words
+                n = size[where]
+                flat, ends = every[_ranges(start[where], n)], np.concatenate([[0], np.cumsum(n)])
+                ends = ends[np.concatenate([[0], np.cumsum(per_part)])]
+                start, size, every = ends[:-1], np.diff(ends), flat
                 at = np.concatenate([[0], np.cumsum(counts)])
                 for a in range(0, len(counts), per):
                     b = min(len(counts), a + per)
-                    mine = where[at[a] : at[b]]
+                    mine = order[at[a] : at[b]]
                     n = size[mine]
                     ids = every[_ranges(start[mine], n)]
                     total = np.concatenate([[0], np.cumsum(n)])
