@@ -3,7 +3,11 @@
 Method: vectors are dealt to shards of about SHARD by hash; a task builds each shard's graph. Starting from random
 edges, greedy searches propose neighbours for batches of points; relaxed distance pruning (a neighbour goes if a nearer
 one kept is ALPHA times nearer to it than the point is) keeps DEGREE diverse edges; reverse edges are added and pruned
-alike. A query runs a beam search in every shard, in blocks of BLOCK queries, and the shards' answers are merged.
+alike. A query runs a beam search in every shard, and the shards' answers are merged. A shard's graph travels once for
+each BLOCK queries, sorted before them, and they stream past it in batches, so memory does not follow their number.
+
+The work is that of one beam for each query and shard. The beam looks at a part of a shard that falls as SHARD grows
+(figures in the README); vectors without clusters leave no shard out of the question, so all are asked.
 
 Equal vectors are one node: each distinct vector keeps the NEAREST + 1 least ids that have it, which is all that
 any answer can hold, so a vector that a third of all rows share costs no more than another (a partial group limit runs
@@ -12,7 +16,7 @@ before the shuffle). Answers are scored again in double precision on the vectors
 Recall against brute force is measured in tests/llm/test_ann.py, which asks for 0.95, and in the README.
 
 Edge cases: null, zero or empty vectors, and those with null or non-finite parts, take no part, neither do rows with a
-null id; vectors of different lengths are never compared; a repeated id counts once for each of its distinct vectors; fewer candidates than asked
+null id; lengths are taken after scaling by powers of two, so the least and largest doubles count like others; vectors of different lengths are never compared; a repeated id counts once for each of its distinct vectors; fewer candidates than asked
 for are all returned; an empty table gives an empty result; other columns do not matter.
 """
 
@@ -22,14 +26,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.common import keep, prepare
 
 #: Beams of the searches that build a graph, and of queries.
-NEAREST, DEGREE, BEAM, SEARCH, ALPHA = 5, 32, 64, 256, 1.2
-SHARD, BLOCK, BUILD_BATCH = 4096, 2048, 256
+NEAREST, DEGREE, BEAM, SEARCH, ALPHA = 5, 32, 64, 96, 1.2
+SHARD, BLOCK, BUILD_BATCH = 1 << 14, 1 << 17, 256
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
@@ -169,38 +174,73 @@ def _dots(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 def _graph(table: pa.Table) -> pa.Table:
     """A shard's vectors with their edges, by place in the shard; the first row is where searches start."""
     table = table.sort_by("node")
-    edges, entry = build(_unit(_matrix(table.column("vector"))).astype(np.float32))
+    edges, entry = build(_unit(_scaled(_matrix(table.column("vector")))).astype(np.float32))
     size = (edges >= 0).sum(1)
     lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]).astype(np.int32)), pa.array(edges[edges >= 0].astype(np.int32)))
     place = np.arange(table.num_rows, dtype=np.int32)
     return pa.table({"shard": table.column("shard"), "place": place, "entry": np.full(table.num_rows, entry, np.int32), "ids": table.column("ids"), "vector": table.column("vector"), "edges": lists})
 
 
-def _search(nearest: int, beam: int):
-    schema = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
+def _scaled(x: np.ndarray) -> np.ndarray:
+    """Rows by a power of two, largest part between a half and one: no digit changes, and no square leaves the range of doubles."""
+    return np.ldexp(x, -np.frexp(np.abs(x).max(1, initial=0.0))[1][:, None]) if len(x) else x
+
+
+class _Shard:
+    """A shard's graph, ready for queries."""
 
-    def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        if not left.num_rows or not right.num_rows:
-            return schema.empty_table()
-        left = left.sort_by("place")
-        vectors, asked = _matrix(left.column("vector")), _matrix(right.column("vector"))
-        lists = left.column("edges").combine_chunks()
+    def __init__(self, table: pa.Table):
+        table = table.sort_by("place")
+        self.vectors = _scaled(_matrix(table.column("vector")))
+        self.members = table.column("ids").to_pylist()
+        self.length = np.sqrt(_dots(self.vectors, self.vectors))
+        self.points = _unit(self.vectors).astype(np.float32)
+        self.entry = table.column("entry")[0].as_py()
+        lists = table.column("edges").combine_chunks()
         lists = lists if isinstance(lists, pa.Array) else pa.concat_arrays(lists.chunks)
-        size = np.diff(lists.offsets.to_numpy())
-        edges = np.full((len(vectors), max(1, int(size.max()))), -1)
+        size = pc.list_value_length(lists).to_numpy()
+        self.edges = np.full((len(size), max(1, int(size.max()))), -1)
         row = np.repeat(np.arange(len(size)), size)
-        edges[row, np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size)] = lists.flatten().to_numpy()
-        found, _, _ = beam_search(_unit(vectors).astype(np.float32), edges, left.column("entry")[0].as_py(), _unit(asked).astype(np.float32), max(beam, nearest + 1))
-        length = np.sqrt(_dots(vectors, vectors))
-        own_length = np.sqrt(_dots(asked, asked))
-        members = left.column("ids").to_pylist()
-        out: list[tuple] = []
-        for q, own in enumerate(right.column("query_id").to_pylist()):
-            near = found[q][found[q] >= 0]
-            score = _dots(vectors[near], asked[q : q + 1]) / (own_length[q] * length[near])
-            best = sorted((-s, i) for s, p in zip(score.tolist(), near.tolist(), strict=True) for i in members[p] if i != own)[:nearest]
+        self.edges[row, np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size)] = lists.flatten().to_numpy()
+
+    def nearest(self, ids: list[int], asked: np.ndarray, nearest: int, beam: int) -> list[tuple[int, int, float]]:
+        """query_id, vec_id and score of the nearest found to some queries."""
+        asked = _scaled(asked)
+        found, _, _ = beam_search(self.points, self.edges, self.entry, _unit(asked).astype(np.float32), max(beam, nearest + 1))
+        own_length, out = np.sqrt(_dots(asked, asked)), []
+        # what can be among the nearest by single precision, with some to spare, is scored in double
+        for q, own in enumerate(ids):
+            near = found[q][found[q] >= 0][: 4 * nearest + 4]
+            score = _dots(self.vectors[near], asked[q : q + 1]) / (own_length[q] * self.length[near])
+            best = sorted((-s, i) for s, p in zip(score.tolist(), near.tolist(), strict=True) for i in self.members[p] if i != own)[:nearest]
             out += [(own, i, -s) for s, i in best]
-        return pa.table([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True) if out else ([], [], []), schema, strict=True)], schema=schema)
+        return out
+
+
+def _search(nearest: int, beam: int, step: int = 256):
+    """Queries of each shard and block as they stream past its graph, which comes first."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows: list[pa.RecordBatch] = []
+        shard, at = None, None
+        for whole in batches:
+            keys = np.stack([whole.column(c).to_numpy() for c in ("shard", "block", "kind")], 1)
+            cuts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1).tolist(), len(keys)]
+            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                if a == b:
+                    continue
+                part, here = whole.slice(a, b - a), tuple(keys[a, :2])
+                if here != at:
+                    rows, shard, at = [], None, here
+                if keys[a, 2] == 0:
+                    rows.append(part)
+                    continue
+                if shard is None and rows:
+                    shard, rows = _Shard(pa.Table.from_batches(rows)), []
+                for low in range(0, part.num_rows if shard else 0, step):
+                    some = part.slice(low, step)
+                    out = shard.nearest(some.column("place").to_pylist(), _matrix(pa.chunked_array([some.column("vector")])), nearest, beam)
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else ([], [], []), (pa.int64(), pa.int64(), pa.float64()), strict=True)], names=["query_id", "vec_id", "score"])
 
     return run
 
@@ -228,12 +268,13 @@ def search(graph: DataFrame, queries: DataFrame, nearest: int = NEAREST, beam: i
     counts = graph.groupBy((F.col("shard") % 100_000).alias("d")).agg(F.max(F.floor(F.col("shard") / 100_000)).alias("last")).collect()
     blocks = max(1, -(-queries.count() // block))
     asked = queries.select(F.col("id").alias("query_id"), "vector", F.pmod(F.xxhash64("id"), F.lit(blocks)).alias("block"))
-    # every block of queries meets every shard of its dimension, and each meeting is one task's work
+    # every block of queries meets every shard of its dimension; its graph comes once for a block, the queries stream past
     last = F.coalesce(*[F.when(F.size("vector") == r["d"], F.lit(int(r["last"]))) for r in counts], F.lit(0)).cast("long")
     named = F.transform(F.sequence(F.lit(0).cast("long"), last), lambda i: i * 100_000 + F.size("vector"))
-    asked = asked.select("query_id", "vector", "block", F.explode(named).alias("shard"))
-    here = graph.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
-    found = here.groupBy("shard", "block").cogroup(asked.groupBy("shard", "block")).applyInArrow(_search(nearest, beam), "query_id long, vec_id long, score double")
+    asked = asked.select("vector", F.col("query_id").alias("place"), "block", F.explode(named).alias("shard"), F.lit(1).alias("kind"))
+    here = graph.withColumn("place", F.col("place").cast("long")).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))).withColumn("kind", F.lit(0))
+    both = here.unionByName(asked, allowMissingColumns=True).repartition("shard", "block").sortWithinPartitions("shard", "block", "kind", "place")
+    found = both.mapInArrow(_search(nearest, beam), "query_id long, vec_id long, score double")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     once = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     return once.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= nearest).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
