@@ -9,9 +9,10 @@ The posterior over languages, and over "und" for text that fits none, is the pro
 - the likelihood of the declared language, and that of the address hint (a two-letter path segment or subdomain, else
   the country suffix), each from counts of the hint by first-pass language over the whole corpus.
 
-The text model has every declared language. It is fitted on a sample of about FIT_ROWS labelled rows per language, short
-and long, of which the first FIT_BYTES bytes count (parameters). It takes 256 KiB a language in each worker, and in the driver the
-sample besides. Counts for priors and hints cover every row. Host priors
+A declared language counts by its first subtag: pt-BR is pt, whatever the case. The text model has every declared
+language. It is fitted on about FIT_ROWS distinct labelled texts per language, short and long, of which the first
+FIT_BYTES bytes count (parameters); they are chosen by hash, so results do not depend on how rows are dealt to tasks. It
+takes 256 KiB a language in each worker, and in the driver the sample besides. Counts for priors and hints cover every row. Host priors
 reach the rows by a join on the host; it is broadcast only if it has BROADCAST rows at most, else both sides are
 shuffled with the rows of a host spread over SALTS sub-keys.
 
@@ -29,6 +30,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -105,7 +107,12 @@ def fit(sample: pa.Table) -> TextModel:
 
 def declared(html: Column) -> Column:
     """The language that a page's html element declares."""
-    return F.nullif(F.lower(F.regexp_extract(html, r"""(?i)<html[^>]*\slang\s*=\s*["']?([a-zA-Z]{2})""", 1)), F.lit(""))
+    return subtag(F.regexp_extract(html, r"""(?i)<html[^>]*\slang\s*=\s*["']?([a-zA-Z][a-zA-Z0-9_-]*)""", 1))
+
+
+def subtag(said: Column) -> Column:
+    """The first subtag of a declared language, in small letters; null if it is not two or three letters."""
+    return F.nullif(F.regexp_extract(F.lower(F.trim(said)), r"^([a-z]{2,3})(?:[_-][a-z0-9_-]*)?$", 1), F.lit(""))
 
 
 def visible(html: Column) -> Column:
@@ -198,7 +205,8 @@ def train(rows: DataFrame, languages: list[str] | None = None, fit_rows: int = F
     share = [(r["declared"], min(1.0, 1.5 * fit_rows / r["count"])) for r in counts.collect()]
     chance = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for pair in share for x in pair]), F.col("declared")), F.lit(0.0)) if share else F.lit(0.0)
     part = F.substring(F.col("text").cast("binary"), 1, FIT_BYTES).cast("string")
-    return fit(rows.filter(F.rand(11) < chance).filter("text is not null").select("declared", part.alias("text")).toArrow())
+    place = F.pmod(F.xxhash64("text"), F.lit(1 << 40)) / F.lit(float(1 << 40))
+    return fit(rows.filter("text is not null").filter(place < chance).select("declared", part.alias("text")).distinct().toArrow())
 
 
 def identify(docs: DataFrame, text: str | Column = "text", declared: str | Column | None = None, url: str | Column | None = None, host: str | Column | None = None, model: TextModel | None = None, temper: float = TEMPER, strength: float = STRENGTH, least: float = LEAST) -> DataFrame:
@@ -206,7 +214,7 @@ def identify(docs: DataFrame, text: str | Column = "text", declared: str | Colum
     spark = docs.sparkSession
     prepare(spark)
     as_column = lambda c, kind="string": F.lit(None).cast(kind) if c is None else (F.col(c) if isinstance(c, str) else c)
-    text, said, url = as_column(text), F.lower(as_column(declared)), as_column(url)
+    text, said, url = as_column(text), subtag(as_column(declared)), as_column(url)
     host = as_column(host) if host is not None else host_of(url)
     model = model or train(docs.select(text.alias("text"), said.alias("declared")))
     names = model.languages
@@ -224,6 +232,8 @@ def identify(docs: DataFrame, text: str | Column = "text", declared: str | Colum
         salted = priors.withColumn(at_salt, F.explode(F.array(*[F.lit(i) for i in range(SALTS)])))
         full = full.withColumn(at_salt, F.pmod(F.xxhash64(at_text), F.lit(SALTS)).cast("int")).join(salted, [at_host, at_salt], "left")
     full = full.select(*docs.columns, at_text, at_said, at_hint, at_prior)
+    # a row of each for every value, the last for none
+    evidence = [(pa.array(list(t), pa.string()), np.array([*t.values(), [0.0] * len(names)])) for t in tables]
     n, found = len(docs.columns), fresh(docs, "language", "confidence", "text_language", "kept")
     kinds = [T.StringType(), T.DoubleType(), T.StringType(), T.BooleanType()]
     schema = T.StructType([*[T.StructField(f"c{i}", f.dataType) for i, f in enumerate(docs.schema.fields)], *[T.StructField(f"d{i}", k) for i, k in enumerate(kinds)]])
@@ -235,12 +245,10 @@ def identify(docs: DataFrame, text: str | Column = "text", declared: str | Colum
                 logs, letters = model.likelihoods(data, offsets)
                 first = np.argmax(logs, 1)
                 post = temper * logs
-                for i, (said_, hint_, prior) in enumerate(zip(*(batch.column(n + j).to_pylist() for j in (1, 2, 3)), strict=True)):
-                    for table, value in zip(tables, (said_, hint_), strict=True):
-                        if value in table:
-                            post[i] += table[value]
-                    if prior is not None:
-                        post[i] += np.log(prior)
+                for (values, logs_), j in zip(evidence, (1, 2), strict=True):
+                    post += logs_[pc.fill_null(pc.index_in(batch.column(n + j), value_set=values), len(values)).to_numpy(zero_copy_only=False)]
+                prior = batch.column(n + 3)
+                post[prior.is_valid().to_numpy(zero_copy_only=False)] += np.log(prior.flatten().to_numpy(zero_copy_only=False)).reshape(-1, len(names))
                 post = np.exp(post - post.max(1, keepdims=True))
                 post /= post.sum(1, keepdims=True)
                 best = np.argmax(post, 1)

@@ -1,5 +1,7 @@
 """Languages of labelled rows, evidence that tips short texts, smoothing and edges."""
 
+import re
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -86,3 +88,79 @@ def test_few_words_of_a_language_do_not_replace_und(spark):
     model = L.train(docs.union(rare).select("text", F.col("said").alias("declared")))
     junk = spark.createDataFrame([("qxzj wvkq zzxq jqkx vvqz xkjq " * 5,)], "text string")
     assert "zz" in model.languages and L.identify(junk, "text", model=model).first()["text_language"] != "zz"
+
+
+def test_layout_makes_no_difference(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang", "source")
+    found = lambda df: sorted(map(str, L.identify(df, "text", "lang", None, "source").drop("text").collect()))
+    assert found(docs) == found(docs.repartition(7))
+
+
+def test_regional_tags_are_their_language(spark, model):
+    rows = [("fr-CA",), ("FR_ca",), (" fr ",), ("fr",), ("francais",), ("f",), (None,)]
+    assert [r[0] for r in spark.createDataFrame(rows, "said string").select(L.subtag(F.col("said"))).collect()] == ["fr"] * 4 + [None] * 3
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text", "lang")
+    plain = sorted(map(str, L.identify(docs, "text", "lang", model=model).drop("lang", "text").collect()))
+    assert sorted(map(str, L.identify(docs.withColumn("lang", F.concat(F.upper("lang"), F.lit("-XY"))), "text", "lang", model=model).drop("lang", "text").collect())) == plain
+
+
+def test_posterior_against_plain_python(spark, model):
+    rows = [(r["text"], r["lang"], f"https://{r['source']}.example.{('fr', 'de', 'org')[r['doc_id'] % 3]}/{('fr/x', 'y', 'de')[r['doc_id'] % 3]}") for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").orderBy("doc_id").limit(80).collect()]
+    rows += [("the of and", None, None), ("!!", "fr", "http://x.fr/"), ("Ångström el que", "es-MX", "http://es.site.com/")]
+    names = model.languages
+    m32 = (1 << 32) - 1
+
+    def text_logs(text):
+        b = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else 32 for c in text.encode())
+        out = np.zeros(len(names))
+        for i, c in enumerate(b):
+            if c != 32:
+                h = ((b[i - 1] if i else 32) * 0x9E3779B1 + c * 0x85EBCA77 + (b[i + 1] if i + 1 < len(b) else 32) * 0xC2B2AE3D) & m32
+                h = ((h ^ h >> 15) * 0x2C1B3C6D) & m32
+                out += model.table[h >> (32 - L.BITS)].astype(float)
+        return out, any(c != 32 for c in b)
+
+    def hint(url):
+        if url is None:
+            return None
+        path = re.search(r"://(?:[^/?#]*/(?:[^?#]*/)?)([a-zA-Z]{2})(?:[/?#]|$)", url)
+        sub, last = re.search(r"://([a-zA-Z]{2})\.", url), re.search(r"://[^/?#:]*\.([a-zA-Z]{2})(?:[/?#:]|$)", url)
+        for found in (path, sub):
+            if found and found[1].lower() in names:
+                return found[1].lower()
+        return L.COUNTRY.get(last[1].lower()) if last else None
+
+    facts = []
+    for text, said, url in rows:
+        logs, letters = text_logs(text)
+        host = re.match(r"https?://([^/]+)", url)[1] if url else None
+        facts.append((logs, letters, names[int(np.argmax(logs))] if letters else "und", said.split("-")[0] if said else None, hint(url), host))
+    count = lambda test: np.array([sum(1.0 for f in facts if f[2] == x and test(f)) for x in names])
+    known = [x for x in names if x != "und"]
+
+    def evidence(value, column):
+        if value not in known:
+            return 0.0
+        total = sum(count(lambda f, h=h: f[column] == h) for h in known)
+        agree = np.array([5.0 if x == value else 0.0 for x in names])
+        less = np.array([5.0 if x == "und" else 0.0 for x in names])
+        return np.log((count(lambda f: f[column] == value) + agree + 5.0 / len(known)) / (total + 10.0 - less))
+
+    def prior(host):
+        p = (count(lambda f: True) + 1) / (len(facts) + len(names))
+        for level in (1, 2, 99):
+            own = count(lambda f, level=level: f[5] is not None and f[5].split(".")[-level:] == host.split(".")[-level:])
+            p = (own + L.STRENGTH * p) / (own.sum() + L.STRENGTH)
+        return np.log(p)
+
+    got = L.identify(spark.createDataFrame(rows, "text string, said string, url string"), "text", "said", "url", model=model).collect()
+    for (logs, letters, *_, said, hinted, host), r in zip(facts, got, strict=True):
+        post = L.TEMPER * logs + evidence(said, 3) + evidence(hinted, 4) + (prior(host) if host else 0.0)
+        post = np.exp(post - post.max())
+        post /= post.sum()
+        if letters:
+            best = int(np.argmax(post))
+            assert r["language"] == names[best] and abs(r["confidence"] - post[best]) < 1e-6
+            assert r["kept"] == (names[best] != "und" and post[best] >= L.LEAST)
+        else:
+            assert r["language"] == "und" and not r["kept"]
