@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
 import uuid
@@ -28,21 +29,54 @@ def prepare(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder the cluster names in spark.checkpoint.dir; one of this machine only where that is unset (tests)."""
+    """The folder the cluster names in spark.checkpoint.dir. Where that is unset, one of this machine in local mode; an error on a cluster, whose machines would not share it."""
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not named:
-        named = tempfile.mkdtemp(prefix="checkpoints-")
-        sc.setCheckpointDir(named)
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
+        sc.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoints-"))
         named = sc.getCheckpointDir()
     return named
 
 
+#: Written tables that are still there.
+_TABLES: set[str] = set()
+
+
 def keep(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared folder and read it again: the lineage ends there, and a lost executor costs no recomputation."""
+    """Write df to the shared folder and read it again: the lineage ends there, and a lost executor costs no recomputation.
+
+    The table goes by release(), or when this process ends.
+    """
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    _TABLES.add(path)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.kept_at = path
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete kept tables that nothing is to read any more: what was made from them is itself kept, or was collected."""
+    for table in tables:
+        _delete(table.sparkSession, table.kept_at)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    sc = spark.sparkContext
+    there = sc._jvm.org.apache.hadoop.fs.Path(path)
+    there.getFileSystem(sc._jsc.hadoopConfiguration()).delete(there, True)
+    _TABLES.discard(path)
+
+
+@atexit.register
+def _clean() -> None:
+    """Delete what is left, if Spark still runs."""
+    spark = SparkSession.getActiveSession()
+    if spark is not None and spark.sparkContext._jsc is not None:
+        for path in sorted(_TABLES):
+            _delete(spark, path)
 
 
 def fresh(df: DataFrame, *names: str) -> list[str]:

@@ -27,13 +27,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import fresh, keep, prepare
+from tessera.llm.common import fresh, keep, prepare, release
 from tessera.llm.graph import components
 from tessera.llm.kernels import BASE, U64, Spans, gram_hashes, mix, text_bytes, words
 from tessera.llm.quality import slices
 
-WORDS, THRESHOLD, RECALL, HASHES = 5, 0.8, 0.999, 160
-CHUNK = 1024
+WORDS, THRESHOLD, RECALL, HASHES = 5, 0.8, 0.999, 320
+CHUNK = 512
 NO_ID = (1 << 63) - 1
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -42,7 +42,7 @@ _LOWER[65:91] += 32
 def bands_and_rows(threshold: float, recall: float, hashes: int) -> tuple[int, int]:
     """The most selective banding of so many hashes at most that finds a pair at the threshold with this probability."""
     for rows in range(hashes, 0, -1):
-        bands = math.ceil(math.log(1 - recall) / math.log(1 - threshold**rows)) if threshold < 1 else 1
+        bands = math.ceil(math.log1p(-recall) / math.log1p(-(threshold**rows))) if threshold < 1 else 1
         if bands * rows <= hashes:
             return bands, rows
     raise ValueError("no banding reaches this recall with so few hashes")
@@ -188,7 +188,7 @@ def _verify_groups(size: int, threshold: float):
 
 
 def _identity(docs: DataFrame, text: str, doc_id: str) -> tuple[Column, Column]:
-    return F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_ID)), F.unhex(F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary")))
+    return F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_ID)), F.unhex(F.sha2(F.coalesce(F.col(text), F.lit("")).cast("binary"), 256))
 
 
 def join(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", threshold: float = THRESHOLD, recall: float = RECALL, words: int = WORDS, hashes: int = HASHES, chunk: int = CHUNK) -> DataFrame:
@@ -207,6 +207,7 @@ def join(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", threshold:
     # aggregates are written before a join, so that both its sides are plain shuffles, whose large keys Spark can split
     bucket = keep(keyed.groupBy("key").agg(F.min("nid").alias("low"), F.max("nid").alias("high")).filter("low != high").drop("high"), "buckets")
     met = components(keyed.join(bucket, "key").select(F.col("nid").alias("a"), F.col("low").alias("b")))
+    release(bucket)
     member = met.unionByName(met.select(F.col("root").alias("node"), "root").distinct()).select(F.col("node").alias("nid"), F.col("root").alias("comp"))
     size = keep(member.groupBy("comp").agg(F.count("*").alias("size")), "sizes")
     member = member.join(size, "comp").join(nodes.select("nid", "node", "rep", "copies"), "nid")
@@ -222,11 +223,13 @@ def join(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", threshold:
     sent = found.select("text", F.explode("to").alias("t")).select("t.*", F.coalesce("text", F.lit("")).alias("text"))
     sent = sent.repartition("comp", "a", "b").sortWithinPartitions("comp", "a", "b", "nid")
     checked = keep(sent.mapInArrow(_verify_groups(words, threshold), "nid long, root long, docs long, texts long"), "links")
+    release(size, met)
 
     links = checked.groupBy("nid").agg(F.sum("docs").alias("docs"), F.sum("texts").alias("texts"))
     classes = components(checked.select(F.col("nid").alias("a"), F.col("root").alias("b")))
     whole = nodes.select("nid", "node", "rep", "copies").join(links, "nid", "left").join(classes.select(F.col("node").alias("nid"), "root"), "nid", "left")
     whole = keep(whole.withColumn("root", F.coalesce("root", "nid")), "classes")
+    release(nodes, checked, classes)
     first = keep(whole.groupBy("root").agg(F.min(F.struct("rep", "nid")).alias("top")), "firsts")
     whole = whole.join(first, "root").select(
         "node",

@@ -71,3 +71,16 @@ def test_one_of_each(spark):
 def test_banding():
     bands, rows = J.bands_and_rows(0.8, 0.999, 160)
     assert bands * rows <= 160 and 1 - (1 - 0.8**rows) ** bands >= 0.999
+
+
+def test_clashing_columns_do_not_matter(spark):
+    df = spark.createDataFrame([(i, t, 1, "n", i, "c", 2.0) for i, t in ROWS], "doc_id long, text string, id int, node string, rep long, comp string, nid double")
+    key = lambda found: sorted(map(str, found.drop("node").collect()))
+    assert key(J.join(df)) == key(J.join(df.select("doc_id", "text")))
+    assert sorted(map(str, J.one_of_each(df).select("doc_id", "text").collect())) == sorted(map(str, J.one_of_each(df.select("doc_id", "text")).collect()))
+
+
+def test_production_banding_parts_what_is_not_alike():
+    bands, rows = J.bands_and_rows(J.THRESHOLD, J.RECALL, J.HASHES)
+    meets = lambda s: 1 - (1 - s**rows) ** bands
+    assert meets(J.THRESHOLD) >= J.RECALL and meets(0.4) < 0.03 and meets(0.5) < 0.15

@@ -80,3 +80,11 @@ def test_fullest_is_closed():
     # 5 fits neither 6 nor 7: its head fills the fullest, 7, and the rest goes to 6
     assert [(r[0], r[1], r[2]) for r in packer.done] == [(1, 0, 7), (2, 0, 3)]
     assert [w[0] for w in packer.open] == [8]
+
+
+def test_clashing_columns_do_not_matter(spark):
+    rows = [(i, "some words " * i) for i in range(9)]
+    plain = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    more = plain.selectExpr("*", "1 as start", "'x' as part", "2 as ids", "true as open", "3L as sequence_id")
+    key = lambda df: sorted((r["doc_id"], r["start"], bytes(r["ids"])) for r in P.pack(df).collect())
+    assert key(plain) == key(more)
