@@ -5,6 +5,12 @@ with the target recall; the shuffle is on band hashes. Documents with one text a
 meet in a band are not paired: each bucket gives a star around its least node, the stars' components hold all pairs
 that met (and more), and every component is verified exactly on the full shingle sets.
 
+Chance meetings would chain what is not alike. So buckets are parted first: where an edge of a star has at most half
+the bands that a pair at the threshold may expect, the bucket's edges are verified on full shingle sets. Similarity is
+one less a metric, so a linked pair's similarities to the centre differ by 1 - threshold at most: where those of a bucket
+leave a wider gap, no link crosses it. Who lies above it stays in the star; those below are verified among themselves,
+exactly, and only their links go on. No pair that met and is linked is parted.
+
 A component of up to CHUNK nodes is one task's work, on bit sets; a larger one is cut into chunks and every two chunks
 are a task, so memory stays bounded and no pair of rows is ever shuffled. A task returns a row for each node: its
 links and the root of its local group. Links between different texts are all counted.
@@ -20,7 +26,7 @@ others; an empty table gives an empty result; other columns do not matter.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -141,6 +147,60 @@ def verify(texts: pa.ChunkedArray, side: np.ndarray | None, size: int, threshold
         yield i, later[both >= threshold * (count[i] + count[later] - both) - 1e-9]
 
 
+def _similarities(size: int):
+    """The exact similarity of the rows of each group to its first, the centre."""
+    schema = pa.schema([("nid", pa.int64()), ("low", pa.int64()), ("similarity", pa.float64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        centre = np.zeros(0, U64)
+        for whole in batches:
+            for batch in slices(whole, whole.schema.get_field_index("text")):
+                nid, low, sub, kind = (batch.column(c).to_numpy() for c in ("nid", "low", "sub", "kind"))
+                row, hashes = shingles(*text_bytes(batch.column("text")), size)
+                order = np.lexsort((hashes, row))
+                row, hashes = row[order], hashes[order]
+                new = np.ones(len(row), bool)
+                new[1:] = (row[1:] != row[:-1]) | (hashes[1:] != hashes[:-1])
+                row, hashes = row[new], hashes[new]
+                ends = np.searchsorted(row, np.arange(batch.num_rows + 1))
+                count, both, against = np.diff(ends), np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows, np.int64)
+                cuts = np.flatnonzero(np.concatenate([[True], (low[1:] != low[:-1]) | (sub[1:] != sub[:-1]), [True]])) if batch.num_rows else []
+                for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                    if kind[a] == 0:
+                        centre = hashes[ends[a] : ends[a + 1]]
+                    mine = hashes[ends[a] : ends[b]]
+                    hit = centre[np.minimum(np.searchsorted(centre, mine), len(centre) - 1)] == mine if len(centre) else np.zeros(len(mine), bool)
+                    both[a:b], against[a:b] = np.bincount(row[ends[a] : ends[b]] - a, hit, b - a), len(centre)
+                found = kind == 1
+                yield pa.RecordBatch.from_arrays([pa.array(nid[found]), pa.array(low[found]), pa.array((both / np.maximum(count + against - both, 1))[found])], schema=schema)
+
+    return run
+
+
+def part_buckets(stars: DataFrame, similarity: Callable[[DataFrame], DataFrame], verified: Callable[[DataFrame], DataFrame], threshold: float, few: int) -> DataFrame:
+    """Edges a, b from the stars (key, nid, low) of all buckets; an edge that few bands or less have makes its buckets doubtful.
+
+    similarity gives a kept table of it for pairs nid, low; verified one with nid and root for groups nid, comp.
+    """
+    met = stars.groupBy("nid", "low").agg(F.collect_list("key").alias("keys"))
+    doubtful = keep(met.filter(F.size("keys") <= few).select(F.explode("keys").alias("key")).distinct(), "doubtful")
+    work = keep(stars.join(doubtful, "key", "left_semi"), "doubted")
+    told = similarity(work.select("nid", "low").distinct())
+    # similarities in 64 steps; a gap of so many empty steps is wider than 1 - threshold
+    gap = math.floor((1 - threshold) * 64 + 1e-9) + 1
+    judged = keep(work.join(told, ["nid", "low"]).withColumn("step", F.least(F.floor(F.col("similarity") * 64), F.lit(63)).cast("int")), "judged")
+    seen = judged.groupBy("key").agg(F.bit_or(F.expr("shiftleft(1L, step)")).alias("seen"))
+    empty = F.filter(F.sequence(F.lit(1), F.lit(max(1, 64 - gap))), lambda i: F.call_function("shiftrightunsigned", F.col("seen"), i).bitwiseAND(F.lit((1 << gap) - 1)) == 0)
+    cuts = keep(seen.select("key", F.coalesce(F.array_max(empty), F.lit(0)).alias("cut")), "cuts")
+    placed = judged.join(cuts, "key")
+    near = placed.filter("step >= cut").select("nid", "low")
+    far = keep(placed.filter("step < cut").select("nid", F.col("key").alias("comp")), "far")
+    edges = keep(stars.join(doubtful, "key", "left_anti").select("nid", "low").unionByName(near), "edges")
+    release(doubtful, work, told, judged, cuts)
+    links = verified(far).filter("nid != root").select("nid", F.col("root").alias("low"))
+    return edges.unionByName(links).toDF("a", "b")
+
+
 def _verify_groups(size: int, threshold: float):
     schema = pa.schema([("nid", pa.int64()), ("root", pa.int64()), ("docs", pa.int64()), ("texts", pa.int64())])
 
@@ -202,28 +262,48 @@ def join(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", threshold:
     nodes = signed.groupBy("node").agg(F.min("id").alias("rep"), F.count("*").alias("copies"), F.first("bands").alias("bands"))
     nodes = keep(nodes.withColumn("nid", F.monotonically_increasing_id()), "nodes")
 
+    source = docs.select(ident.alias("rep"), digest.alias("node"), F.col(text).alias("text"))
+
+    def with_text(rows: DataFrame) -> DataFrame:
+        """Rows, which name nodes by nid, with their texts; each text is read once."""
+        named = rows.join(nodes.select("nid", "node", "rep", "copies"), "nid")
+        to = named.groupBy("rep", "node").agg(F.collect_list(F.struct("copies", *rows.columns)).alias("to"))
+        # repeated rows would bring a text twice
+        found = source.join(to, ["rep", "node"]).dropDuplicates(["rep", "node"])
+        return found.select("text", F.explode("to").alias("t")).select("t.*", F.coalesce("text", F.lit("")).alias("text"))
+
+    def similarity(pairs: DataFrame) -> DataFrame:
+        """A centre's text goes to one task for each chunk of its star."""
+        per = keep(pairs.groupBy("low").agg(F.ceil(F.count("*") / chunk).cast("int").alias("n")), "centres")
+        member = pairs.join(per, "low").select("nid", "low", F.pmod(F.xxhash64("nid"), F.col("n")).cast("int").alias("sub"), F.lit(1).alias("kind"))
+        centre = per.select(F.col("low").alias("nid"), "low", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("sub"), F.lit(0).alias("kind"))
+        sent = with_text(member.unionByName(centre)).repartition("low", "sub").sortWithinPartitions("low", "sub", "kind", "nid")
+        found = keep(sent.select("nid", "low", "sub", "kind", "text").mapInArrow(_similarities(words), "nid long, low long, similarity double"), "similarities")
+        release(per)
+        return found
+
+    def verified(member: DataFrame) -> DataFrame:
+        """Links of the nodes of each group (nid, comp) on whole texts, each sent once unless its group is larger than a chunk."""
+        size = keep(member.groupBy("comp").agg(F.count("*").alias("size")).filter("size > 1"), "sizes")
+        dealt = member.join(size, "comp").withColumn("n", F.ceil(F.col("size") / chunk).cast("int"))
+        dealt = dealt.withColumn("chunk", F.pmod(F.xxhash64("nid"), F.col("n")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
+        dealt = dealt.withColumn("a", F.least("chunk", "other")).withColumn("b", F.greatest("chunk", "other")).select("nid", "comp", "chunk", "a", "b")
+        sent = with_text(dealt).repartition("comp", "a", "b").sortWithinPartitions("comp", "a", "b", "nid")
+        found = keep(sent.mapInArrow(_verify_groups(words, threshold), "nid long, root long, docs long, texts long"), "links")
+        release(size)
+        return found
+
     # candidates: a star in each bucket of a band
     keyed = nodes.select("nid", F.explode("bands").alias("key"))
     # aggregates are written before a join, so that both its sides are plain shuffles, whose large keys Spark can split
     bucket = keep(keyed.groupBy("key").agg(F.min("nid").alias("low"), F.max("nid").alias("high")).filter("low != high").drop("high"), "buckets")
-    met = components(keyed.join(bucket, "key").select(F.col("nid").alias("a"), F.col("low").alias("b")))
+    stars = keep(keyed.join(bucket, "key").filter("nid != low"), "stars")
     release(bucket)
+    met = components(part_buckets(stars, similarity, verified, threshold, max(1, int(bands * threshold**rows / 2))))
+    release(stars)
     member = met.unionByName(met.select(F.col("root").alias("node"), "root").distinct()).select(F.col("node").alias("nid"), F.col("root").alias("comp"))
-    size = keep(member.groupBy("comp").agg(F.count("*").alias("size")), "sizes")
-    member = member.join(size, "comp").join(nodes.select("nid", "node", "rep", "copies"), "nid")
-
-    # verification on whole texts, each sent once unless its component is larger than a chunk
-    chunks = F.ceil(F.col("size") / chunk).cast("int")
-    member = member.withColumn("n", chunks).withColumn("chunk", F.pmod(F.xxhash64("nid"), F.col("n")).cast("int"))
-    member = member.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
-    member = member.withColumn("a", F.least("chunk", "other")).withColumn("b", F.greatest("chunk", "other")).select("nid", "node", "rep", "copies", "comp", "chunk", "a", "b")
-    source = docs.select(ident.alias("rep"), digest.alias("node"), F.col(text).alias("text"))
-    # repeated rows would bring a text twice
-    found = source.join(member.groupBy("rep", "node").agg(F.collect_list(F.struct("nid", "copies", "comp", "chunk", "a", "b")).alias("to")), ["rep", "node"]).dropDuplicates(["rep", "node"])
-    sent = found.select("text", F.explode("to").alias("t")).select("t.*", F.coalesce("text", F.lit("")).alias("text"))
-    sent = sent.repartition("comp", "a", "b").sortWithinPartitions("comp", "a", "b", "nid")
-    checked = keep(sent.mapInArrow(_verify_groups(words, threshold), "nid long, root long, docs long, texts long"), "links")
-    release(size, met)
+    checked = verified(member)
+    release(met)
 
     links = checked.groupBy("nid").agg(F.sum("docs").alias("docs"), F.sum("texts").alias("texts"))
     classes = components(checked.select(F.col("nid").alias("a"), F.col("root").alias("b")))

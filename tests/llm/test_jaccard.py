@@ -1,5 +1,6 @@
 """The join against brute force on all pairs."""
 
+import random
 import re
 from collections import defaultdict
 
@@ -84,3 +85,72 @@ def test_production_banding_parts_what_is_not_alike():
     bands, rows = J.bands_and_rows(J.THRESHOLD, J.RECALL, J.HASHES)
     meets = lambda s: 1 - (1 - s**rows) ** bands
     assert meets(J.THRESHOLD) >= J.RECALL and meets(0.4) < 0.03 and meets(0.5) < 0.15
+
+
+def test_chance_meetings_do_not_chain(spark, monkeypatch):
+    """With three hashes a band, strangers meet often; results stay those of brute force and components stay small."""
+    rng = random.Random(3)
+    common = [f"c{i}" for i in range(30)]
+    # texts that share a passage of theirs with many others, and some near copies
+    rows = [(i, " ".join([*common[(i * 7) % 10 :][:20], *(f"w{i}_{k}" for k in range(rng.randrange(10, 16)))])) for i in range(150)]
+    rows += [(1000 + i, t + " tail") for i, t in rows[:40]] + [(2000 + i, t + " tail end") for i, t in rows[:20]]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert J.bands_and_rows(0.8, 0.999, 30) == (10, 3)
+    sizes = []
+    real = J.components
+
+    def watched(edges):
+        found = real(edges)
+        sizes.append(max((r["count"] for r in found.groupBy("root").count().collect()), default=0) + 1)
+        return found
+
+    monkeypatch.setattr(J, "components", watched)
+    key = lambda found: sorted(((r["id"], r["class_id"], r["n_links"]) for r in found.collect()), key=str)
+    assert key(J.join(df, hashes=30)) == brute(rows)
+    parted = sizes[0]
+    monkeypatch.setattr(J, "part_buckets", lambda stars, *_: stars.select("nid", "low").toDF("a", "b"))
+    assert key(J.join(df, hashes=30)) == brute(rows)
+    assert parted < sizes[2] / 3, sizes
+
+
+def test_parting_loses_no_linked_pair(spark):
+    """Stars at random distances on a line, where distance is the difference: every pair within 0.2 stays connected."""
+    J.prepare(spark)
+    rng = random.Random(2)
+    place = {n: rng.random() for n in range(120)}
+    stars = [(key, n, min(some)) for key in range(30) for some in [rng.sample(range(120), rng.randrange(2, 9))] for n in some if n != min(some)]
+    groups = {}
+    for key, n, low in stars:
+        groups.setdefault(key, {low}).add(n)
+
+    def similarity(pairs):
+        rows = [(r["nid"], r["low"], 1 - abs(place[r["nid"]] - place[r["low"]])) for r in pairs.collect()]
+        return J.keep(spark.createDataFrame(rows, "nid long, low long, similarity double"), "s")
+
+    def verified(far):
+        groups, out = {}, []
+        for r in far.collect():
+            groups.setdefault(r["comp"], []).append(r["nid"])
+        for some in groups.values():
+            root = {n: n for n in some}
+            for a in some:
+                for b in some:
+                    if abs(place[a] - place[b]) <= 0.2:
+                        low = min(root[a], root[b])
+                        root = {n: low if r in (root[a], root[b]) else r for n, r in root.items()}
+            out += root.items()
+        return J.keep(spark.createDataFrame(out, "nid long, root long"), "v")
+
+    edges = J.part_buckets(spark.createDataFrame(stars, "key long, nid long, low long"), similarity, verified, 0.8, 1).collect()
+    root = list(range(120))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for r in edges:
+        root[find(r["a"])] = find(r["b"])
+    for some in groups.values():
+        assert all(find(a) == find(b) for a in some for b in some if abs(place[a] - place[b]) <= 0.2)
+    assert len(edges) < len(stars)
