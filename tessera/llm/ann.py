@@ -86,9 +86,10 @@ def robust_prune(points: np.ndarray, who: np.ndarray, candidates: np.ndarray, de
     valid = (candidates >= 0) & (candidates != who[:, None])
     near = points[np.maximum(candidates, 0)]
     distance = np.where(valid, 1 - np.einsum("ijk,ik->ij", near, points[who]), np.inf)
-    order = np.argsort(distance, 1, kind="stable")
+    # no wider than the most that any point has
+    order = np.argsort(distance, 1, kind="stable")[:, : max(1, int(valid.sum(1).max()))]
     distance, candidates = np.take_along_axis(distance, order, 1), np.take_along_axis(candidates, order, 1)
-    near = np.take_along_axis(near, order[:, :, None], 1)
+    near = points[np.maximum(candidates, 0)]
     between = 1 - near @ near.transpose(0, 2, 1)
     alive = np.isfinite(distance)
     out = np.full((len(who), degree), -1)
@@ -119,11 +120,12 @@ def build(points: np.ndarray, degree: int = DEGREE, beam: int = BEAM, alpha: flo
         order = rng.permutation(n)
         for at in range(0, n, BUILD_BATCH):
             who = order[at : at + BUILD_BATCH]
-            ids, _, expanded = beam_search(points, edges, entry, points[who], beam)
+            # when a search ends, all that its beam holds has been expanded
+            _, _, expanded = beam_search(points, edges, entry, points[who], beam)
             width = int(expanded.sum(1).max())
             visited = np.argsort(~expanded, 1, kind="stable")[:, :width]
             visited = np.where(np.take_along_axis(expanded, visited, 1), visited, -1)
-            edges[who] = robust_prune(points, who, _once(np.concatenate([visited, ids, edges[who]], 1)), degree, relax)
+            edges[who] = robust_prune(points, who, _once(np.concatenate([visited, edges[who]], 1)), degree, relax)
             _reverse(points, edges, who, degree, relax)
     return edges, entry
 
