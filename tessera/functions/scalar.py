@@ -1,6 +1,6 @@
 """Scalar functions: strings, patterns, dates, numbers, arrays, maps, JSON, variants and vectors."""
 
-from pyspark.sql import Column
+from pyspark.sql import Column, Window
 from pyspark.sql import functions as F
 
 from tessera.registry import Registry
@@ -79,6 +79,19 @@ def array_basics(spark, sf_dir):
     return a.select("user_id", F.array_contains("kinds", "purchase").alias("buys"), F.array_join(F.array_sort(F.array_distinct("kinds")), ",").alias("distinct_kinds"), F.size("kinds").cast("long").alias("n"), F.array_join(F.slice("kinds", 2, 3), ",").alias("part"), F.element_at("kinds", 1).alias("first"))
 
 
+@R.query("SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN l_partkey > 107 THEN NULL ELSE 9223372036854775700 + l_partkey END AS total, CASE WHEN l_linenumber > 2 THEN NULL ELSE 4000000000000000000 * l_linenumber END AS product FROM lineitem")
+def safe_arithmetic(spark, sf_dir):
+    """Sums and products that overflow are null."""
+    key, line = F.col("l_partkey").cast("long"), F.col("l_linenumber").cast("long")
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", F.try_add(F.lit(9223372036854775700), key).alias("total"), F.try_multiply(F.lit(4000000000000000000), line).alias("product"))
+
+
+@R.query("SELECT user_id, array_to_string(flatten(list([event_type, props] ORDER BY event_id)), '|') AS flat FROM events GROUP BY user_id")
+def array_flatten(spark, sf_dir):
+    rows = F.array_sort(F.collect_list(F.struct("event_id", F.array("event_type", "props").alias("a"))))
+    return table(spark, sf_dir, "events").groupBy("user_id").agg(rows.alias("r")).select("user_id", F.array_join(F.flatten(F.transform("r", lambda s: s["a"])), "|").alias("flat"))
+
+
 @R.query("""
     WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings)
     SELECT vec_id, CAST(len(list_filter(v, lambda x: x > 0)) AS BIGINT) AS positive, round(list_sum(list_transform(v, lambda x: x * x)), 6) AS square,
@@ -93,12 +106,31 @@ def explode_lines(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line")).withColumn("pos", F.col("pos").cast("long"))
 
 
-@R.query()
+@R.query("SELECT doc_id, unnest(CASE WHEN len(n) = 0 THEN [NULL] ELSE n END) AS number FROM (SELECT doc_id, regexp_extract_all(text, '[0-9]+') AS n FROM documents)")
+def explode_outer_numbers(spark, sf_dir):
+    """A row for each number in a text, and one with null where it has none."""
+    return table(spark, sf_dir, "documents").select("doc_id", F.explode_outer(F.regexp_extract_all("text", F.lit("[0-9]+"), F.lit(0))).alias("number"))
+
+
+@R.query("""
+    WITH c AS (SELECT user_id, event_type, count(*) AS n FROM events GROUP BY 1, 2)
+    SELECT user_id, string_agg(event_type, ',' ORDER BY event_type) AS kinds, string_agg(n, ',' ORDER BY event_type) AS counts,
+           coalesce(string_agg(event_type || '=' || n, ',' ORDER BY event_type) FILTER (n > 5), '') AS many,
+           string_agg(upper(event_type) || '=' || n, ',' ORDER BY event_type) AS upper, string_agg(event_type || '=' || n * 2, ',' ORDER BY event_type) AS double
+    FROM c GROUP BY user_id""")
 def maps(spark, sf_dir):
     """Counts of a user's events by type as a map, and functions on it."""
     counts = table(spark, sf_dir, "events").groupBy("user_id", "event_type").agg(F.count("*").alias("n"))
     m = counts.groupBy("user_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("event_type", "n")))).alias("m"))
-    return m.select("user_id", F.map_keys("m").alias("kinds"), F.map_values("m").alias("counts"), F.map_filter("m", lambda k, v: v > 5).alias("many"), F.transform_keys("m", lambda k, v: F.upper(k)).alias("upper"), F.transform_values("m", lambda k, v: v * 2).alias("double"))
+    written = lambda x: F.array_join(F.transform(F.map_entries(x), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string"))), ",")
+    return m.select(
+        "user_id",
+        F.array_join(F.map_keys("m"), ",").alias("kinds"),
+        F.array_join(F.map_values("m").cast("array<string>"), ",").alias("counts"),
+        written(F.map_filter("m", lambda k, v: v > 5)).alias("many"),
+        written(F.transform_keys("m", lambda k, v: F.upper(k))).alias("upper"),
+        written(F.transform_values("m", lambda k, v: v * 2)).alias("double"),
+    )
 
 
 @R.query("SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, CAST(json_extract_string(props, '$.k') AS BIGINT) + 1 AS next FROM events")
@@ -112,7 +144,13 @@ def json_write(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", F.to_json(F.struct(F.col("user_id").alias("user"), F.col("event_type").alias("type"))).alias("doc"))
 
 
-@R.query()
+@R.query("SELECT r_regionkey, 'STRUCT<k: BIGINT, tags: ARRAY<STRING>>' AS shape FROM region")
+def json_schema(spark, sf_dir):
+    """The type of a JSON literal, as the planner infers it."""
+    return table(spark, sf_dir, "region").select("r_regionkey", F.schema_of_json(F.lit('{"k": 1, "tags": ["a"]}')).alias("shape"))
+
+
+@R.query("SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, 'OBJECT<k: BIGINT>' AS shape FROM events")
 def variants(spark, sf_dir):
     """Properties as a variant, read by path with a type."""
     v = F.parse_json("props")
@@ -136,6 +174,18 @@ def vector_nearness(spark, sf_dir):
     return e.join(centre, "label").select("vec_id", F.round(dot(F.col("v"), F.col("c")) / F.sqrt(dot(F.col("c"), F.col("c"))), 6).alias("nearness"))
 
 
+@R.query("""
+    WITH c AS (SELECT label, list(m ORDER BY i) AS centre FROM (
+      SELECT label, i, avg(x) AS m FROM (SELECT label, unnest(embedding::DOUBLE[]) AS x, generate_subscripts(embedding, 1) AS i FROM embeddings) GROUP BY label, i) GROUP BY label),
+    n AS (SELECT label, vec_id, round(list_dot_product(embedding::DOUBLE[], centre) / sqrt(list_dot_product(centre, centre)), 6) AS nearness FROM embeddings JOIN c USING (label))
+    SELECT label, vec_id, nearness, CAST(r AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY nearness DESC, vec_id) AS r FROM n) WHERE r <= 3""")
+def vector_nearest_k(spark, sf_dir):
+    """The three vectors nearest to each label's mean; a partial limit for each label runs before the shuffle."""
+    near = vector_nearness(spark, sf_dir).join(table(spark, sf_dir, "embeddings").select("vec_id", "label"), "vec_id")
+    order = Window.partitionBy("label").orderBy(F.desc("nearness"), "vec_id")
+    return near.withColumn("rank", F.row_number().over(order)).filter("rank <= 3").select("label", "vec_id", "nearness", "rank")
+
+
 @R.query("SELECT conv_id, string_agg('<' || role || '> ' || text, chr(10) ORDER BY turn) AS whole, count(*) AS turns FROM conversations GROUP BY conv_id")
 def conversation_assembly(spark, sf_dir):
     turn = F.concat(F.lit("<"), "role", F.lit("> "), "text")

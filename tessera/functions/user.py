@@ -55,12 +55,15 @@ def table_udf(spark, sf_dir):
     return spark.sql("SELECT n_nationkey, k, product FROM {n}, LATERAL tessera_multiples(n_nationkey)", n=table(spark, sf_dir, "nation"))
 
 
-@R.query("SELECT user_id, count(*) AS n, max(ts) AS last FROM events GROUP BY user_id")
+@R.query("SELECT user_id, round(list_reduce(list(value ORDER BY ts, event_id), lambda s, x: 0.9 * s + 0.1 * x), 6) AS smooth FROM events GROUP BY user_id")
 def grouped_map(spark, sf_dir):
-    def summary(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"user_id": [key[0]], "n": [len(rows)], "last": [rows["ts"].max()]})
+    """A user's exponentially smoothed value at the end: each step needs the one before."""
 
-    return table(spark, sf_dir, "events").select("user_id", "ts").groupBy("user_id").applyInPandas(summary, "user_id long, n long, last timestamp_ntz")
+    def smooth(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        ordered = rows.sort_values(["ts", "event_id"])["value"]
+        return pd.DataFrame({"user_id": [key[0]], "smooth": [round(ordered.ewm(alpha=0.1, adjust=False).mean().iloc[-1], 6)]})
+
+    return table(spark, sf_dir, "events").select("user_id", "ts", "event_id", "value").groupBy("user_id").applyInPandas(smooth, "user_id long, smooth double")
 
 
 @R.query("""

@@ -87,6 +87,11 @@ def collect_and_join(spark, sf_dir):
     return table(spark, sf_dir, "events").groupBy("user_id").agg(F.array_join(F.sort_array(F.collect_set("event_type")), ",").alias("kinds"), F.count_distinct("event_type").alias("n"))
 
 
+@R.query("SELECT user_id, string_agg(event_type, '>' ORDER BY event_id) AS path FROM events GROUP BY user_id")
+def list_aggregate(spark, sf_dir):
+    return table(spark, sf_dir, "events").groupBy("user_id").agg(F.expr("listagg(event_type, '>') WITHIN GROUP (ORDER BY event_id)").alias("path"))
+
+
 @R.query()
 def approximate_distinct(spark, sf_dir):
     return table(spark, sf_dir, "lineitem").groupBy("l_returnflag").agg(F.approx_count_distinct("l_partkey", 0.02).alias("parts"))

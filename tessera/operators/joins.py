@@ -26,11 +26,11 @@ def join_inner(spark, sf_dir):
 
 
 def _outer(how: str):
-    sql = f"SELECT o_orderkey, o_custkey, l_orderkey, l_quantity FROM (SELECT * FROM orders WHERE o_totalprice > 200000) o {how.upper()} JOIN (SELECT * FROM lineitem WHERE l_quantity > 40) l ON o_orderkey = l_orderkey"
+    sql = f"SELECT o_orderkey, o_custkey, l_orderkey, l_quantity FROM orders {how.upper()} JOIN lineitem ON o_orderkey = l_orderkey"
 
     def build(spark, sf_dir):
-        orders = table(spark, sf_dir, "orders").filter("o_totalprice > 200000").select("o_orderkey", "o_custkey")
-        lines = table(spark, sf_dir, "lineitem").filter("l_quantity > 40").select("l_orderkey", "l_quantity")
+        orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
+        lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_quantity")
         return orders.join(lines, F.col("o_orderkey") == F.col("l_orderkey"), how)
 
     R.query(sql, name=f"join_{how}_outer")(build)
@@ -92,17 +92,25 @@ def join_range(spark, sf_dir):
     return range_join(events.select("user_id", "event_id", "ts"), right, "user_id", "ts", "low", "high", 6 * 3600).select("event_id", "purchase_id")
 
 
-def asof_join(left: DataFrame, right: DataFrame, key: str, at: str, values: list[str], tie: str) -> DataFrame:
+def asof_join(left: DataFrame, right: DataFrame, key: str, at: str, values: list[str], tie: str, width: int = 7 * 86400) -> DataFrame:
     """Each left row with values of the last right row of its key at or before it (of several at one time, that with the greatest tie).
 
-    One union, one shuffle on the key and one window, instead of a join on an inequality.
+    Null keys and times match nothing. Time is cut into buckets of width seconds: a window finds the last right row
+    within a bucket, and what earlier buckets leave is carried over by one row for each key and bucket. So a key with
+    very many rows is spread over its buckets, and no task sorts more than one bucket of it.
     """
     packed = F.struct(*values)
     a = left.withColumn("_side", F.lit(1)).withColumn("_right", F.lit(None).cast(right.select(packed.alias("r")).schema["r"].dataType)).withColumn("_tie", F.lit(None).cast(right.schema[tie].dataType))
     b = right.select(F.col(key), F.col(at), packed.alias("_right"), F.col(tie).alias("_tie"), F.lit(0).alias("_side"))
-    order = Window.partitionBy(key).orderBy(at, "_side", "_tie").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    found = a.unionByName(b, allowMissingColumns=True).withColumn("_last", F.last("_right", ignorenulls=True).over(order))
-    return found.filter("_side = 1 and _last is not null").select(*left.columns, *[F.col(f"_last.{v}").alias(v) for v in values])
+    both = a.unionByName(b, allowMissingColumns=True).filter(F.col(key).isNotNull() & F.col(at).isNotNull())
+    both = both.withColumn("_bucket", F.floor(F.unix_timestamp(F.col(at).cast("timestamp")) / width))
+    within = Window.partitionBy(key, "_bucket").orderBy(at, "_side", "_tie").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    last = F.max_by("_right", F.when(F.col("_side") == 0, F.struct(at, "_tie"))).alias("_left")
+    earlier = Window.partitionBy(key).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    carried = both.groupBy(key, "_bucket").agg(last).withColumn("_left", F.last("_left", ignorenulls=True).over(earlier)).filter("_left is not null")
+    found = both.withColumn("_here", F.last("_right", ignorenulls=True).over(within)).filter("_side = 1").join(carried, [key, "_bucket"], "left")
+    found = found.withColumn("_last", F.coalesce("_here", "_left")).filter("_last is not null")
+    return found.select(*left.columns, *[F.col(f"_last.{v}").alias(v) for v in values])
 
 
 @R.query("""

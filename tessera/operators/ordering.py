@@ -83,6 +83,13 @@ def drop_duplicates_by_key(spark, sf_dir):
     return table(spark, sf_dir, "documents").groupBy("lang", "source").agg(F.min("doc_id").alias("doc_id"))
 
 
+@R.query("SELECT DISTINCT ON (lang, source) lang, source, doc_id, n_chars, text FROM documents ORDER BY lang, source, doc_id")
+def drop_duplicate_rows(spark, sf_dir):
+    """One whole row for each key, that with the least id: an aggregate with partial steps, where dropDuplicates would keep any row."""
+    rest = F.struct("doc_id", "n_chars", "text")
+    return table(spark, sf_dir, "documents").groupBy("lang", "source").agg(F.min_by(rest, "doc_id").alias("r")).select("lang", "source", "r.*")
+
+
 @R.query("SELECT o_orderkey, o_totalprice FROM orders o WHERE o_totalprice > (SELECT 1.2 * avg(o_totalprice) FROM orders i WHERE i.o_custkey = o.o_custkey)")
 def correlated_scalar(spark, sf_dir):
     return spark.sql("SELECT o_orderkey, o_totalprice FROM {o} o WHERE o_totalprice > (SELECT 1.2 * avg(o_totalprice) FROM {o} i WHERE i.o_custkey = o.o_custkey)", o=table(spark, sf_dir, "orders"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import tempfile
 import uuid
 
@@ -15,9 +16,11 @@ R = Registry()
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A new folder below the one in spark.checkpoint.dir; a local one only where that is unset, as in tests."""
+    """A new folder below the one in spark.checkpoint.dir. Where that is unset, a local one in local mode, as in tests; an error on a cluster."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
         base = tempfile.mkdtemp(prefix="tessera-")
         spark.sparkContext.setCheckpointDir(base)
     return f"{base}/{uuid.uuid4().hex}"
@@ -36,6 +39,16 @@ def parquet_scan(spark, sf_dir):
     return table(spark, sf_dir, "region").select("r_regionkey", "r_name")
 
 
+TABLES = ("benchmark", "conversations", "customer", "documents", "embeddings", "events", "labels", "lineitem", "nation", "orders", "pages", "part", "region", "supplier")
+
+
+@R.query(" UNION ALL ".join(f"SELECT '{t}' AS name, count(*) AS n FROM {t}" for t in TABLES))
+def parquet_scan_all(spark, sf_dir):
+    """Row counts of all tables."""
+    counts = [table(spark, sf_dir, t).agg(F.lit(t).alias("name"), F.count("*").alias("n")) for t in TABLES]
+    return functools.reduce(DataFrame.union, counts)
+
+
 @R.query("SELECT o_orderkey, o_totalprice, o_orderstatus FROM orders WHERE o_orderstatus = 'F'")
 def parquet_partitioned(spark, sf_dir):
     """Partitions are pruned on reading."""

@@ -16,6 +16,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from tessera.registry import Registry
 from tessera.sources.connectors import shared_folder
+from tessera.sources.tables import table
 
 R = Registry()
 _SCHEMA = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
@@ -96,7 +97,26 @@ def stream_update_upsert(spark, sf_dir):
 
     counted = event_stream(spark, sf_dir).groupBy("event_type").agg(F.count("*").alias("n"), F.max("event_id").alias("last"))
     counted.writeStream.outputMode("update").foreachBatch(upsert).option("checkpointLocation", shared_folder(spark)).trigger(availableNow=True).start().awaitTermination()
-    return spark.read.schema(counted.schema).parquet(versions[-1])
+    # without a batch there is nothing to read
+    return spark.read.schema(counted.schema).parquet(versions[-1]) if versions else spark.createDataFrame([], counted.schema)
+
+
+@R.query("""
+    WITH e AS (SELECT time_bucket(INTERVAL 1 DAY, ts) + INTERVAL 1 DAY AS closing, ts, event_id % 10 = 0 AS late FROM events),
+         w AS (SELECT max(ts) FILTER (NOT late) - INTERVAL 1 HOUR AS before, max(ts) - INTERVAL 1 HOUR AS at_end FROM e)
+    SELECT closing, count(*) AS n FROM e, w WHERE NOT (late AND closing <= before) AND closing <= at_end GROUP BY closing""")
+def stream_late_rows(spark, sf_dir):
+    """Every tenth event comes after all others: rows of windows that the watermark has closed by then are dropped."""
+    source, out, state = (shared_folder(spark) for _ in range(3))
+    events = table(spark, sf_dir, "events").select("event_id", "ts")
+    late = F.col("event_id") % 10 == 0
+    for i, part in enumerate((events.filter(~late), events.filter(late))):
+        part.write.parquet(f"{source}/part{i}")
+        # a new run of the stream goes on from the state of the one before
+        stream = spark.readStream.schema(events.schema).parquet(f"{source}/part*").withColumn("ts", F.col("ts").cast("timestamp"))
+        counted = stream.withWatermark("ts", "1 hour").groupBy(F.window("ts", "1 day").alias("w")).agg(F.count("*").alias("n")).select(naive("w.end", "closing"), "n")
+        counted.writeStream.outputMode("append").option("checkpointLocation", state).trigger(availableNow=True).format("parquet").start(out).awaitTermination()
+    return spark.read.schema(counted.schema).parquet(out)
 
 
 class Totals(StatefulProcessor):
@@ -119,13 +139,19 @@ class Totals(StatefulProcessor):
 @R.query("SELECT user_id, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY user_id")
 def stream_state(spark, sf_dir):
     """Arbitrary state per user; the last row that a user got is the total."""
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    provider = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(provider)
+    spark.conf.set(provider, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     stream = event_stream(spark, sf_dir).select("user_id", "value").groupBy("user_id").transformWithStateInPandas(statefulProcessor=Totals(), outputStructType="user_id long, n long, total double", outputMode="Update", timeMode="None")
     out = shared_folder(spark)
 
     def save(batch: DataFrame, number: int) -> None:
-        batch.withColumn("batch", F.lit(number)).write.mode("append").parquet(out)
+        # a folder for each batch, so that one that is run again replaces what it wrote
+        batch.write.mode("overwrite").parquet(f"{out}/batch={number}")
 
-    stream.writeStream.outputMode("update").foreachBatch(save).option("checkpointLocation", shared_folder(spark)).trigger(availableNow=True).start().awaitTermination()
+    try:
+        stream.writeStream.outputMode("update").foreachBatch(save).option("checkpointLocation", shared_folder(spark)).trigger(availableNow=True).start().awaitTermination()
+    finally:
+        spark.conf.set(provider, before)
     rows = spark.read.schema("user_id long, n long, total double, batch int").parquet(out)
     return rows.groupBy("user_id").agg(F.max("n").alias("n"), F.max_by("total", F.struct("batch", "n")).alias("total"))

@@ -20,14 +20,13 @@ def _rows(xs, first=0):
 
 
 @quick
-@given(left=points, right=points)
-def test_asof(spark, left, right):
+@given(left=points, right=points, width=st.sampled_from([60, 150, 900, 604800]))
+def test_asof(spark, left, right, width):
     a, b = _rows(left), _rows(right, 100)
-    found = asof_join(spark.createDataFrame(a, "id long, k int, ts timestamp_ntz"), spark.createDataFrame(b, "rid long, k int, ts timestamp_ntz"), "k", "ts", ["rid"], "rid")
+    found = asof_join(spark.createDataFrame(a, "id long, k int, ts timestamp_ntz"), spark.createDataFrame(b, "rid long, k int, ts timestamp_ntz"), "k", "ts", ["rid"], "rid", width)
     want = []
     for i, k, t in a:
-        # a window groups null keys together, so a null key meets null keys
-        before = [(u, r) for r, j, u in b if j == k and u <= t]
+        before = [(u, r) for r, j, u in b if k is not None and j == k and u <= t]
         if before:
             want.append((i, max(before)[1]))
     assert sorted((r["id"], r["rid"]) for r in found.collect()) == sorted(want)
