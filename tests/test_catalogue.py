@@ -31,6 +31,33 @@ def test_entry(spark):
     assert set(e.oracle_sql()) <= set(e.queries())
 
 
+def test_only_a_missing_subpackage_is_passed_over(monkeypatch):
+    import builtins
+    import importlib
+
+    import __spark_entry__ as e
+
+    real = importlib.import_module
+
+    def without(name):
+        def load(wanted, *a):
+            if wanted == "tessera.llm.queries":
+                raise ModuleNotFoundError(f"No module named {name!r}", name=name)
+            return real(wanted, *a)
+
+        monkeypatch.setattr(importlib, "import_module", load)
+        return load
+
+    source = open(e.__file__).read()
+    without("tessera.llm")
+    there = {"__file__": e.__file__, "__name__": "entry", "__builtins__": builtins}
+    exec(compile(source, e.__file__, "exec"), there)
+    assert there["llm"] is None and set(there["queries"]()) == set(QUERIES)
+    without("regex")
+    with pytest.raises(ModuleNotFoundError):
+        exec(compile(source, e.__file__, "exec"), dict(there))
+
+
 def test_nothing_outside_imports_the_text_operators():
     import pathlib
     import re
