@@ -37,3 +37,28 @@ WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE
            FROM u q JOIN u c ON q.vec_id <> c.vec_id AND len(q.v) = len(c.v) WHERE q.vec_id % 50 = 0 AND q.n > 0 AND c.n > 0),
      r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 5"""
+
+
+def _centroid_clustering(k: int = 16, rounds: int = 3) -> str:
+    """Every round compares all vectors with all centroids."""
+    steps = [f"""
+WITH v AS (SELECT row_number() OVER () AS n, vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+           FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+     c0 AS (SELECT row_number() OVER (ORDER BY sha256('1:' || vec_id) NULLS LAST, v) - 1 AS c, v FROM v QUALIFY c < {k})"""]
+    for i in range(rounds + 1):
+        steps.append(f"""
+     a{i} AS (SELECT n, vec_id, v, c, d FROM (
+               SELECT n, vec_id, v.v, c, list_sum(list_transform(range(1, 65), lambda i: (v.v[i] - m.v[i]) * (v.v[i] - m.v[i]))) AS d FROM v, c{i} m)
+             QUALIFY row_number() OVER (PARTITION BY n ORDER BY d, c) = 1)""")
+        if i < rounds:
+            steps.append(f"""
+     m{i} AS (SELECT c, i, sum(x) AS s, count(*) AS n FROM (SELECT c, unnest(v) AS x, unnest(range(64)) AS i FROM a{i}) GROUP BY c, i),
+     c{i + 1} AS (SELECT c, list(CAST((s - ((s % n) + n) % n) // n AS BIGINT) ORDER BY i) AS v FROM m{i} GROUP BY c
+             UNION ALL SELECT c, v FROM c{i} WHERE c NOT IN (SELECT c FROM m{i}))""")
+    return ",".join(steps) + f"""
+SELECT vec_id, CAST(c AS INTEGER) AS cluster, CAST(d AS BIGINT) AS distance, CAST(sum(d) OVER (PARTITION BY c) AS BIGINT) AS cluster_inertia,
+       CAST(sum(d) OVER () AS BIGINT) AS inertia, sha256(array_to_string(m.v, ',')) AS centroid_sha256
+FROM a{rounds} a JOIN c{rounds} m USING (c)"""
+
+
+CENTROID_CLUSTERING = _centroid_clustering()

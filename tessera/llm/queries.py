@@ -8,15 +8,17 @@ from tessera.llm import oracles
 from tessera.llm.ann import op6_nearest_neighbours
 from tessera.llm.bpe import op5_byte_bpe
 from tessera.llm.chat import op4_chat_formatting
+from tessera.llm.clusters import op12_centroid_clustering
 from tessera.llm.jaccard import op10_jaccard_join
 from tessera.llm.language_id import op1_language_id
 from tessera.llm.licenses import op9_license_scans
 from tessera.llm.lm_scoring import op2_lm_scoring
 from tessera.llm.packing import op3_packing
 from tessera.llm.quality import op8_quality_rules
+from tessera.llm.simhash import op13_simhash_dedup
 from tessera.llm.suffix_dedup import op7_suffix_dedup
 
-_OPERATORS = (op1_language_id, op2_lm_scoring, op3_packing, op4_chat_formatting, op5_byte_bpe, op6_nearest_neighbours, op7_suffix_dedup, op8_quality_rules, op9_license_scans, op10_jaccard_join)
+_OPERATORS = (op1_language_id, op2_lm_scoring, op3_packing, op4_chat_formatting, op5_byte_bpe, op6_nearest_neighbours, op7_suffix_dedup, op8_quality_rules, op9_license_scans, op10_jaccard_join, op12_centroid_clustering, op13_simhash_dedup)
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -31,4 +33,4 @@ def queries():
 
 
 def oracle_sql():
-    return {"op6_nearest_neighbours": oracles.NEAREST_NEIGHBOURS, "op7_suffix_dedup": oracles.SUFFIX_DEDUP, "op10_jaccard_join": oracles.JACCARD_JOIN}
+    return {"op6_nearest_neighbours": oracles.NEAREST_NEIGHBOURS, "op7_suffix_dedup": oracles.SUFFIX_DEDUP, "op10_jaccard_join": oracles.JACCARD_JOIN, "op12_centroid_clustering": oracles.CENTROID_CLUSTERING}
