@@ -4,11 +4,12 @@ A fingerprint has a bit where more than half of the hashes (XXH64, seed 42) of a
 
 Method: Golay-code fuzzy hashing. The fingerprint is cut into three segments of 22, 21 and 21 bits, each filled up with
 zeros to the 23 of the perfect Golay code, in which any word lies within three bits of exactly one codeword, named by
-its 12 message bits. Four errors spread over three segments leave two or fewer in some two of them. Of two words that
-differ by two bits, the one halfway between is a bit away from each; its codewords are among those that either reaches
-with one bit flipped at most. So for each two segments a fingerprint gets the pairs of codeword indices that it reaches
-with one flip in one of the two: 10 keys of 24 bits on average, 33 at most for all three choices. Fingerprints that
-are near meet under one of them for certain; those that meet are compared in full.
+its 12 message bits. Of two fingerprints that differ by four bits, one halfway between is two bits away from each; the
+codeword indices of its segments are among those that either reaches with two flips. Two flips touch two of the three
+segments at most, so a fingerprint gets as keys the triples of indices that it reaches with two flips in one segment or
+one in each of two: about a hundred, of 36 bits. Fingerprints that are near meet under one of them for certain; strangers
+hardly ever do, however many there are; those that meet are compared in full. The code is linear, so which indices a
+word reaches depends on its error alone, and comes from a table of the 2048 errors.
 
 Fingerprints are made distinct before keys are made, so copies cost nothing. A key's fingerprints are one task's work
 up to CHUNK; those of a larger one are cut into chunks, and every two chunks are a task. A task returns a link to its
@@ -38,6 +39,8 @@ from tessera.llm.kernels import BLANK, U64, text_bytes, words
 from tessera.llm.quality import slices
 
 WORDS, REACH, SEED, CHUNK = 4, 4, 42, 4096
+#: Fingerprints whose keys one task makes.
+SHARE = 1 << 15
 #: First bit and number of bits of each segment.
 SEGMENTS = ((0, 22), (22, 21), (43, 21))
 #: Generator polynomial of the [23, 12, 7] Golay code.
@@ -79,22 +82,41 @@ def decode(x: np.ndarray) -> np.ndarray:
     return (x ^ _ERROR[_LOW[x & 4095] ^ _HIGH[x >> 12]]) >> 11
 
 
+def _reached(size: int) -> tuple[np.ndarray, np.ndarray]:
+    """For words of each error, what the indices of other codewords differ by that one flip, and up to two flips, of the first size bits reach; -1 where there are fewer."""
+    one = np.array([1 << i for i in range(size)])
+    two = np.unique(one[:, None] ^ one)
+    out = []
+    for flips in (one, np.union1d(one, two)):
+        # a row for each syndrome; the index of a word with no more than its error is zero
+        found = np.sort(decode(_ERROR[:, None] ^ flips), 1)
+        found[:, 1:][found[:, 1:] == found[:, :-1]] = 0
+        found[found == 0] = -1
+        out.append(-np.sort(-found, 1)[:, : int((found > 0).sum(1).max())])
+    return out[0], out[1]
+
+
+_REACHED = [_reached(size) for _, size in SEGMENTS]
+
+
 def near_keys(fingerprints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Keys of unsigned 64-bit fingerprints, and the place of the fingerprint that each belongs to; none twice for one."""
-    reached = []
-    for first, size in SEGMENTS:
+    own, once, twice = [], [], []
+    for (first, size), (by_one, by_two) in zip(SEGMENTS, _REACHED, strict=True):
         x = (fingerprints >> U64(first) & U64((1 << size) - 1)).astype(np.int64)
-        # its own codeword comes first, then those one flip away
-        reached.append(decode(x[:, None] ^ np.array([0, *(1 << i for i in range(size))])))
-    place, keys = [], []
-    rows = np.arange(len(fingerprints))
-    for pair, (a, b) in enumerate(((0, 1), (0, 2), (1, 2))):
-        many = np.concatenate([reached[a] << 12 | reached[b][:, :1], reached[a][:, :1] << 12 | reached[b][:, 1:]], 1)
-        many.sort(1)
-        new = np.ones(many.shape, bool)
-        new[:, 1:] = many[:, 1:] != many[:, :-1]
-        keys.append(many[new] | pair << 24)
-        place.append(np.repeat(rows, new.sum(1)))
+        syndrome = _LOW[x & 4095] ^ _HIGH[x >> 12]
+        shift = 12 * len(own)
+        own.append((x ^ _ERROR[syndrome]) >> 11 << shift)
+        for table, to in ((by_one, once), (by_two, twice)):
+            change = table[syndrome]
+            to.append(np.where(change < 0, -1, change << shift))
+    whole = own[0] | own[1] | own[2]
+    place, keys = [np.arange(len(whole))], [whole]
+    pairs = [np.where((once[a][:, :, None] < 0) | (once[b][:, None] < 0), -1, once[a][:, :, None] | once[b][:, None]).reshape(len(whole), -1) for a, b in ((0, 1), (0, 2), (1, 2))]
+    for change in (*twice, *pairs):
+        row, column = np.nonzero(change >= 0)
+        keys.append(whole[row] ^ change[row, column])
+        place.append(row)
     return np.concatenate(keys), np.concatenate(place)
 
 
@@ -221,8 +243,9 @@ def _link(reach: int):
 def links(fingerprints: DataFrame, reach: int = REACH, chunk: int = CHUNK) -> DataFrame:
     """Links a, b between the distinct values of column fp, enough of them to connect all that differ in reach bits or less."""
     if reach > REACH:
-        raise ValueError(f"two keys in three segments stand for {REACH} bits at most")
-    keys = fingerprints.select("fp").mapInArrow(_key, "key long, fp long")
+        raise ValueError(f"two flips on either side stand for {REACH} bits at most")
+    tasks = -(-fingerprints.count() // SHARE) or 1
+    keys = fingerprints.select("fp").repartition(tasks, "fp").mapInArrow(_key, "key long, fp long")
     # the aggregate is written first, so both sides of the join are plain shuffles, whose large keys Spark can split
     sizes = keep(keys.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1"), "key-sizes")
     met = keys.join(sizes, "key").withColumn("n", F.ceil(F.col("size") / chunk).cast("int"))
