@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tessera.llm import oracles
+from tessera.llm.alignment import op11_cross_tokenizer
 from tessera.llm.ann import op6_nearest_neighbours
 from tessera.llm.bpe import op5_byte_bpe
 from tessera.llm.chat import op4_chat_formatting
@@ -18,7 +19,7 @@ from tessera.llm.quality import op8_quality_rules
 from tessera.llm.simhash import op13_simhash_dedup
 from tessera.llm.suffix_dedup import op7_suffix_dedup
 
-_OPERATORS = (op1_language_id, op2_lm_scoring, op3_packing, op4_chat_formatting, op5_byte_bpe, op6_nearest_neighbours, op7_suffix_dedup, op8_quality_rules, op9_license_scans, op10_jaccard_join, op12_centroid_clustering, op13_simhash_dedup)
+_OPERATORS = (op1_language_id, op2_lm_scoring, op3_packing, op4_chat_formatting, op5_byte_bpe, op6_nearest_neighbours, op7_suffix_dedup, op8_quality_rules, op9_license_scans, op10_jaccard_join, op11_cross_tokenizer, op12_centroid_clustering, op13_simhash_dedup)
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:

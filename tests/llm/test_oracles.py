@@ -17,4 +17,4 @@ def test_agrees_with_sql(spark, name):
 
 def test_all_are_registered():
     names = list(Q.queries())
-    assert [int(re.match(r"op(\d+)_", n)[1]) for n in names[:-1]] == list(range(1, 11)) and names[-1] == "pipeline"
+    assert [int(re.match(r"op(\d+)_", n)[1]) for n in names[:-1]] == list(range(1, 14)) and names[-1] == "pipeline"
