@@ -27,9 +27,11 @@ from __future__ import annotations
 
 import hashlib
 import re
+import struct
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -39,7 +41,7 @@ from tessera.llm.common import keep, prepare, release
 from tessera.llm.packing import encoder
 
 #: Links whose pairs are counted together; entries and characters of a memo.
-BLOCK, MEMO, MEMO_CHARS = 1 << 22, 1 << 18, 1 << 24
+BLOCK, MEMO, MEMO_CHARS = 1 << 22, 1 << 19, 1 << 24
 #: Characters that count as white space in the first tokenizer's pattern. Unicode's White_Space property.
 WHITE = "\t\n\x0b\x0c\r \x85\xa0                　"
 
@@ -54,12 +56,15 @@ class Transducer:
     def _forget(self) -> None:
         self.residuals: list[bytes] = [b""]
         self.numbers: dict[bytes, int] = {b"": 0}
-        self.moves: dict[tuple[int, int], int | None] = {}
-        self.held = 0
+        #: Next states by residual and the lagging side's token; where none leads, the first side goes on.
+        self.ahead: list[dict[int, int | None]] = [{}]
+        self.behind: list[dict[int, int | None]] = [{}]
+        self.known = self.held = 0
 
     def _move(self, state: int, token: int) -> int | None:
         """The state after the lagging side's next token; None if its bytes are others."""
         ahead, own = self.residuals[abs(state)], self.sides[state > 0][token]
+        self.known += 1
         if ahead.startswith(own):
             left, leads = ahead[len(own) :], 1 if state > 0 else -1
         elif own.startswith(ahead):
@@ -69,28 +74,33 @@ class Transducer:
         if left not in self.numbers:
             self.numbers[left] = len(self.residuals)
             self.residuals.append(left)
+            self.ahead.append({})
+            self.behind.append({})
             self.held += len(left)
         return leads * self.numbers[left]
 
     def align(self, a: list[int], b: list[int]) -> list[tuple[int, int]] | None:
         """How many tokens of each side every closed group ends at; None if the sides' bytes differ."""
-        if len(self.moves) > MEMO or self.held > MEMO_CHARS:
+        if self.known > MEMO or self.held > MEMO_CHARS:
             self._forget()
-        moves, out = self.moves, []
+        ahead, behind, out = self.ahead, self.behind, []
         state = i = j = 0
-        while i < len(a) or j < len(b):
+        n, m = len(a), len(b)
+        while i < n or j < m:
             if state > 0:
-                if j == len(b):
+                if j == m:
                     return None
-                token, j = b[j], j + 1
+                moves, token = ahead[state], b[j]
+                j += 1
             else:
-                if i == len(a):
+                if i == n:
                     return None
-                token, i = a[i], i + 1
-            move = (state, token)
-            if move not in moves:
-                moves[move] = self._move(*move)
-            state = moves[move]
+                moves, token = behind[-state], a[i]
+                i += 1
+            if token in moves:
+                state = moves[token]
+            else:
+                state = moves[token] = self._move(state, token)
             if state is None:
                 return None
             if state == 0:
@@ -123,7 +133,10 @@ class Aligner:
         self.second = sentencepiece.SentencePieceProcessor(model_file=second)
         names = [self.second.id_to_piece(i) for i in range(self.second.vocab_size())]
         byte = [self.second.is_byte(i) for i in range(len(names))]
-        self.transducer = Transducer(tokens, [bytes([int(n[1:-1], 16)]) if b else n.replace("▁", " ").encode() for n, b in zip(names, byte, strict=True)])
+        others = [bytes([int(n[1:-1], 16)]) if b else n.replace("▁", " ").encode() for n, b in zip(names, byte, strict=True)]
+        self.transducer = Transducer(tokens, others)
+        self.sizes = tuple(np.array(list(map(len, side))) for side in (tokens, others))
+        self.told = tuple(list(map(str, range(len(side)))) for side in (tokens, others))
         texts = [n for n, b in zip(names, byte, strict=True) if not b]
         self.cuts = not any("▁" in n.lstrip("▁") or "\n" in n for n in texts)
         self.lead = len(self.second.encode("\n"))
@@ -133,12 +146,9 @@ class Aligner:
         self._forget()
 
     def _forget(self) -> None:
-        self.memo: dict[str, int] = {}
+        #: Numbers of tokens of both sides, groups and links of pieces; False for one without an alignment.
+        self.memo: dict[str, tuple[int, int, str, bytes] | bool] = {}
         self.chars = 0
-        self.a_tokens: list[int] = []
-        self.b_tokens: list[int] = []
-        self.groups: list[str | None] = []
-        self.links: list[bytes] = []
 
     def pieces(self, text: str) -> list[str]:
         """A space and the text, in parts that both tokenizers treat alone."""
@@ -156,29 +166,42 @@ class Aligner:
         return joined
 
     def _learn(self, new: list[str]) -> None:
-        """Align pieces that are not known yet."""
-        if self.cuts:
-            # a line feed is a byte of its own, so what stands before it goes with it
-            second = [ids[self.lead :] for ids in self.second.encode(["\n" + p for p in new], num_threads=1)]
-        else:
-            second = [self.second.encode(p[1:], num_threads=1) for p in new]
-        for piece, b in zip(new, second, strict=True):
-            a = self.first(piece)
-            ends = self.transducer.align(a, b)
-            self.memo[piece] = len(self.groups)
-            self.chars += len(piece)
-            self.a_tokens.append(len(a))
-            self.b_tokens.append(len(b))
-            if ends is None:
-                self.groups.append(None)
-                self.links.append(b"")
-                continue
-            told, i, j = [], 0, 0
-            for k, m in ends:
-                told.append(",".join(map(str, a[i:k])) + "|" + ",".join(map(str, b[j:m])))
+        """Align pieces that are not known yet, all at once where each ends as it begins: not in white space."""
+        last = [p for p in new if p[-1] in WHITE]
+        rest = [p for p in new if p[-1] not in WHITE]
+        for some in (rest, *([p] for p in last)):
+            if some and not self._together(some):
+                for piece in some:
+                    if len(some) == 1 or not self._together([piece]):
+                        self.memo[piece] = False
+                        self.chars += len(piece)
+
+    def _together(self, new: list[str]) -> bool:
+        """Align some pieces one after another; whether both sides' bytes agree."""
+        whole = "".join(new)
+        a = self.first(whole)
+        # a line feed is a token of its own, so what stands before it goes with it
+        b = self.second.encode("\n" + whole, num_threads=1)[self.lead :] if self.cuts else self.second.encode(whole[1:], num_threads=1)
+        ends = self.transducer.align(a, b)
+        if ends is None:
+            return False
+        size = np.cumsum([len(p) if p.isascii() else len(p.encode()) for p in new])
+        cuts = np.searchsorted(np.cumsum(self.sizes[0][a]), size) + 1
+        (one, two), i, j, at = self.told, 0, 0, 0
+        for piece, cut in zip(new, cuts.tolist(), strict=True):
+            from_a, from_b, groups, links = i, j, [], []
+            while i < cut:
+                k, m = ends[at]
+                at += 1
+                if k - i == 1 == m - j:
+                    groups.append(one[a[i]] + "|" + two[b[j]])
+                else:
+                    groups.append(",".join([one[x] for x in a[i:k]]) + "|" + ",".join([two[x] for x in b[j:m]]))
                 i, j = k, m
-            self.groups.append(";".join(told))
-            self.links.append(b"".join((a[k - 1] << 32 | b[m - 1]).to_bytes(8, "little") for k, m in ends))
+                links.append(a[i - 1] << 32 | b[j - 1])
+            self.memo[piece] = i - from_a, j - from_b, ";".join(groups), struct.pack(f"<{len(links)}q", *links)
+            self.chars += len(piece)
+        return True
 
     def align(self, text: str) -> tuple[int, int, str, bytes] | None:
         """Numbers of tokens of both sides, the groups, and a 64-bit pair of ids for each link; None without tokens."""
@@ -187,14 +210,14 @@ class Aligner:
         if len(self.memo) > MEMO or self.chars > MEMO_CHARS:
             self._forget()
         parts = self.pieces(text)
-        at = list(map(self.memo.get, parts))
-        if None in at:
-            self._learn(list(dict.fromkeys(p for p, i in zip(parts, at, strict=True) if i is None)))
-            at = list(map(self.memo.get, parts))
-        groups = list(map(self.groups.__getitem__, at))
-        if None in groups:
+        found = list(map(self.memo.get, parts))
+        if None in found:
+            self._learn(list(dict.fromkeys(p for p, x in zip(parts, found, strict=True) if x is None)))
+            found = list(map(self.memo.get, parts))
+        if False in found:
             return None
-        return sum(map(self.a_tokens.__getitem__, at)), sum(map(self.b_tokens.__getitem__, at)), ";".join(groups), b"".join(map(self.links.__getitem__, at))
+        a, b, groups, links = zip(*found, strict=True)
+        return sum(a), sum(b), ";".join(groups), b"".join(links)
 
 
 _FIELDS = [("kind", pa.int32()), ("block", pa.int64()), ("place", pa.int32()), ("pair", pa.int64()), ("n", pa.int64()), ("doc_id", pa.int64()), ("n_a", pa.int64()), ("n_b", pa.int64()), ("n_groups", pa.int64()), ("n_links", pa.int64()), ("groups", pa.string()), ("links", pa.binary())]
@@ -220,7 +243,8 @@ class _Block:
     def batches(self) -> Iterator[pa.RecordBatch]:
         """Rows of kind 0 for its distinct pairs, and of kind 1 for its documents, whose links are places among the pairs."""
         every = np.frombuffer(b"".join(r[-1] for r in self.rows), "<i8")
-        pairs, place, count = np.unique(every, return_inverse=True, return_counts=True)
+        place, pairs = pd.factorize(every, sort=True)
+        count = np.bincount(place, minlength=len(pairs))
         kind = "<u2" if len(pairs) <= 1 << 16 else "<u4"
         place = place.astype(kind)
         for low in range(0, len(pairs), 1 << 16):
