@@ -4,21 +4,26 @@ Method: a depth-limited most-significant-digit radix sort. A suffix is ordered o
 suffixes that share all of them are exactly the repeated windows. Sorting every suffix of a large corpus would move
 each byte fifty times, so two things come before the digit passes:
 
-1. Pruning. Each window is filed under its minimiser, the K-byte gram with the least hash in it. Equal windows have
+1. Pruning. Each window is filed under its minimiser, the K-byte gram with the least hash in it. Very frequent grams
+   are passed over: the windows at the edges of a common line would else all be filed under the line's own grams,
+   whatever stands beside it. Blocks note the grams that they have HEAVY times or more as they are written; those noted
+   OFTEN times in all, and in at least one of MOST_PASSED of all places, are passed over in every block alike, so there
+   are no more than MOST_PASSED of them, 2 MB. A window of such grams alone, inside a common line, goes by its own
+   hash, once for a block, which is 50 bytes for each 64 or more that the block has. Equal windows have
    equal minimisers, so a window whose minimiser occurs in one document only has no partner and is never sorted.
    Minimisers travel as sorted five-byte hashes, about one for fifteen bytes of text.
 2. Runs. Neighbouring windows with one minimiser travel as one run of bytes, once per block of documents however
-   many copies the block holds, with the least doc_id that has it. A minimiser found about HOT times or more (counted
-   in four steps by block) would bring all its runs to one bucket, as those at the edges of a common line differ by
-   their context; its windows travel one by one instead, each to the bucket of its own hash.
+   many copies the block holds, with the least doc_id that has it. A minimiser that is rare in each block, but found
+   about HOT times or more over very many of them (counted in four steps by block), would bring all its runs to one
+   bucket; its windows travel one by one instead, each to the bucket of its own hash.
 
 Then each bucket of runs is sorted by four-byte digits from the most significant on; groups of one drop out after
 every pass. A block learns, for each window of its runs, the least doc_id over the whole corpus.
 
 Blocks are written before anything is told about them, so a repeated task meets the same blocks. Nothing is gathered
 per document group. What a block has of a bucket comes once however often it has it, so a passage that a third of all
-documents share costs one run, or one window for each byte of it, for each block of BLOCK bytes; at the edges of a
-common line every different context costs a window for each byte of WINDOW on either side, in different buckets.
+documents share costs one run, or one window for each byte of it, for each block of BLOCK bytes. The edges of a common
+line cost no more than other text: each context is filed under grams of its own.
 
 Edge cases: a null text counts as empty and stays so; a null doc_id counts as larger than every other, so such a
 document loses what a numbered one has and takes nothing from anyone; rows that share a doc_id take nothing from each
@@ -46,13 +51,15 @@ SLIDE = WINDOW - GRAM + 1
 BLOCK, STRIDE, BUCKET = 4 << 20, 1 << 17, 4 << 20
 #: A minimiser found so often has its windows spread by their own hashes. The steps of counting, and what they count as.
 HOT, STEPS, WEIGHTS = 1 << 16, np.array([1, 16, 256]), np.array([1, 4, 64, 2048])
+#: Grams noted so often in a block, and so often in all blocks that note them, are passed over; the most that are.
+HEAVY, OFTEN, MOST_PASSED = 64, 1 << 13, 1 << 18
 LAST = np.iinfo(np.int64).max
 #: A gram travels as 40 bits of its hash; the lowest three are flags.
 _LOW, _FLAGS = U64((1 << 40) - 1), U64(7)
 _PLACE = U64((1 << 24) - 1)
 
 
-def remove_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", whole_characters: bool = False, hot: int = HOT) -> DataFrame:
+def remove_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", whole_characters: bool = False, hot: int = HOT, heavy: int = HEAVY, often: int = OFTEN) -> DataFrame:
     """All columns of docs, then kept (binary: the bytes that stay) and removed (array of start and end of each run taken out).
 
     With whole_characters, a character stays unless all its bytes are to go, so that kept is valid UTF-8.
@@ -66,17 +73,58 @@ def remove_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     types = [f.dataType for f in docs.schema.fields]
     renamed = docs.toDF(*[f"c{i}" for i in range(len(columns))])
 
-    blocks = keep(renamed.mapInArrow(_blocks(at_text), "block long, payload binary"), "blocks")
-    hashes = blocks.mapInArrow(_hashes(at_text, at_id, buckets), "bucket long, block long, payload binary")
+    written = keep(renamed.mapInArrow(_blocks(at_text, heavy), "block long, payload binary, places long, heavy binary"), "blocks")
+    blocks = written.select("block", "payload")
+    passed = common_grams(written, often)
+    hashes = blocks.mapInArrow(_hashes(at_text, at_id, buckets, passed), "bucket long, block long, payload binary")
     shared = hashes.groupBy("bucket").applyInArrow(_shared(hot), "block long, payload binary")
     # a block's state travels with its runs, as a bucket of its own, and comes back with the answers
-    runs = blocks.groupBy("block").cogroup(shared.groupBy("block")).applyInArrow(_runs(at_text, at_id, buckets), "bucket long, block long, payload binary")
+    runs = blocks.groupBy("block").cogroup(shared.groupBy("block")).applyInArrow(_runs(at_text, at_id, buckets, passed), "bucket long, block long, payload binary")
     least = runs.groupBy("bucket").applyInArrow(_radix, "block long, kind int, payload binary")
     schema = T.StructType([*[T.StructField(f"c{i}", t) for i, t in enumerate(types)], T.StructField("kept", T.BinaryType()), T.StructField("removed", T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())])))])
     out = blocks.groupBy("block").cogroup(least.groupBy("block")).applyInArrow(_cut(at_text, at_id, whole_characters), schema)
     return out.toDF(*columns, kept, removed)
 
 
+def common_grams(blocks: DataFrame, often: int = OFTEN) -> np.ndarray:
+    """Hashes of the grams that are passed over, sorted."""
+    places = blocks.agg(F.coalesce(F.sum("places"), F.lit(0))).first()[0]
+    noted = blocks.select("heavy").filter("heavy is not null").mapInArrow(_noted, "gram long, n long")
+    # what so many of all places are, there are MOST_PASSED of at most
+    least = max(often, -(-places // MOST_PASSED))
+    found = noted.groupBy("gram").agg(F.sum("n").alias("n")).filter(F.col("n") >= least).select("gram").collect()
+    return np.sort(np.array([r["gram"] for r in found], np.int64).view(U64))
+
+
+def _noted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        rows = np.frombuffer(b"".join(batch.column(0).to_pylist()), "<i8").reshape(-1, 2)
+        yield pa.RecordBatch.from_arrays([pa.array(rows[:, 0]), pa.array(rows[:, 1])], names=["gram", "n"])
+
+
+def _grams(data: np.ndarray) -> Iterator[np.ndarray]:
+    """Hashes of all grams, stride by stride."""
+    keys = byte_keys(11)
+    for at in range(0, len(data) - GRAM + 1, STRIDE):
+        stop = min(len(data), at + STRIDE + GRAM - 1)
+        yield gram_hashes(keys[data[at:stop]], GRAM)[: stop - at - GRAM + 1]
+
+
+def _places(table: pa.Table, at_text: int, heavy: int = HEAVY) -> tuple[int, bytes | None]:
+    """How many bytes a block has, and which grams, how often, it notes."""
+    data, _ = text_bytes(table.column(at_text))
+    # counts by the first bits first, so that few grams are sorted
+    cells = np.zeros(1 << 20, np.int64)
+    for gram in _grams(data):
+        cells += np.bincount((gram >> U64(44)).astype(np.int64), minlength=len(cells))
+    full = cells >= heavy
+    if not full.any():
+        return len(data), None
+    gram, count = np.unique(np.concatenate([g[full[(g >> U64(44)).astype(np.int64)]] for g in _grams(data)]), return_counts=True)
+    many = count >= heavy
+    return len(data), np.stack([gram[many].view(np.int64), count[many]], 1).astype("<i8").tobytes() if many.any() else None
+
+
 def _pack(table: pa.Table) -> bytes:
     sink = pa.BufferOutputStream()
     with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
@@ -88,14 +136,16 @@ def _unpack(payload: bytes) -> pa.Table:
     return pa.ipc.open_stream(payload).read_all()
 
 
-def _blocks(at_text: int):
+def _blocks(at_text: int, heavy: int = HEAVY):
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         base, held, size, n = TaskContext.get().partitionId() << 24, [], 0, 0
 
         def row():
-            return pa.RecordBatch.from_arrays([pa.array([base + n], pa.int64()), pa.array([_pack(pa.Table.from_batches(held))], pa.binary())], names=["block", "payload"])
+            table = pa.Table.from_batches(held)
+            places, noted = _places(table, at_text, heavy)
+            return pa.RecordBatch.from_arrays([pa.array([base + n], pa.int64()), pa.array([_pack(table)], pa.binary()), pa.array([places], pa.int64()), pa.array([noted], pa.binary())], names=["block", "payload", "places", "heavy"])
 
         for batch in batches:
             _, offsets = text_bytes(batch.column(at_text))
@@ -131,8 +181,18 @@ def _sliding_min(x: np.ndarray, width: int) -> np.ndarray:
     return x
 
 
-def anchors(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """For strides of the bytes: window starts, the place of each one's minimiser, and that gram's hash."""
+def _among(x: np.ndarray, some: np.ndarray) -> np.ndarray:
+    """Which hashes are among some sorted ones; few are looked up, as a table of their first bits has most of the others."""
+    first = np.zeros(1 << 16, bool)
+    first[some >> U64(48)] = True
+    out = first[x >> U64(48)]
+    at = np.flatnonzero(out)
+    out[at] = some[np.minimum(np.searchsorted(some, x[at]), len(some) - 1)] == x[at]
+    return out
+
+
+def anchors(data: np.ndarray, offsets: np.ndarray, passed: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """For strides of the bytes: window starts, the place of each one's minimiser, and that gram's hash; one of the passed grams where a window has no other."""
     keys = byte_keys(11)
     n = len(data)
     ends = np.zeros(n + 1, np.int32)
@@ -143,6 +203,8 @@ def anchors(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray,
             break
         piece = gram_hashes(keys[data[at:stop]], GRAM)[: stop - at - GRAM + 1]
         order = (piece & ~_PLACE) | np.arange(len(piece), dtype=U64)
+        if passed is not None and len(passed):
+            order[_among(piece, passed)] |= ~_PLACE
         least = (_sliding_min(order, SLIDE) & _PLACE).astype(np.int64)
         crossed = np.cumsum(ends[at : stop + 1])
         whole = crossed[WINDOW - 1 : WINDOW - 1 + len(least)] == crossed[: len(least)]
@@ -180,7 +242,7 @@ _REPLY = (("block", "payload"), [pa.int64(), pa.binary()])
 _BACK, ANSWER, STATE = (("block", "kind", "payload"), [pa.int64(), pa.int32(), pa.binary()]), 2, 3
 
 
-def _hashes(at_text: int, at_id: int, buckets: int):
+def _hashes(at_text: int, at_id: int, buckets: int, passed: np.ndarray | None = None):
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block, payload in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
@@ -188,9 +250,11 @@ def _hashes(at_text: int, at_id: int, buckets: int):
                 ids = _ids(table, at_id)
                 data, offsets = text_bytes(table.column(at_text))
                 found, owners = [], []
-                for _, place, gram in anchors(data, offsets):
+                for _, place, gram in anchors(data, offsets, passed):
                     first = np.ones(len(place), bool)
                     first[1:] = place[1:] != place[:-1]
+                    if passed is not None and len(passed):
+                        first &= ~_among(gram, passed)
                     found.append(gram[first])
                     owners.append(ids[np.searchsorted(offsets, place[first], "right") - 1])
                 if not found:
@@ -276,25 +340,30 @@ class _Repeats:
         self.ids = _ids(table, at_id)
         self.data, self.offsets = text_bytes(table.column(at_text))
 
-    def find(self, replies: list[bytes], buckets: int):
-        """From the grams that other documents have."""
-        known = np.sort(np.concatenate([_from_five(p[8:]) | U64(int.from_bytes(p[:8], "little")) << U64(40) for p in replies]))
+    def find(self, replies: list[bytes], buckets: int, passed: np.ndarray | None = None):
+        """From the grams that other documents have; windows of passed grams alone are all taken."""
+        known = np.sort(np.concatenate([np.zeros(0, U64), *(_from_five(p[8:]) | U64(int.from_bytes(p[:8], "little")) << U64(40) for p in replies)]))
         hot = (known & U64(1)).astype(bool)
         known &= ~_FLAGS
         starts, places, grams, often = [], [], [], []
-        for start, place, gram in anchors(self.data, self.offsets):
+        for start, place, gram in anchors(self.data, self.offsets, passed):
             first = np.ones(len(place), bool)
             first[1:] = place[1:] != place[:-1]
             head = np.flatnonzero(first)
             key = _low(gram[head]) | _bucket(gram[head], buckets).astype(U64) << U64(40)
-            at = np.minimum(np.searchsorted(known, key), len(known) - 1)
             size = np.diff(np.append(head, len(place)))
-            hit = known[at] == key
+            alone = _among(gram[head], passed) if passed is not None and len(passed) else np.zeros(len(head), bool)
+            hit = alone.copy()
+            if len(known):
+                at = np.minimum(np.searchsorted(known, key), len(known) - 1)
+                here = (known[at] == key) & ~alone
+                alone[here] = hot[at[here]]
+                hit |= here
             take = np.repeat(hit, size)
             starts.append(start[take])
             places.append(place[take])
             grams.append(gram[take])
-            often.append(np.repeat(hot[at][hit], size[hit]))
+            often.append(np.repeat(alone[hit], size[hit]))
         none = np.zeros(0, np.int64)
         start, place, gram, alone = (np.concatenate(x) if x else none.astype(k) for x, k in ((starts, np.int64), (places, np.int64), (grams, U64), (often, bool)))
         new = np.ones(len(start), bool)
@@ -333,12 +402,12 @@ class _Repeats:
         return self
 
 
-def _runs(at_text: int, at_id: int, buckets: int):
+def _runs(at_text: int, at_id: int, buckets: int, passed: np.ndarray | None = None):
     def make(left: pa.Table, right: pa.Table) -> pa.Table:
         out: list[list] = [[], [], []]
-        if left.num_rows and right.num_rows:
+        if left.num_rows and (right.num_rows or passed is not None and len(passed)):
             block = left.column("block")[0].as_py()
-            r = _Repeats(_unpack(left.column("payload")[0].as_py()), at_text, at_id).find(right.column("payload").to_pylist(), buckets)
+            r = _Repeats(_unpack(left.column("payload")[0].as_py()), at_text, at_id).find(right.column("payload").to_pylist(), buckets, passed)
             bucket = r.bucket[r.first]
             order = np.argsort(bucket, kind="stable")
             cuts = np.flatnonzero(np.diff(bucket[order], prepend=-1, append=-1)) if len(order) else []
