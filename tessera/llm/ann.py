@@ -11,7 +11,11 @@ The work is that of one beam for each query and shard. The beam looks at a part
 
 Equal vectors are one node: each distinct vector keeps the NEAREST + 1 least ids that have it, which is all that
 any answer can hold, so a vector that a third of all rows share costs no more than another (a partial group limit runs
-before the shuffle). Answers are scored again in double precision on the vectors as given.
+before the shuffle).
+
+Distances are one less the cosine, in single precision, which cannot order near copies: below CLOSE they are half the
+squared length of the difference of unit vectors in double precision, in searches and in pruning. The whole beam is
+scored again in double precision on the vectors as given.
 
 Recall against brute force is measured in tests/llm/test_ann.py, which asks for 0.95, and in the README.
 
@@ -30,28 +34,46 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import keep, prepare
+from tessera.llm.common import keep, prepare, release
 
 #: Beams of the searches that build a graph, and of queries.
 NEAREST, DEGREE, BEAM, SEARCH, ALPHA = 5, 32, 64, 96, 1.2
 SHARD, BLOCK, BUILD_BATCH = 1 << 14, 1 << 17, 256
+#: Below this distance the rounding of single precision is felt.
+CLOSE = 2.0**-10
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
+def _apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Distances of unit vectors, precise however near they are."""
+    between = a.astype(np.float64) - b
+    return 0.5 * np.einsum("...k,...k->...", between, between)
+
+
+def _distances(a: np.ndarray, b: np.ndarray, rough_a: np.ndarray, rough_b: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Of rows i of a and j of b, which are rough_a and rough_b in single precision."""
+    out = 1 - np.einsum("ij,ij->i", rough_a[i], rough_b[j])
+    close = np.flatnonzero(out < CLOSE)
+    if len(close):
+        out[close] = _apart(a[i[close]], b[j[close]])
+    return out
+
+
 def beam_search(points: np.ndarray, edges: np.ndarray, entry: int, queries: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """For all queries in step: the beam's points and distances, nearest first, and which points were expanded (a table).
 
     edges has -1 where a point has fewer. A beam place without a point holds -1 at distance infinity.
     """
     q, n = len(queries), len(points)
+    rough, asked = points.astype(np.float32, copy=False), queries.astype(np.float32, copy=False)
     seen, expanded = np.zeros((q, n + 1), bool), np.zeros((q, n), bool)
     seen[:, n] = True
     ids = np.full((q, beam), -1)
     far = np.full((q, beam), np.inf, np.float32)
-    ids[:, 0], far[:, 0] = entry, 1 - queries @ points[entry]
+    ids[:, 0], far[:, 0] = entry, _distances(queries, points, asked, rough, np.arange(q), np.full(q, entry))
     seen[:, entry] = True
     done = np.ones((q, beam), bool)
     done[:, 0] = False
@@ -72,7 +94,7 @@ def beam_search(points: np.ndarray, edges: np.ndarray, entry: int, queries: np.n
         seen[active[:, None], near] = True
         distance = np.full(near.shape, np.inf, np.float32)
         who, which = np.nonzero(new)
-        distance[who, which] = 1 - np.einsum("ij,ij->i", queries[active[who]], points[near[who, which]])
+        distance[who, which] = _distances(queries, points, asked, rough, active[who], near[who, which])
         all_far = np.concatenate([far[active], distance], 1)
         all_ids = np.concatenate([ids[active], np.where(new, near, -1)], 1)
         all_done = np.concatenate([done[active], ~new], 1)
@@ -85,12 +107,13 @@ def robust_prune(points: np.ndarray, who: np.ndarray, candidates: np.ndarray, de
     """For each point of who, up to degree of its candidates (-1: none), nearest first, none that a kept one covers."""
     valid = (candidates >= 0) & (candidates != who[:, None])
     near = points[np.maximum(candidates, 0)]
-    distance = np.where(valid, 1 - np.einsum("ijk,ik->ij", near, points[who]), np.inf)
+    distance = np.where(valid, _apart(near, points[who][:, None]), np.inf)
     # no wider than the most that any point has
     order = np.argsort(distance, 1, kind="stable")[:, : max(1, int(valid.sum(1).max()))]
     distance, candidates = np.take_along_axis(distance, order, 1), np.take_along_axis(candidates, order, 1)
     near = points[np.maximum(candidates, 0)]
-    between = 1 - near @ near.transpose(0, 2, 1)
+    rough = near.astype(np.float32, copy=False)
+    between = 1 - rough @ rough.transpose(0, 2, 1)
     alive = np.isfinite(distance)
     out = np.full((len(who), degree), -1)
     rows = np.arange(len(who))
@@ -100,8 +123,11 @@ def robust_prune(points: np.ndarray, who: np.ndarray, candidates: np.ndarray, de
         if not some.any():
             break
         out[some, k] = candidates[rows, pick][some]
+        here = between[rows, pick]
+        row, close = np.nonzero((here < CLOSE) & alive & some[:, None])
+        here[row, close] = _apart(near[row, close], near[row, pick[row]])
         # squared distances are twice these, so alpha holds for their roots by its square
-        alive &= ~(some[:, None] & (alpha * alpha * between[rows, pick] <= distance))
+        alive &= ~(some[:, None] & (alpha * alpha * here <= distance))
         alive[rows, pick] = False
     return out
 
@@ -176,7 +202,7 @@ def _dots(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 def _graph(table: pa.Table) -> pa.Table:
     """A shard's vectors with their edges, by place in the shard; the first row is where searches start."""
     table = table.sort_by("node")
-    edges, entry = build(_unit(_scaled(_matrix(table.column("vector")))).astype(np.float32))
+    edges, entry = build(_unit(_scaled(_matrix(table.column("vector")))))
     size = (edges >= 0).sum(1)
     lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]).astype(np.int32)), pa.array(edges[edges >= 0].astype(np.int32)))
     place = np.arange(table.num_rows, dtype=np.int32)
@@ -196,7 +222,7 @@ class _Shard:
         self.vectors = _scaled(_matrix(table.column("vector")))
         self.members = table.column("ids").to_pylist()
         self.length = np.sqrt(_dots(self.vectors, self.vectors))
-        self.points = _unit(self.vectors).astype(np.float32)
+        self.points = _unit(self.vectors)
         self.entry = table.column("entry")[0].as_py()
         lists = table.column("edges").combine_chunks()
         lists = lists if isinstance(lists, pa.Array) else pa.concat_arrays(lists.chunks)
@@ -208,11 +234,10 @@ class _Shard:
     def nearest(self, ids: list[int], asked: np.ndarray, nearest: int, beam: int) -> list[tuple[int, int, float]]:
         """query_id, vec_id and score of the nearest found to some queries."""
         asked = _scaled(asked)
-        found, _, _ = beam_search(self.points, self.edges, self.entry, _unit(asked).astype(np.float32), max(beam, nearest + 1))
+        found, _, _ = beam_search(self.points, self.edges, self.entry, _unit(asked), max(beam, nearest + 1))
         own_length, out = np.sqrt(_dots(asked, asked)), []
-        # what can be among the nearest by single precision, with some to spare, is scored in double
         for q, own in enumerate(ids):
-            near = found[q][found[q] >= 0][: 4 * nearest + 4]
+            near = found[q][found[q] >= 0]
             score = _dots(self.vectors[near], asked[q : q + 1]) / (own_length[q] * self.length[near])
             best = sorted((-s, i) for s, p in zip(score.tolist(), near.tolist(), strict=True) for i in self.members[p] if i != own)[:nearest]
             out += [(own, i, -s) for s, i in best]
@@ -262,7 +287,9 @@ def index(rows: DataFrame, nearest: int = NEAREST, shard: int = SHARD) -> DataFr
     n = nodes.groupBy(F.size("vector").alias("d")).count().collect()
     shards = F.coalesce(*[F.when(F.size("vector") == r["d"], F.lit(max(1, -(-r["count"] // shard)))) for r in n], F.lit(1))
     placed = nodes.withColumn("shard", F.pmod(F.xxhash64("vector"), shards) * 100_000 + F.size("vector")).withColumn("node", F.col("ids")[0])
-    return keep(placed.groupBy("shard").applyInArrow(_graph, "shard long, place int, entry int, ids array<long>, vector array<double>, edges array<int>"), "graph")
+    graph = keep(placed.groupBy("shard").applyInArrow(_graph, "shard long, place int, entry int, ids array<long>, vector array<double>, edges array<int>"), "graph")
+    release(nodes)
+    return graph
 
 
 def search(graph: DataFrame, queries: DataFrame, nearest: int = NEAREST, beam: int = SEARCH, block: int = BLOCK) -> DataFrame:

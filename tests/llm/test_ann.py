@@ -1,6 +1,7 @@
 """Recall against brute force, exact scores, ties and vectors that take no part."""
 
 import numpy as np
+import pyarrow as pa
 
 from tessera.llm import ann as A
 
@@ -97,3 +98,41 @@ def test_few_vectors_of_a_shard_are_looked_at():
     recall = np.mean([len(set(i[:6].tolist()) & set(b.tolist())) / 5 for i, b in zip(ids, best, strict=True)])
     print(np.mean(looked) / len(points), recall)
     assert np.mean(looked) < 0.2 * len(points) and recall > 0.9
+
+
+def _recall(x):
+    """Of the five nearest by exact cosines, in double precision, one graph for all."""
+    ids = np.arange(len(x))
+    edges, entry = A.build(A._unit(x))
+    lists = [row[row >= 0].tolist() for row in edges]
+    shard = A._Shard(pa.table({"place": ids, "entry": np.full(len(x), entry, np.int32), "ids": [[i] for i in ids.tolist()], "vector": x.tolist(), "edges": pa.array(lists, pa.list_(pa.int32()))}))
+    asked = ids[ids % 50 == 0]
+    got = {}
+    for q, i, _ in shard.nearest(asked.tolist(), x[asked], 5, A.SEARCH):
+        got.setdefault(q, set()).add(i)
+    want = brute(ids, x)
+    return np.mean([len(got[q] & {i for i, _ in want[q]}) / 5 for q in want])
+
+
+def test_recall_among_near_copies():
+    """Groups of 200 and 1,000 copies that differ by noise of any size, alone and among strangers."""
+    rng = np.random.default_rng(9)
+    for noise in (1e-2, 1e-3, 1e-4, 1e-5, 1e-6):
+        group = lambda n, noise=noise: rng.standard_normal(64) + noise * rng.standard_normal((n, 64))
+        alone = _recall(group(1000))
+        among = _recall(np.concatenate([rng.standard_normal((1000, 64)), *(group(200) for _ in range(10))]))
+        print(noise, alone, among)
+        assert min(alone, among) >= 0.9
+
+
+def test_near_copies_as_single_floats(spark, tmp_path):
+    """The query itself, over vectors stored in single precision."""
+    rng = np.random.default_rng(10)
+    parts = [rng.standard_normal((1000, 64))]
+    for _ in range(10):
+        centre = rng.standard_normal(64)
+        parts.append(centre / np.linalg.norm(centre) + 1e-4 * rng.standard_normal((200, 64)))
+    x = np.concatenate(parts).astype(np.float32)
+    spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got, want = found(A.op6_nearest_neighbours(spark, str(tmp_path)).collect()), brute(np.arange(len(x)), x.astype(float))
+    assert np.mean([len({i for i, _ in got[q]} & {i for i, _ in want[q]}) / 5 for q in want]) >= 0.9
