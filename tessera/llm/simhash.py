@@ -11,8 +11,9 @@ one in each of two: about a hundred, of 36 bits. Fingerprints that are near meet
 hardly ever do, however many there are; those that meet are compared in full. The code is linear, so which indices a
 word reaches depends on its error alone, and comes from a table of the 2048 errors.
 
-Fingerprints are made distinct before keys are made, so copies cost nothing. A key's fingerprints are one task's work
-up to CHUNK; those of a larger one are cut into chunks, and every two chunks are a task. A task returns a link to its
+Fingerprints are made distinct before keys are made, so copies cost nothing. They are shuffled by key once, in order,
+and compared as they stream past; of a key with more than CHUNK none are held: they are put off, cut into chunks, and
+every two chunks are a task. A task returns a link to its
 group's least fingerprint for each that has one, so dense groups yield no pairs; the components of these links are
 those of all. Within REACH bits of one fingerprint there are 679,121 at most, which bounds what a group of near copies can be.
 
@@ -197,13 +198,14 @@ def stars(fp: np.ndarray, side: np.ndarray | None, reach: int) -> np.ndarray:
 _FEW = 8
 
 
-def _link(reach: int):
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+def _link(reach: int, most: int | None):
+    """Links of the groups key, a, b of ordered rows; with most, the rows of larger groups come back as they are (key and fingerprint), put off."""
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("off", pa.bool_())])
 
-    def told(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], schema=schema)
+    def told(a: np.ndarray, b: np.ndarray, off: bool) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), pa.array(np.full(len(a), off))], schema=schema)
 
-    def judge(rows: np.ndarray) -> pa.RecordBatch:
+    def judge(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
         """Whole groups, in order; columns key, a, b, chunk, fp."""
         fp = rows[4].view(U64)
         cut = np.flatnonzero(np.concatenate([[True], (rows[:3, 1:] != rows[:3, :-1]).any(0)]))
@@ -219,42 +221,65 @@ def _link(reach: int):
             right.append(fp[:-lag][near])
         for g in np.flatnonzero(size > _FEW):
             own = slice(cut[g], cut[g] + size[g])
+            if most and size[g] > most:
+                yield told(rows[0, own], rows[4, own], True)
+                continue
             root = stars(fp[own], rows[3, own] if rows[1, cut[g]] != rows[2, cut[g]] else None, reach)
             far = np.flatnonzero(root != np.arange(len(root)))
             left.append(fp[own][far])
             right.append(fp[own][root[far]])
-        return told(np.concatenate(left), np.concatenate(right))
+        yield told(np.concatenate(left), np.concatenate(right), False)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = np.zeros((5, 0), np.int64)
+        held, large = np.zeros((5, 0), np.int64), None
         for batch in batches:
-            held = np.concatenate([held, np.stack([batch.column(c).to_numpy().astype(np.int64) for c in ("key", "a", "b", "chunk", "fp")])], 1)
+            rows = np.stack([batch.column(c).to_numpy().astype(np.int64) for c in ("key", "a", "b", "chunk", "fp")])
+            if large is not None:
+                more = int(np.searchsorted(rows[0], large, "right"))
+                yield told(rows[0, :more], rows[4, :more], True)
+                rows = rows[:, more:]
+                large = large if not rows.shape[1] else None
+            held = np.concatenate([held, rows], 1)
             # the last group may go on in the next batch
             done = int(np.flatnonzero((held[:3] != held[:3, -1:]).any(0)).max(initial=-1)) + 1 if held.shape[1] else 0
-            if done >= 1 << 14:
-                yield judge(held[:, :done])
+            if most and held.shape[1] - done > most:
+                large = held[0, -1]
+                yield told(held[0, done:], held[4, done:], True)
+                yield from judge(held[:, :done])
+                held = held[:, :0]
+            elif done >= 1 << 14:
+                yield from judge(held[:, :done])
                 held = held[:, done:]
         if held.shape[1]:
-            yield judge(held)
+            yield from judge(held)
 
     return run
 
 
+def _by_chunks(off: DataFrame, chunk: int) -> DataFrame:
+    """Rows key, fp of large groups, for every two chunks of a group: key, a, b, chunk, fp."""
+    # the aggregate is written first, so both sides of the join are plain shuffles, whose large keys Spark can split
+    sizes = keep(off.groupBy("key").agg(F.count("*").alias("size")), "key-sizes")
+    met = off.join(sizes, "key").withColumn("n", F.ceil(F.col("size") / chunk).cast("int"))
+    dealt = met.withColumn("chunk", F.pmod(F.xxhash64("fp"), F.col("n")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
+    dealt = dealt.select("key", F.least("chunk", "other").alias("a"), F.greatest("chunk", "other").alias("b"), "chunk", "fp")
+    return dealt.repartition("key", "a", "b").sortWithinPartitions("key", "a", "b", "fp")
+
+
 def links(fingerprints: DataFrame, reach: int = REACH, chunk: int = CHUNK) -> DataFrame:
     """Links a, b between the distinct values of column fp, enough of them to connect all that differ in reach bits or less."""
     if reach > REACH:
         raise ValueError(f"two flips on either side stand for {REACH} bits at most")
     tasks = -(-fingerprints.count() // SHARE) or 1
     keys = fingerprints.select("fp").repartition(tasks, "fp").mapInArrow(_key, "key long, fp long")
-    # the aggregate is written first, so both sides of the join are plain shuffles, whose large keys Spark can split
-    sizes = keep(keys.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1"), "key-sizes")
-    met = keys.join(sizes, "key").withColumn("n", F.ceil(F.col("size") / chunk).cast("int"))
-    dealt = met.withColumn("chunk", F.pmod(F.xxhash64("fp"), F.col("n")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
-    dealt = dealt.select("key", F.least("chunk", "other").alias("a"), F.greatest("chunk", "other").alias("b"), "chunk", "fp")
-    sent = dealt.repartition("key", "a", "b").sortWithinPartitions("key", "a", "b", "fp")
-    found = keep(sent.mapInArrow(_link(reach), "a long, b long").distinct(), "links")
-    release(sizes)
-    return found
+    schema, zero = "a long, b long, off boolean", F.lit(0)
+    sent = keys.repartition("key").sortWithinPartitions("key", "fp").select("key", zero.alias("a"), zero.alias("b"), zero.alias("chunk"), "fp")
+    found = keep(sent.mapInArrow(_link(reach, chunk), schema), "links")
+    off = found.filter("off").select(F.col("a").alias("key"), F.col("b").alias("fp"))
+    told = found.filter("not off")
+    if not off.isEmpty():
+        told = told.unionByName(_by_chunks(off, chunk).mapInArrow(_link(reach, None), schema))
+    return told.select("a", "b").distinct()
 
 
 def near(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", size: int = WORDS, reach: int = REACH, chunk: int = CHUNK) -> DataFrame:
@@ -265,7 +290,6 @@ def near(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", size: int
     each = keep(signed.groupBy("fp").agg(F.min("id").alias("least")), "distinct")
     edges = links(each, reach, chunk)
     found = components(edges)
-    release(edges)
     member = found.unionByName(found.select(F.col("root").alias("node"), "root").distinct()).toDF("fp", "root")
     named = keep(member.join(each, "fp").select("fp", "root", "least"), "members")
     release(found)
