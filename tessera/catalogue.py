@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("plans.pricing", "operators.projection", "operators.joins", "operators.aggregates", "operators.windows", "operators.ordering", "functions.scalar", "functions.user", "sources.connectors", "streaming.queries")
+MODULES = ("plans.pricing", "operators.projection", "operators.joins", "operators.aggregates", "operators.quantiles", "operators.sketches", "operators.sampling", "operators.windows", "operators.ordering", "functions.scalar", "functions.user", "sources.connectors", "streaming.queries", "streaming.state")
 
 
 def _registries():

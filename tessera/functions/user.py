@@ -5,7 +5,10 @@ from collections.abc import Iterator
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.udtf import AnalyzeArgument, AnalyzeResult
 
 from tessera.registry import Registry
 from tessera.sources.tables import table
@@ -55,6 +58,55 @@ def table_udf(spark, sf_dir):
     return spark.sql("SELECT n_nationkey, k, product FROM {n}, LATERAL tessera_multiples(n_nationkey)", n=table(spark, sf_dir, "nation"))
 
 
+class Runs:
+    """Unbroken runs of one value in a table's rows as they are ordered: the partition column, the value, the rows, and the first and last of another column.
+
+    Takes a TABLE argument with PARTITION BY and ORDER BY, and the names of the three columns; the result's types are those of
+    the columns. A run is all that is kept in memory.
+    """
+
+    @staticmethod
+    def analyze(rows: AnalyzeArgument, key: AnalyzeArgument, column: AnalyzeArgument, at: AnalyzeArgument) -> AnalyzeResult:
+        if not rows.isTable:
+            raise ValueError("the first argument is a table")
+        fields = {f.name: f for f in rows.dataType.fields}
+        for name in (key, column, at):
+            if name.dataType != T.StringType() or not name.isConstantExpression or name.value not in fields:
+                raise ValueError("the others are names of its columns")
+        of = lambda a: fields[a.value].dataType
+        return AnalyzeResult(T.StructType().add(key.value, of(key)).add(column.value, of(column)).add("n", T.LongType()).add("opening", of(at)).add("closing", of(at)))
+
+    def __init__(self):
+        self.run = None
+
+    def eval(self, row, key: str, column: str, at: str):
+        value, now = row[column], row[at]
+        if self.run is not None and self.run[1] == value:
+            self.run = (*self.run[:2], self.run[2] + 1, self.run[3], now)
+            return
+        if self.run is not None:
+            yield self.run
+        self.run = (row[key], value, 1, now, now)
+
+    def terminate(self):
+        if self.run is not None:
+            yield self.run
+
+
+def runs(df: DataFrame, key: str, order: list[str], column: str, at: str) -> DataFrame:
+    """key, column, n, opening and closing (first and last at) of every run of one value of column among the rows of each key."""
+    return F.udtf(Runs)(df.select(*dict.fromkeys([key, *order, column, at])).asTable().partitionBy(key).orderBy(*order), F.lit(key), F.lit(column), F.lit(at))
+
+
+@R.query("""
+    WITH g AS (SELECT *, CASE WHEN event_type = lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) THEN 0 ELSE 1 END AS fresh FROM events),
+         s AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS run FROM g)
+    SELECT user_id, event_type, count(*) AS n, min(event_id) AS opening, max(event_id) AS closing FROM s GROUP BY user_id, run, event_type""")
+def table_udf_of_table(spark, sf_dir):
+    """Runs of one event type in each user's events, by a table function that reads a whole ordered partition row by row."""
+    return runs(table(spark, sf_dir, "events"), "user_id", ["ts", "event_id"], "event_type", "event_id")
+
+
 @R.query("SELECT user_id, round(list_reduce(list(value ORDER BY ts, event_id), lambda s, x: 0.9 * s + 0.1 * x), 6) AS smooth FROM events GROUP BY user_id")
 def grouped_map(spark, sf_dir):
     """A user's exponentially smoothed value at the end: each step needs the one before."""

@@ -4,7 +4,7 @@ Small sides are left to Spark's own size check (autoBroadcastJoinThreshold, and
 region and nation, whose row counts are fixed.
 """
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.registry import Registry
@@ -83,6 +83,25 @@ def range_join(left: DataFrame, right: DataFrame, key: str, at: str, low: str, h
     return a.join(b, [key, "_bucket"]).filter((F.col(at) >= F.col(low)) & (F.col(at) < F.col(high))).drop("_bucket")
 
 
+def interval_join(left: DataFrame, right: DataFrame, key: str, at: str, low: str, high: str) -> DataFrame:
+    """Rows of left whose at lies in [low, high) of a right row with the same key, for intervals of any lengths together.
+
+    Time is cut into blocks of 2^level microseconds. An interval is filed under the least level whose blocks are as long
+    as itself, so under two blocks at most; a left row under its block of every level in use, of which there are 64 at
+    most. So an interval of years costs as many copies as one of seconds, and what meets in a block is no more than a
+    few times as far apart as the interval is long. Null keys, times and bounds match nothing, neither do intervals
+    without length.
+    """
+    micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
+    b = right.filter(F.col(low) < F.col(high)).withColumn("_level", F.ceil(F.log2(micros(high) - micros(low))).cast("int"))
+    levels = sorted(r[0] for r in b.select("_level").distinct().collect() if r[0] is not None)
+    block = lambda t, level: F.call_function("shiftright", t, level)
+    b = b.withColumn("_block", F.explode(F.sequence(block(micros(low), F.col("_level")), block(micros(high) - 1, F.col("_level")))))
+    a = left.withColumn("_level", F.explode(F.array(*map(F.lit, levels)).cast("array<int>")))
+    a = a.withColumn("_block", block(micros(at), F.col("_level")))
+    return a.join(b, [key, "_level", "_block"]).filter((F.col(at) >= F.col(low)) & (F.col(at) < F.col(high))).drop("_level", "_block")
+
+
 @R.query("""
     SELECT a.event_id, b.event_id AS purchase_id FROM events a JOIN events b
     ON a.user_id = b.user_id AND b.event_type = 'purchase' AND a.ts >= b.ts - INTERVAL 6 HOUR AND a.ts < b.ts""")
@@ -92,6 +111,18 @@ def join_range(spark, sf_dir):
     return range_join(events.select("user_id", "event_id", "ts"), right, "user_id", "ts", "low", "high", 6 * 3600).select("event_id", "purchase_id")
 
 
+@R.query("""
+    WITH s AS (SELECT event_id AS state_id, user_id, ts AS low, lead(ts) OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS high FROM events)
+    SELECT event_id, state_id FROM events e JOIN s ON e.user_id = s.user_id AND e.ts >= s.low AND e.ts < s.high WHERE e.event_type = 'error'""")
+def join_intervals(spark, sf_dir):
+    """Errors with what the user's events of each type then said last, each valid until the next of its type: from seconds to weeks."""
+    events = table(spark, sf_dir, "events")
+    following = F.lead("ts").over(Window.partitionBy("user_id", "event_type").orderBy("ts", "event_id"))
+    states = events.select(F.col("event_id").alias("state_id"), "user_id", F.col("ts").alias("low"), following.alias("high"))
+    errors = events.filter("event_type = 'error'").select("event_id", "user_id", "ts")
+    return interval_join(errors, states, "user_id", "ts", "low", "high").select("event_id", "state_id")
+
+
 def asof_join(left: DataFrame, right: DataFrame, key: str, at: str, values: list[str], tie: str, width: int = 7 * 86400) -> DataFrame:
     """Each left row with values of the last right row of its key at or before it (of several at one time, that with the greatest tie).
 
@@ -152,3 +183,33 @@ def join_star(spark, sf_dir):
 def join_lateral(spark, sf_dir):
     orders = table(spark, sf_dir, "orders")
     return spark.sql("SELECT o_orderkey, part FROM {orders}, LATERAL explode(split(o_orderpriority, '-')) AS t(part)", orders=orders)
+
+
+def top_of_each(outer: DataFrame, inner: DataFrame, outer_key: str, inner_key: str, order: list[Column], n: int) -> DataFrame:
+    """Each outer row with its first n inner rows in some order, or with nulls if it has none: a correlated lateral subquery.
+
+    Spark takes the correlation out: the subquery becomes a group limit on the inner key and an equality join, so no
+    outer row scans the inner side.
+    """
+    matching = inner.where(F.col(inner_key) == F.col(outer_key).outer()).orderBy(*order).limit(n)
+    return outer.lateralJoin(matching, how="left")
+
+
+@R.query("""
+    SELECT c_custkey, o_orderkey, o_totalprice FROM customer LEFT JOIN LATERAL (
+      SELECT o_orderkey, o_totalprice FROM orders WHERE o_custkey = c_custkey ORDER BY o_totalprice DESC, o_orderkey LIMIT 3) ON true""")
+def join_lateral_top(spark, sf_dir):
+    """Every customer's three dearest orders."""
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_totalprice")
+    found = top_of_each(table(spark, sf_dir, "customer").select("c_custkey"), orders, "c_custkey", "o_custkey", [F.desc("o_totalprice"), F.asc("o_orderkey")], 3)
+    return found.select("c_custkey", "o_orderkey", "o_totalprice")
+
+
+@R.query("""
+    SELECT p_partkey, n, dearest FROM part, LATERAL (
+      SELECT count(*) AS n, max(l_extendedprice) AS dearest FROM lineitem WHERE l_partkey = p_partkey AND l_quantity > 25)""")
+def join_lateral_aggregate(spark, sf_dir):
+    """For every part its lines of more than 25 pieces: a lateral aggregate, which has a row also where nothing matches. An inequality with an outer column would leave a nested loop; this has none."""
+    part, line = table(spark, sf_dir, "part").select("p_partkey"), table(spark, sf_dir, "lineitem").select("l_partkey", "l_quantity", "l_extendedprice")
+    matching = line.where((F.col("l_partkey") == F.col("p_partkey").outer()) & (F.col("l_quantity") > 25))
+    return part.lateralJoin(matching.select(F.count("*").alias("n"), F.max("l_extendedprice").alias("dearest"))).select("p_partkey", "n", "dearest")

@@ -82,6 +82,18 @@ def stream_interval_join(spark, sf_dir):
     return run(a.join(b, F.expr("user_id = buyer and bought >= clicked and bought <= clicked + interval 1 day")).select("event_id", "purchase_id"))
 
 
+@R.query("""
+    WITH a AS (SELECT event_id, user_id, ts FROM events WHERE event_type = 'click'), b AS (SELECT event_id AS purchase_id, user_id, ts FROM events WHERE event_type = 'purchase'),
+         w AS (SELECT date_trunc('milliseconds', least((SELECT max(ts) FROM a), (SELECT max(ts) FROM b))) - INTERVAL 1 HOUR AS passed),
+         j AS (SELECT a.event_id, purchase_id, a.ts FROM a LEFT JOIN b ON a.user_id = b.user_id AND b.ts >= a.ts AND b.ts <= a.ts + INTERVAL 1 DAY)
+    SELECT event_id, purchase_id FROM j, w WHERE purchase_id IS NOT NULL OR ts + INTERVAL 1 DAY < passed""")
+def stream_outer_join(spark, sf_dir):
+    """Clicks with the user's purchases within a day; a click without any comes once the watermark has evicted it, as none can follow then."""
+    a = event_stream(spark, sf_dir).filter("event_type = 'click'").select("event_id", "user_id", F.col("ts").alias("clicked")).withWatermark("clicked", "1 hour")
+    b = event_stream(spark, sf_dir).filter("event_type = 'purchase'").select(F.col("event_id").alias("purchase_id"), F.col("user_id").alias("buyer"), F.col("ts").alias("bought")).withWatermark("bought", "1 hour")
+    return run(a.join(b, F.expr("user_id = buyer and bought >= clicked and bought <= clicked + interval 1 day"), "leftOuter").select("event_id", "purchase_id"))
+
+
 @R.query("SELECT event_type, count(*) AS n, CAST(max(event_id) AS BIGINT) AS last FROM events GROUP BY event_type")
 def stream_update_upsert(spark, sf_dir):
     """Update mode through foreachBatch: a batch's changed rows replace the kept ones, one table version a batch."""
