@@ -133,6 +133,40 @@ def maps(spark, sf_dir):
     )
 
 
+@R.query("""
+    WITH c AS (SELECT user_id, event_type, count(*) AS n, max(value) AS most FROM events GROUP BY 1, 2)
+    SELECT user_id, string_agg(event_type || '=' || n, ',' ORDER BY event_type) AS counts, coalesce(max(n) FILTER (event_type = 'click'), 0) AS clicks, count(*) FILTER (event_type = 'error') > 0 AS has_errors,
+           string_agg(event_type, ',' ORDER BY event_type) FILTER (n * most > 100) AS heavy
+    FROM c GROUP BY user_id""")
+def maps_of_arrays(spark, sf_dir):
+    """Maps built from two parallel arrays, looked up by key and zipped with one another."""
+    counts = table(spark, sf_dir, "events").groupBy("user_id", "event_type").agg(F.count("*").alias("n"), F.max("value").alias("most"))
+    rows = counts.groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("event_type", "n", "most"))).alias("a"))
+    both = rows.select("user_id", F.map_from_arrays("a.event_type", "a.n").alias("n"), F.map_from_arrays("a.event_type", "a.most").alias("most"))
+    heavy = F.map_keys(F.map_filter(F.map_zip_with("n", "most", lambda k, n, most: n * most), lambda k, v: v > 100))
+    written = F.array_join(F.transform(F.map_entries("n"), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string"))), ",")
+    return both.select("user_id", written.alias("counts"), F.coalesce(F.try_element_at("n", F.lit("click")), F.lit(0).cast("long")).alias("clicks"), F.map_contains_key("n", "error").alias("has_errors"), F.when(F.size(heavy) > 0, F.array_join(heavy, ",")).alias("heavy"))
+
+
+@R.query("""
+    SELECT p_partkey, CAST(strpos(p_name, 'a') AS INTEGER) AS first, CAST(CASE WHEN strpos(substr(p_name, 4), 'a') = 0 THEN 0 ELSE strpos(substr(p_name, 4), 'a') + 3 END AS INTEGER) AS later,
+           CAST(strpos(p_type, ' ') AS INTEGER) AS blank, p_name LIKE 'b%' AS starts, p_type LIKE '%L' AS ends, contains(p_name, 'e') AS within
+    FROM part""")
+def string_places(spark, sf_dir):
+    """Where a string is found in another, from any place on."""
+    return table(spark, sf_dir, "part").select("p_partkey", F.locate("a", "p_name").alias("first"), F.locate("a", "p_name", 4).alias("later"), F.position(F.lit(" "), "p_type").alias("blank"), F.startswith("p_name", F.lit("b")).alias("starts"), F.endswith("p_type", F.lit("L")).alias("ends"), F.contains("p_name", F.lit("e")).alias("within"))
+
+
+@R.query(r"""
+    SELECT page_id, regexp_extract(url, '^([a-z]+)://', 1) AS scheme, regexp_extract(url, '^[a-z]+://([^/?#]*)', 1) AS host, regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1) AS path,
+           nullif(regexp_extract(url, '[?]([^#]*)', 1), '') AS query, nullif(regexp_extract(url, '#(.*)$', 1), '') AS ref, nullif(regexp_extract(url, '[?&]page=([^&#]*)', 1), '') AS page
+    FROM pages""")
+def url_parts(spark, sf_dir):
+    """The parts of every page's address; null where it has none."""
+    part = lambda name, *key: F.try_parse_url("url", F.lit(name), *map(F.lit, key))
+    return table(spark, sf_dir, "pages").select("page_id", part("PROTOCOL").alias("scheme"), part("HOST").alias("host"), part("PATH").alias("path"), part("QUERY").alias("query"), part("REF").alias("ref"), part("QUERY", "page").alias("page"))
+
+
 @R.query("SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, CAST(json_extract_string(props, '$.k') AS BIGINT) + 1 AS next FROM events")
 def json_paths(spark, sf_dir):
     k = F.from_json("props", "k long")["k"]
@@ -144,10 +178,13 @@ def json_write(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", F.to_json(F.struct(F.col("user_id").alias("user"), F.col("event_type").alias("type"))).alias("doc"))
 
 
-@R.query("SELECT r_regionkey, 'STRUCT<k: BIGINT, tags: ARRAY<STRING>>' AS shape FROM region")
+@R.query("SELECT 'STRUCT<k: BIGINT>' AS shape, event_type, min(CAST(json_extract_string(props, '$.k') AS BIGINT)) AS least, count(*) AS n FROM events GROUP BY event_type")
 def json_schema(spark, sf_dir):
-    """The type of a JSON literal, as the planner infers it."""
-    return table(spark, sf_dir, "region").select("r_regionkey", F.schema_of_json(F.lit('{"k": 1, "tags": ["a"]}')).alias("shape"))
+    """The type that all the events' properties have together, found by a pass over them, and the values read by it."""
+    events = table(spark, sf_dir, "events").select("event_type", "props")
+    shape = events.agg(F.schema_of_variant_agg(F.try_parse_json("props")).alias("s")).first()["s"].replace("OBJECT", "STRUCT")
+    read = events.withColumn("p", F.from_json("props", shape))
+    return read.groupBy("event_type").agg(F.lit(shape).alias("shape"), F.min("p.k").alias("least"), F.count("*").alias("n")).select("shape", "event_type", "least", "n")
 
 
 @R.query("SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, 'OBJECT<k: BIGINT>' AS shape FROM events")

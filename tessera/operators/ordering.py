@@ -100,6 +100,16 @@ def uncorrelated_subqueries(spark, sf_dir):
     return spark.sql("SELECT c_custkey FROM {c} WHERE c_acctbal > (SELECT avg(c_acctbal) FROM {c}) AND c_nationkey IN (SELECT n_nationkey FROM {n} WHERE n_regionkey = 2)", c=table(spark, sf_dir, "customer"), n=table(spark, sf_dir, "nation"))
 
 
-@R.query("WITH RECURSIVE t(n, f) AS (SELECT 1, 1::BIGINT UNION ALL SELECT n + 1, f * (n + 1) FROM t WHERE n < 15) SELECT n, f FROM t")
+@R.query("""
+    WITH RECURSIVE d AS (SELECT CAST(ts AS DATE) AS day, count(*) AS n FROM events GROUP BY 1),
+         c(day, last) AS (SELECT min(day), max(day) FROM d UNION ALL SELECT CAST(day + INTERVAL 1 DAY AS DATE), last FROM c WHERE day < last)
+    SELECT c.day, coalesce(n, 0) AS n FROM c LEFT JOIN d USING (day)""")
 def recursive_cte(spark, sf_dir):
-    return spark.sql("WITH RECURSIVE t(n, f) AS (SELECT 1, CAST(1 AS BIGINT) UNION ALL SELECT n + 1, f * (n + 1) FROM t WHERE n < 15) SELECT n, f FROM t")
+    """A calendar that grows day by day from the first event's to the last one's, with each day's events; days without any are there too."""
+    return spark.sql(
+        """
+        WITH RECURSIVE d AS (SELECT to_date(ts) AS day, count(*) AS n FROM {e} GROUP BY 1),
+             c(day, last) AS (SELECT min(day), max(day) FROM d UNION ALL SELECT date_add(day, 1), last FROM c WHERE day < last)
+        SELECT c.day, coalesce(n, 0) AS n FROM c LEFT JOIN d ON c.day = d.day""",
+        e=table(spark, sf_dir, "events"),
+    )

@@ -96,21 +96,20 @@ def stream_outer_join(spark, sf_dir):
 
 @R.query("SELECT event_type, count(*) AS n, CAST(max(event_id) AS BIGINT) AS last FROM events GROUP BY event_type")
 def stream_update_upsert(spark, sf_dir):
-    """Update mode through foreachBatch: a batch's changed rows replace the kept ones, one table version a batch."""
-    versions: list[str] = []
+    """Update mode through foreachBatch: a batch's changed rows replace the kept ones, one table version a batch, named by its number, so that a batch that is run again writes the same one."""
+    out = shared_folder(spark)
 
-    def upsert(batch: DataFrame, _: int) -> None:
+    def upsert(batch: DataFrame, number: int) -> None:
         # the batch's own session, as it may differ from the caller's
-        own = batch.sparkSession
-        path = shared_folder(own)
-        kept = own.read.schema(batch.schema).parquet(versions[-1]).join(batch, "event_type", "left_anti") if versions else None
-        (kept.unionByName(batch) if kept is not None else batch).write.parquet(path)
-        versions.append(path)
+        kept = batch.sparkSession.read.schema(batch.schema).parquet(f"{out}/version={number - 1}").join(batch, "event_type", "left_anti")
+        kept.unionByName(batch).write.mode("overwrite").parquet(f"{out}/version={number}")
 
     counted = event_stream(spark, sf_dir).groupBy("event_type").agg(F.count("*").alias("n"), F.max("event_id").alias("last"))
+    # what is kept before the first batch
+    spark.createDataFrame([], counted.schema).write.parquet(f"{out}/version=-1")
     counted.writeStream.outputMode("update").foreachBatch(upsert).option("checkpointLocation", shared_folder(spark)).trigger(availableNow=True).start().awaitTermination()
-    # without a batch there is nothing to read
-    return spark.read.schema(counted.schema).parquet(versions[-1]) if versions else spark.createDataFrame([], counted.schema)
+    rows = spark.read.schema("event_type string, n long, last long, version int").parquet(out)
+    return rows.join(F.broadcast(rows.agg(F.max("version").alias("version"))), "version").drop("version")
 
 
 @R.query("""
