@@ -38,28 +38,31 @@ PLACES, GRAMS, LEAST, ALIKE = 32768, 3, 0.5, 0.6
 UNKNOWN = "unknown"
 #: Usual notices of licence families. Fixed values.
 TEMPLATES = {
-    "agpl": ["GNU Affero General Public License", "licensed under the GNU Affero General Public License version 3", "you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation", "SPDX-License-Identifier: AGPL-3.0-only"],
+    "agpl": ["GNU Affero General Public License", "licensed under the GNU Affero General Public License version 3", "you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation", "SPDX-License-Identifier: AGPL-3.0-only", "SPDX-License-Identifier: AGPL"],
     "all-rights-reserved": ["Copyright. All rights reserved.", "All rights reserved. No part may be reproduced without written permission"],
     "apache": ["Licensed under the Apache License, Version 2.0", "Released under the Apache License 2.0", "You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0", "http://www.apache.org/licenses/LICENSE-2.0", "SPDX-License-Identifier: Apache-2.0"],
     "artistic": ["licensed under the Artistic License 2.0", "under the same terms as Perl itself, under the Artistic License", "SPDX-License-Identifier: Artistic-2.0"],
     "boost": ["Distributed under the Boost Software License, Version 1.0", "See accompanying file LICENSE_1_0.txt or copy at http://www.boost.org/LICENSE_1_0.txt", "SPDX-License-Identifier: BSL-1.0"],
-    "bsd": ["licensed under the BSD License", "Released under the 3-Clause BSD License", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met", "SPDX-License-Identifier: BSD-3-Clause"],
-    "cc-by": ["Licensed under CC BY 4.0", "licensed under a Creative Commons Attribution 4.0 International License"],
-    "cc-by-nc": ["Licensed under CC BY-NC 4.0", "licensed under a Creative Commons Attribution-NonCommercial 4.0 International License"],
-    "cc-by-sa": ["Licensed under CC BY-SA 4.0", "licensed under a Creative Commons Attribution-ShareAlike 4.0 International License", "Text is available under the Creative Commons Attribution-ShareAlike License"],
+    "bsd": ["licensed under the BSD License", "Released under the 3-Clause BSD License", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met", "SPDX-License-Identifier: BSD-3-Clause", "SPDX-License-Identifier: BSD", "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file"],
+    "cc-by": ["Licensed under CC BY 4.0", "licensed under a Creative Commons Attribution 4.0 International License", "Creative Commons Attribution 3.0 Unported License"],
+    "cc-by-nc": ["Licensed under CC BY-NC 4.0", "licensed under a Creative Commons Attribution-NonCommercial 4.0 International License", "Creative Commons Attribution-NonCommercial 3.0 Unported License"],
+    "cc-by-sa": ["Licensed under CC BY-SA 4.0", "licensed under a Creative Commons Attribution-ShareAlike 4.0 International License", "Text is available under the Creative Commons Attribution-ShareAlike License", "Creative Commons Attribution-ShareAlike 3.0 Unported License"],
+    "cddl": ["subject to the terms of the Common Development and Distribution License", "licensed under the CDDL, version 1.0", "SPDX-License-Identifier: CDDL-1.0"],
     "epl": ["This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0", "licensed under the Eclipse Public License", "SPDX-License-Identifier: EPL-2.0"],
-    "gpl": ["This work is licensed under the GNU General Public License, version 3", "Released under the GPL v3", "you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation", "SPDX-License-Identifier: GPL-3.0-only"],
+    "gpl": ["This work is licensed under the GNU General Public License, version 3", "Released under the GPL v3", "you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation", "SPDX-License-Identifier: GPL-3.0-only", "SPDX-License-Identifier: GPL"],
     "isc": ["licensed under the ISC License", "Released under the ISC License", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies", "SPDX-License-Identifier: ISC"],
-    "lgpl": ["licensed under the GNU Lesser General Public License, version 2.1", "Released under the LGPL", "you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation", "SPDX-License-Identifier: LGPL-2.1-only"],
-    "mit": ["Released under the MIT License", "Licensed under the MIT License", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software", "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software", "SPDX-License-Identifier: MIT"],
+    "lgpl": ["licensed under the GNU Lesser General Public License, version 2.1", "Released under the LGPL", "you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation", "SPDX-License-Identifier: LGPL-2.1-only", "SPDX-License-Identifier: LGPL"],
+    "mit": ["Released under the MIT License", "The MIT License (MIT)", "Licensed under the MIT License", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software", "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software", "SPDX-License-Identifier: MIT"],
     "mpl": ["subject to the terms of the Mozilla Public License, v. 2.0", "Released under the Mozilla Public License 2.0", "If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/", "SPDX-License-Identifier: MPL-2.0"],
+    "openssl": ["This product includes software developed by the OpenSSL Project for use in the OpenSSL Toolkit", "Licensed under the OpenSSL license", "SPDX-License-Identifier: OpenSSL"],
     "public-domain": ["This work is dedicated to the public domain under CC0 1.0", "This is free and unencumbered software released into the public domain", "SPDX-License-Identifier: CC0-1.0"],
+    "wtfpl": ["Do What The Fuck You Want To Public License", "Released under the WTFPL", "SPDX-License-Identifier: WTFPL"],
     "zlib": ["licensed under the zlib License", "This software is provided as-is, without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software", "SPDX-License-Identifier: Zlib"],
 }
 #: Paragraphs with licence words that grant nothing. Fixed values.
-NEAR_MISSES = ["a driver's license is needed to rent a car", "the license plate was stolen last night", "he was licensed to practise medicine in two states", "the apache helicopter landed near the base", "a gnu is a large antelope of africa", "she studied at mit before she moved", "the bar lost its liquor license", "copyright law differs from one country to the next", "permission to leave was granted by the teacher", "the public domain name was sold", "the mozilla headquarters moved", "public hearings are open to any person", "creative work is done in common", "the commons were open to all", "please read the license before you install this software", "fishing licenses are sold at the lake"]
+NEAR_MISSES = ["a driver's license is needed to rent a car", "the license plate was stolen last night", "he was licensed to practise medicine in two states", "the apache helicopter landed near the base", "a gnu is a large antelope of africa", "she studied at mit before she moved", "the bar lost its liquor license", "copyright law differs from one country to the next", "permission to leave was granted by the teacher", "the public domain name was sold", "the mozilla headquarters moved", "public hearings are open to any person", "creative work is done in common", "the commons were open to all", "please read the license before you install this software", "fishing licenses are sold at the lake", "SPDX-License-Identifier: LicenseRef-Internal", "SPDX-License-Identifier: Proprietary-1.0"]
 #: Words to look for first; cues() adds those of a template that these do not settle. Fixed values.
-CUES = ["licensed", "license", "copyright", "apache", "gnu", "affero", "lesser", "gpl", "lgpl", "agpl", "mit", "bsd", "mozilla", "mpl", "creative", "commons", "cc", "cc0", "reserved", "hereby", "redistribution", "redistribute", "spdx", "unencumbered", "isc", "eclipse", "boost", "artistic", "zlib"]
+CUES = ["licensed", "license", "copyright", "apache", "gnu", "affero", "lesser", "gpl", "lgpl", "agpl", "mit", "bsd", "mozilla", "mpl", "creative", "commons", "cc", "cc0", "reserved", "hereby", "redistribution", "redistribute", "spdx", "unencumbered", "isc", "eclipse", "boost", "artistic", "zlib", "wtfpl", "openssl", "cddl"]
 #: Between paragraphs: blank lines.
 BREAK = r"\n(?:[^\p{L}\p{N}\n]*\n)+"
 _FILLER = "the of and to in a is that for it as was with be by on not he his but at are this have from or had an they which one you were all her she there would their we him been has when who will no more if out so said what up its about into than them can only other time new some could these two may first then do any like my now over such our man me even most made after also did many off before must through years where much your way well down should because long each just state those people too mr how little good world make very year still see own work men day get here".split()

@@ -124,3 +124,27 @@ def test_wrapped_headers(spark):
     ]
     found = L.scan(spark.createDataFrame([(i, t) for i, (t, _) in enumerate(cases)], "i int, text string")).orderBy("i").collect()
     assert [[(x["paragraph"], x["family"]) for x in r["licenses"]] for r in found] == [want for _, want in cases]
+
+
+def test_other_forms(spark):
+    """Short names, other versions and suffixes, and families that have few notices."""
+    cases = [
+        ("The MIT License (MIT)", "mit"),
+        ("SPDX-License-Identifier: GPL-2.0-or-later", "gpl"),
+        ("SPDX-License-Identifier: GPL-2.0-only", "gpl"),
+        ("SPDX-License-Identifier: LGPL-2.1-or-later", "lgpl"),
+        ("SPDX-License-Identifier: BSD-2-Clause", "bsd"),
+        ("Creative Commons Attribution 3.0 Unported", "cc-by"),
+        ("This work is licensed under the Creative Commons Attribution-ShareAlike 3.0 Unported License.", "cc-by-sa"),
+        ("This work is licensed under a Creative Commons Attribution-NonCommercial 3.0 Unported License.", "cc-by-nc"),
+        ("// Use of this source code is governed by a BSD-style license that can be\n// found in the LICENSE file.", "bsd"),
+        ("The contents of this file are subject to the terms of the\nCommon Development and Distribution License", "cddl"),
+        ("This product includes software developed by the OpenSSL Project\nfor use in the OpenSSL Toolkit. (http://www.openssl.org/)", "openssl"),
+        ("DO WHAT THE FUCK YOU WANT TO PUBLIC LICENSE", "wtfpl"),
+        ("The MIT campus is open to the public", ""),
+        ("an open toolkit for the project was developed", ""),
+        ("SPDX-License-Identifier: LicenseRef-Another-2.0", ""),
+        ("the identifier of the driver's license is GP-2.0", ""),
+    ]
+    found = L.scan(spark.createDataFrame([(i, t) for i, (t, _) in enumerate(cases)], "i int, text string")).orderBy("i").collect()
+    assert [",".join(x["family"] for x in r["licenses"]) for r in found] == [want for _, want in cases]
