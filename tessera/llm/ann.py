@@ -106,14 +106,15 @@ def beam_search(points: np.ndarray, edges: np.ndarray, entry: int, queries: np.n
 def robust_prune(points: np.ndarray, who: np.ndarray, candidates: np.ndarray, degree: int, alpha: float) -> np.ndarray:
     """For each point of who, up to degree of its candidates (-1: none), nearest first, none that a kept one covers."""
     valid = (candidates >= 0) & (candidates != who[:, None])
-    near = points[np.maximum(candidates, 0)]
-    distance = np.where(valid, _apart(near, points[who][:, None]), np.inf)
+    coarse = points.astype(np.float32, copy=False)
+    distance = np.where(valid, 1 - np.einsum("ijk,ik->ij", coarse[np.maximum(candidates, 0)], coarse[who]), np.inf)
+    row, close = np.nonzero(distance < CLOSE)
+    distance[row, close] = _apart(points[candidates[row, close]], points[who[row]])
     # no wider than the most that any point has
     order = np.argsort(distance, 1, kind="stable")[:, : max(1, int(valid.sum(1).max()))]
     distance, candidates = np.take_along_axis(distance, order, 1), np.take_along_axis(candidates, order, 1)
-    near = points[np.maximum(candidates, 0)]
-    rough = near.astype(np.float32, copy=False)
-    between = 1 - rough @ rough.transpose(0, 2, 1)
+    near = coarse[np.maximum(candidates, 0)]
+    between = 1 - near @ near.transpose(0, 2, 1)
     alive = np.isfinite(distance)
     out = np.full((len(who), degree), -1)
     rows = np.arange(len(who))
@@ -125,7 +126,7 @@ def robust_prune(points: np.ndarray, who: np.ndarray, candidates: np.ndarray, de
         out[some, k] = candidates[rows, pick][some]
         here = between[rows, pick]
         row, close = np.nonzero((here < CLOSE) & alive & some[:, None])
-        here[row, close] = _apart(near[row, close], near[row, pick[row]])
+        here[row, close] = _apart(points[candidates[row, close]], points[candidates[row, pick[row]]])
         # squared distances are twice these, so alpha holds for their roots by its square
         alive &= ~(some[:, None] & (alpha * alpha * here <= distance))
         alive[rows, pick] = False
