@@ -74,3 +74,37 @@ _format("orc")
 @R.query("SELECT c_name AS value FROM customer")
 def text_round_trip(spark, sf_dir):
     return round_trip(table(spark, sf_dir, "customer").select(F.col("c_name").alias("value")), "text")
+
+
+def read_permissive(lines: DataFrame, kind: str, schema: str, **options) -> DataFrame:
+    """A column of lines, written as text and read as CSV or JSON: the schema's columns, null where a field cannot be read, and broken, the whole line of such a row (null for a sound one). No row is lost."""
+    path = shared_folder(lines.sparkSession)
+    lines.write.text(path)
+    return lines.sparkSession.read.format(kind).schema(f"{schema}, broken string").options(mode="PERMISSIVE", columnNameOfCorruptRecord="broken", **options).load(path)
+
+
+_DAMAGED = "SELECT o_orderkey, CASE WHEN o_orderkey % 97 <> 0 THEN o_custkey END AS o_custkey, o_orderpriority, o_orderkey % 97 = 0 AS damaged FROM orders"
+
+
+def _damaged_orders(spark: SparkSession, sf_dir: str):
+    """The orders, and their customer as text, which is no number for some."""
+    orders = table(spark, sf_dir, "orders")
+    return orders, F.when(F.col("o_orderkey") % 97 == 0, F.lit("?")).otherwise(F.col("o_custkey").cast("string"))
+
+
+@R.query(_DAMAGED)
+def csv_permissive(spark, sf_dir):
+    orders, customer = _damaged_orders(spark, sf_dir)
+    lines = orders.select(F.concat_ws("|", "o_orderkey", customer, "o_orderpriority").alias("value"))
+    read = read_permissive(lines, "csv", "o_orderkey long, o_custkey long, o_orderpriority string", sep="|")
+    return read.select("o_orderkey", "o_custkey", "o_orderpriority", F.col("broken").isNotNull().alias("damaged"))
+
+
+@R.query(_DAMAGED)
+def json_permissive(spark, sf_dir):
+    orders, customer = _damaged_orders(spark, sf_dir)
+    lines = orders.select(F.to_json(F.struct("o_orderkey", F.when(customer == "?", "?").alias("odd"), "o_custkey", "o_orderpriority")).alias("value"))
+    # the damaged ones have a text where a number is asked for
+    lines = lines.select(F.regexp_replace("value", '"odd":"[?]","o_custkey":[0-9]+', '"o_custkey":"?"').alias("value"))
+    read = read_permissive(lines, "json", "o_orderkey long, o_custkey long, o_orderpriority string")
+    return read.select("o_orderkey", "o_custkey", "o_orderpriority", F.col("broken").isNotNull().alias("damaged"))
