@@ -226,6 +226,13 @@ _SCHEMA = "kind int, block long, place int, pair long, n long, doc_id long, n_a
 _ALIGNERS: dict[tuple[str, str], Aligner] = {}
 
 
+def _aligner(first: str, second: str) -> Aligner:
+    """The worker's own, which outlives a task with all that it knows."""
+    if (first, second) not in _ALIGNERS:
+        _ALIGNERS[first, second] = Aligner(first, second)
+    return _ALIGNERS[first, second]
+
+
 class _Block:
     """Documents whose links are counted together."""
 
@@ -266,9 +273,7 @@ def _align(first: str, second: str, digest: bool, block: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        if (first, second) not in _ALIGNERS:
-            _ALIGNERS[first, second] = Aligner(first, second)
-        aligner = _ALIGNERS[first, second]
+        aligner = _aligner(first, second)
         held = _Block(TaskContext.get().partitionId() << 32)
         for batch in batches:
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
