@@ -27,6 +27,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -41,7 +42,9 @@ from tessera.llm.quality import slices
 
 FIT_ROWS, FIT_BYTES = 600, 16384
 BITS, TEMPER, STRENGTH, LEAST = 16, 0.2, 20.0, 0.5
-BROADCAST, SALTS = 50_000, 32
+BROADCAST, SALTS = 1 << 20, 32
+#: Languages with a dense column, those of most trigrams; entries and scores worked on at once.
+DENSE, PIECE, CELLS = 8, 1 << 20, 1 << 20
 #: Country suffixes that hint at a language. Fixed values.
 COUNTRY = {"de": "de", "at": "de", "fr": "fr", "es": "es", "mx": "es", "ar": "es", "it": "it", "pt": "pt", "br": "pt", "nl": "nl", "pl": "pl", "ru": "ru", "jp": "ja", "cn": "zh", "kr": "ko", "uk": "en", "us": "en", "au": "en", "ie": "en"}
 #: Small letters stay, capitals become small, bytes of other scripts stay, all else is a blank.
@@ -50,24 +53,74 @@ _FOLD[97:123] = _FOLD[65:91] = np.arange(97, 123)
 _FOLD[128:] = np.arange(128, 256)
 
 
+@dataclass
+class Entries:
+    """A sparse table: a start value for each column and, by row, the columns that differ from it and by how much."""
+
+    start: np.ndarray
+    heads: np.ndarray
+    column: np.ndarray
+    delta: np.ndarray
+
+    def add(self, out: np.ndarray, row: np.ndarray, key: np.ndarray) -> None:
+        """Add to out[row[i]] the differences in table row key[i], for all i, row not falling; the start values are left to the caller."""
+        size = self.heads[key + 1] - self.heads[key]
+        some = np.flatnonzero(size)
+        row, key, size = row[some], key[some], size[some]
+        total, low = np.cumsum(size), 0
+        while low < len(row):
+            high = max(low + 1, int(np.searchsorted(total, total[low] - size[low] + PIECE, "right")))
+            part = slice(low, high)
+            first = total[part] - size[part]
+            at = np.repeat(self.heads[key[part]] - first, size[part]) + np.arange(first[0], total[high - 1])
+            top, width = row[low], out.shape[1]
+            cells = (row[high - 1] + 1 - top) * width
+            if cells <= 4 * PIECE:
+                out[top : row[high - 1] + 1] += np.bincount((np.repeat(row[part], size[part]) - top) * width + self.column[at], self.delta[at], cells).reshape(-1, width)
+            else:
+                np.add.at(out, (np.repeat(row[part], size[part]), self.column[at]), self.delta[at])
+            low = high
+
+
+def entries(start: np.ndarray, rows: int, row: np.ndarray, column: np.ndarray, delta: np.ndarray, kind: type) -> Entries:
+    """The table of the given cells, in any order, one for each place at most."""
+    order = np.lexsort((column, row))
+    heads = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=rows))]).astype(np.int64)
+    return Entries(start, heads, column[order].astype(np.int32), delta[order].astype(kind))
+
+
 @dataclass
 class TextModel:
-    """Log-probabilities of hashed trigrams: a row of the table for each, a column per language and a flat one for "und"."""
+    """Log-probabilities of hashed trigrams by language, and a flat one for "und".
+
+    The languages of most trigrams (front) have dense columns, of whole values; all others are in sparse.
+    """
 
     languages: list[str]
-    table: np.ndarray
+    front: np.ndarray
+    dense: np.ndarray
+    sparse: Entries
 
     def likelihoods(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Log-likelihood by row and language, and whether a row has a letter."""
         folded = _FOLD[data]
-        out = np.zeros((len(offsets) - 1, len(self.languages)))
         places, row = trigrams(folded, offsets)
+        out = np.bincount(row, minlength=len(offsets) - 1)[:, None] * self.sparse.start
         if len(row):
             heads = np.flatnonzero(np.diff(row, prepend=-1))
-            for k in range(0, out.shape[1], 8):  # a few languages at once, to bound memory
-                out[row[heads], k : k + 8] = np.add.reduceat(self.table[:, k : k + 8][places], heads, axis=0, dtype=np.float64)
+            out[row[heads][:, None], self.front] = np.add.reduceat(self.dense[places], heads, axis=0, dtype=np.float64)
+            if len(self.sparse.column):
+                self.sparse.add(out, row, places)
         return out, sums_at(folded != 32, offsets) > 0
 
+    @cached_property
+    def table(self) -> np.ndarray:
+        """All values as one array, to look at: a row for each trigram, a column for each language."""
+        out = np.repeat(self.sparse.start[None], 1 << BITS, axis=0)
+        self.sparse.add(out, np.arange(1 << BITS), np.arange(1 << BITS))
+        out[:, self.front] = self.dense
+        return out
+
 
 def trigrams(folded: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The hashed three bytes around each letter (a blank beyond a row's ends), and its row."""
@@ -84,25 +137,55 @@ def trigrams(folded: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     return (hashed[letters] >> np.uint32(32 - BITS)), np.repeat(np.arange(len(size)), size)[letters]
 
 
-def fit(sample: pa.Table) -> TextModel:
-    """Naive Bayes on rows of declared and text, a small constant added to every count; "und" has all trigrams seen alike."""
-    said = sample.column("declared").to_pylist()
-    names = sorted(set(said))
-    at = {x: i for i, x in enumerate(names)}
-    table = np.zeros((1 << BITS, len(names) + 1), np.float32)
-    for whole in sample.append_column("at", pa.array([at[x] for x in said], pa.int64())).to_batches():
+def _count_trigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """declared, place and n of each trigram; a row with place -1 for each language, which may have none."""
+    for whole in batches:
         for batch in slices(whole, 1):
+            said = batch.column(0).dictionary_encode()
             places, row = trigrams(_FOLD[text_bytes(batch.column(1))[0]], text_bytes(batch.column(1))[1])
-            keys, n = np.unique(places.astype(np.int64) * (len(names) + 1) + batch.column(2).to_numpy()[row], return_counts=True)
-            table.reshape(-1)[keys] += n
-    seen = max(1, int(table.any(1).sum()))
-    for i in range(len(names)):
-        counts = table[:, i].astype(np.float64)
-        # with little text the constant is smaller, so that a language of a few words is not likelier than "und" for any text
-        small = min(0.05, max(0.1 * counts.sum(), 1e-6) / (1 << BITS))
-        table[:, i] = np.log((counts + small) / (counts.sum() + small * (1 << BITS)))
-    table[:, -1] = np.log(1 / (8 * seen)) if names else 0.0
-    return TextModel([*names, "und"], table)
+            code = said.indices.to_numpy().astype(np.int64)
+            keys, n = np.unique(np.concatenate([np.arange(len(said.dictionary)) << BITS + 1, (code[row] << BITS + 1) + places + 1]), return_counts=True)
+            place = (keys & (2 << BITS) - 1) - 1
+            yield pa.RecordBatch.from_arrays([said.dictionary.take(pa.array(keys >> BITS + 1)), pa.array(place.astype(np.int32)), pa.array(n.astype(np.int64))], names=["declared", "place", "n"])
+
+
+def fit(sample: DataFrame) -> TextModel:
+    """Naive Bayes on rows of declared and text, a small constant added to every count; "und" has all trigrams seen alike.
+
+    The driver gets a row for each trigram of each language, never texts.
+    """
+    counts = sample.mapInArrow(_count_trigrams, "declared string, place int, n long").groupBy("declared", "place").agg(F.sum("n").alias("n")).toArrow()
+    said = counts.column("declared").combine_chunks().dictionary_encode()
+    said = said.chunk(0) if isinstance(said, pa.ChunkedArray) else said
+    names = sorted(said.dictionary.to_pylist())
+    rank = {x: i for i, x in enumerate(names)}
+    place = counts.column("place").to_numpy()
+    code = np.array([rank[x] for x in said.dictionary.to_pylist()], np.int64)[said.indices.to_numpy()]
+    n, real = counts.column("n").to_numpy().astype(np.float64), place >= 0
+    place, code, n = place[real], code[real], n[real]
+    total = np.bincount(code, n, len(names))
+    # with little text the constant is smaller, so that a language of a few words is not likelier than "und" for any text
+    small = np.minimum(0.05, np.maximum(0.1 * total, 1e-6) / (1 << BITS))
+    whole = total + small * (1 << BITS)
+    flat = np.float32(np.log(1 / (8 * max(1, len(np.unique(place)))))) if names else 0.0
+    start = np.concatenate([np.log(small / whole).astype(np.float32), [flat]]).astype(np.float64)
+    value = np.log((n + small[code]) / whole[code])
+    front = np.sort(np.argsort(-np.bincount(code, minlength=len(names)), kind="stable")[:DENSE])
+    column = np.full(len(names), -1)
+    column[front] = np.arange(len(front))
+    dense = np.repeat(start[front][None].astype(np.float32), 1 << BITS, axis=0)
+    inside = column[code] >= 0
+    dense[place[inside], column[code[inside]]] = value[inside]
+    rest = ~inside
+    return TextModel([*names, "und"], front, dense, entries(start, 1 << BITS, place[rest], code[rest], value[rest] - start[code[rest]], np.float32))
+
+
+def parts(batch: pa.RecordBatch, at_text: int, width: int) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch by bytes of text, and of so few rows that their scores for width languages are few."""
+    for piece in slices(batch, at_text):
+        step = max(1, CELLS // width)
+        for low in range(0, piece.num_rows, step):
+            yield piece.slice(low, step)
 
 
 def declared(html: Column) -> Column:
@@ -131,7 +214,7 @@ def hint_of(url: Column, languages: list[str]) -> Column:
     sub = F.lower(F.regexp_extract(url, r"://([a-zA-Z]{2})\.", 1))
     last = F.lower(F.regexp_extract(url, r"://[^/?#:]*\.([a-zA-Z]{2})(?:[/?#:]|$)", 1))
     country = F.coalesce(*[F.when(last == c, F.lit(lang)) for c, lang in COUNTRY.items()])
-    known = [*languages] or [""]
+    known = [x for x in languages if len(x) == 2] or [""]
     return F.coalesce(F.when(named.isin(known), named), F.when(sub.isin(known), sub), country)
 
 
@@ -140,7 +223,7 @@ def _evidence(rows: DataFrame, model: TextModel) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in slices(whole, 0):
+            for batch in parts(whole, 0, len(model.languages)):
                 data, offsets = text_bytes(batch.column(0))
                 logs, letters = model.likelihoods(data, offsets)
                 best = np.where(letters, np.argmax(logs, 1), len(model.languages) - 1)
@@ -151,50 +234,50 @@ def _evidence(rows: DataFrame, model: TextModel) -> DataFrame:
     return rows.mapInArrow(run, "host string, declared string, hint string, language string, n long")
 
 
-def _shares(counts: DataFrame, level: str | None, languages: list[str]) -> DataFrame:
-    columns = [F.sum(F.when(F.col("language") == x, F.col("n")).otherwise(0)).cast("double").alias(f"n{i}") for i, x in enumerate(languages)]
-    return counts.groupBy(*([level] if level else [])).agg(*columns)
-
-
 def host_priors(counts: DataFrame, languages: list[str], strength: float) -> DataFrame:
-    """host and prior (array of double): each level's counts with its parent's shares as strength more rows."""
-    k = range(len(languages))
-    named = counts.filter("host is not null").groupBy("host", "language").agg(F.sum("n").alias("n"))
+    """host and prior (array of double): each level's counts with its parent's shares as strength more rows.
+
+    Languages are rows until a level's counts are gathered, of which there are as many as languages at most.
+    """
     label = F.split("host", r"\.")
+    at = F.array_position(F.array(*map(F.lit, languages)), F.col("language")) - 1
+    total = {r[0]: float(r[1]) for r in counts.groupBy("language").agg(F.sum("n")).collect()}
+    root = [total.get(x, 0.0) for x in languages]
+    whole = [(x + 1.0) / (sum(root) + len(root)) for x in root]
+    named = counts.filter("host is not null").groupBy("host", at.cast("int").alias("at")).agg(F.sum("n").alias("n"))
     named = named.withColumn("domain", F.array_join(F.slice(label, F.greatest(F.lit(1), F.size(label) - 1), 2), ".")).withColumn("suffix", F.element_at(label, -1))
-    total = [F.sum(F.when(F.col("language") == x, F.col("n")).otherwise(0)).cast("double").alias(f"g{i}") for i, x in enumerate(languages)]
-    root = [float(x or 0) for x in counts.agg(*total).first()]
-    size = sum(root)
-    whole = [(x + 1.0) / (size + len(root)) for x in root]
-
-    def level(name: str, prior: Column, frame: DataFrame) -> DataFrame:
-        own = frame.withColumn("own", F.array(*[F.col(f"n{i}") for i in k]))
-        own = own.withColumn("rows", F.reduce("own", F.lit(0.0), lambda total, x: total + x))
-        return own.select(name, F.zip_with("own", prior, lambda x, p: (x + strength * p) / (F.col("rows") + strength)).alias(f"p_{name}"))
-
-    suffix = level("suffix", F.array(*[F.lit(x) for x in whole]), _shares(named, "suffix", languages))
-    parts = [F.sum(F.when(F.col("language") == x, F.col("n")).otherwise(0)).cast("double").alias(f"n{i}") for i, x in enumerate(languages)]
-    domain = named.groupBy("domain", "suffix").agg(*parts).join(suffix, "suffix")
-    domain = level("domain", F.col("p_suffix"), domain)
-    host = named.groupBy("host", "domain").agg(*parts).join(domain, "domain")
-    return level("host", F.col("p_domain"), host).withColumnRenamed("p_host", "prior")
-
-
-def hint_table(counts: DataFrame, column: str, languages: list[str]) -> dict[str, list[float]]:
-    """log P(hint | language) for each hint that names a language, against no hint at all; of fixed size."""
+
+    def level(name: str, *parent: str) -> DataFrame:
+        own = named.groupBy(name, *parent, "at").agg(F.sum("n").cast("double").alias("n"))
+        return own.groupBy(name, *parent).agg(F.map_from_entries(F.collect_list(F.struct("at", "n"))).alias("own"), F.sum("n").alias("rows"))
+
+    def smooth(frame: DataFrame, name: str, prior: Column) -> DataFrame:
+        value = lambda p, i: (F.coalesce(F.try_element_at("own", i), F.lit(0.0)) + strength * p) / (F.col("rows") + strength)
+        return frame.select(name, F.transform(prior, value).alias(f"p_{name}"))
+
+    suffix = smooth(level("suffix"), "suffix", F.array(*map(F.lit, whole)))
+    domain = smooth(level("domain", "suffix").join(suffix, "suffix"), "domain", F.col("p_suffix"))
+    return smooth(level("host", "domain").join(domain, "domain"), "host", F.col("p_domain")).withColumnRenamed("p_host", "prior")
+
+
+def hint_table(counts: DataFrame, column: str, languages: list[str]) -> tuple[list[str], Entries]:
+    """log P(hint | language) for each hint that names a language, against no hint at all: the hints, and a row for each and one of zeros.
+
+    Collected are the pairs of hint and language that occur, of languages of the model both.
+    """
     known = [x for x in languages if x != "und"]
+    at = {x: i for i, x in enumerate(languages)}
     rows = counts.filter(F.col(column).isin(known or [""])).groupBy(column, "language").agg(F.sum("n").alias("n")).collect()
-    n = {(r[0], r[1]): float(r[2]) for r in rows}
-    out, totals = {}, {x: sum(n.get((h, x), 0.0) for h in known) for x in languages}
-    for hint in known:
-        shares = []
-        for language in languages:
-            total = totals[language]
-            fair = 1 / max(1, len(known))
-            agree = 5.0 if hint == language else 0.0
-            shares.append(float(np.log((n.get((hint, language), 0.0) + agree + 5.0 * fair) / (total + 10.0 - 5.0 * (language == "und")))))
-        out[hint] = shares
-    return out
+    n = {(h, h): 5.0 for h in known}
+    total = np.array([10.0 - 5.0 * (x == "und") for x in languages])
+    for hint, language, seen in rows:
+        n[hint, language] = n.get((hint, language), 0.0) + seen
+        total[at[language]] += seen
+    fair = 5.0 / max(1, len(known))
+    start = np.log(fair / total)
+    hint, language = (np.array([at[pair[k]] for pair in n], np.int64) for k in (0, 1))
+    place = np.searchsorted([at[x] for x in known], hint) if known else hint
+    return known, entries(start, len(known) + 1, place, language, np.log((np.array([*n.values()]) + fair) / fair), np.float64)
 
 
 def train(rows: DataFrame, languages: list[str] | None = None, fit_rows: int = FIT_ROWS) -> TextModel:
@@ -202,11 +285,12 @@ def train(rows: DataFrame, languages: list[str] | None = None, fit_rows: int = F
     counts = rows.filter("declared rlike '^[a-z]{2,3}$' and declared != 'und'").groupBy("declared").count()
     if languages is not None:
         counts = counts.filter(F.col("declared").isin(languages or [""]))
-    share = [(r["declared"], min(1.0, 1.5 * fit_rows / r["count"])) for r in counts.collect()]
-    chance = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for pair in share for x in pair]), F.col("declared")), F.lit(0.0)) if share else F.lit(0.0)
+    # at most as many rows as there are codes of two or three letters
+    chance = F.broadcast(counts.select("declared", F.least(F.lit(1.0), 1.5 * fit_rows / F.col("count")).alias("chance")))
     part = F.substring(F.col("text").cast("binary"), 1, FIT_BYTES).cast("string")
     place = F.pmod(F.xxhash64("text"), F.lit(1 << 40)) / F.lit(float(1 << 40))
-    return fit(rows.filter("text is not null").filter(place < chance).select("declared", part.alias("text")).distinct().toArrow())
+    prepare(rows.sparkSession)
+    return fit(rows.filter("text is not null").join(chance, "declared").filter(place < F.col("chance")).select("declared", part.alias("text")).distinct())
 
 
 def identify(docs: DataFrame, text: str | Column = "text", declared: str | Column | None = None, url: str | Column | None = None, host: str | Column | None = None, model: TextModel | None = None, temper: float = TEMPER, strength: float = STRENGTH, least: float = LEAST) -> DataFrame:
@@ -226,27 +310,29 @@ def identify(docs: DataFrame, text: str | Column = "text", declared: str | Colum
     priors = host_priors(counts, names, strength).select(F.col("host").alias(at_host), F.col("prior").alias(at_prior))
     hosts = counts.select("host").distinct().count()
     full = docs.withColumns({at_text: text, at_said: said, at_hint: hint, at_host: host})
-    if hosts <= BROADCAST:
+    if hosts * len(names) <= BROADCAST:
         full = full.join(F.broadcast(priors), at_host, "left")
     else:
         salted = priors.withColumn(at_salt, F.explode(F.array(*[F.lit(i) for i in range(SALTS)])))
         full = full.withColumn(at_salt, F.pmod(F.xxhash64(at_text), F.lit(SALTS)).cast("int")).join(salted, [at_host, at_salt], "left")
     full = full.select(*docs.columns, at_text, at_said, at_hint, at_prior)
-    # a row of each for every value, the last for none
-    evidence = [(pa.array(list(t), pa.string()), np.array([*t.values(), [0.0] * len(names)])) for t in tables]
+    evidence = [(pa.array(hints, pa.string()), table) for hints, table in tables]
     n, found = len(docs.columns), fresh(docs, "language", "confidence", "text_language", "kept")
     kinds = [T.StringType(), T.DoubleType(), T.StringType(), T.BooleanType()]
     schema = T.StructType([*[T.StructField(f"c{i}", f.dataType) for i, f in enumerate(docs.schema.fields)], *[T.StructField(f"d{i}", k) for i, k in enumerate(kinds)]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in slices(whole, n):
+            for batch in parts(whole, n, len(names)):
                 data, offsets = text_bytes(batch.column(n))
                 logs, letters = model.likelihoods(data, offsets)
                 first = np.argmax(logs, 1)
                 post = temper * logs
-                for (values, logs_), j in zip(evidence, (1, 2), strict=True):
-                    post += logs_[pc.fill_null(pc.index_in(batch.column(n + j), value_set=values), len(values)).to_numpy(zero_copy_only=False)]
+                every = np.arange(batch.num_rows)
+                for (values, table), j in zip(evidence, (1, 2), strict=True):
+                    key = pc.fill_null(pc.index_in(batch.column(n + j), value_set=values), len(values)).to_numpy(zero_copy_only=False)
+                    post[key < len(values)] += table.start
+                    table.add(post, every, key)
                 prior = batch.column(n + 3)
                 post[prior.is_valid().to_numpy(zero_copy_only=False)] += np.log(prior.flatten().to_numpy(zero_copy_only=False)).reshape(-1, len(names))
                 post = np.exp(post - post.max(1, keepdims=True))

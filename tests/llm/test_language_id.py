@@ -164,3 +164,59 @@ def test_posterior_against_plain_python(spark, model):
             assert r["kept"] == (names[best] != "und" and post[best] >= L.LEAST)
         else:
             assert r["language"] == "und" and not r["kept"]
+
+
+def _with_junk(spark, codes):
+    """Documents, and two short rows for each of many codes that stand for no language."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text", F.col("lang").alias("said"), F.col("source").alias("host"))
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    names = [a + b + c for a in "qxz" for b in letters for c in letters][:codes]
+    rng = np.random.default_rng(3)
+    junk = [(" ".join("".join(rng.choice(list(letters), 6)) for _ in range(12)), x, f"h{i % 90}.example.{x}") for i, x in enumerate(names) for _ in range(2)]
+    return docs, docs.union(spark.createDataFrame(junk, docs.schema))
+
+
+def test_a_thousand_junk_codes_take_little(spark):
+    L.prepare(spark)
+    docs, full = _with_junk(spark, 1000)
+    model = L.train(full.select("text", F.col("said").alias("declared")))
+    assert len(model.languages) == 1005
+    assert sum(x.nbytes for x in (model.dense, model.sparse.heads, model.sparse.column, model.sparse.delta)) < 8 << 20
+    found = L.identify(full, "text", "said", host="host", model=model)
+    # no expression for each code (but for the literal lists of codes)
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("CASE WHEN") < 50
+    real = found.filter("length(said) = 2 and text rlike '[a-z]'").select("said", "language", "kept").collect()
+    assert np.mean([r["said"] == r["language"] and r["kept"] for r in real]) > 0.98
+
+
+def test_sparse_tables_hold_what_dense_ones_do(spark, monkeypatch):
+    import pyarrow as pa
+
+    from tessera.llm.kernels import text_bytes
+
+    L.prepare(spark)
+    _, full = _with_junk(spark, 40)
+    rows = full.select("text", F.col("said").alias("declared"))
+    texts = [r[0] for r in full.filter("length(text) < 4000").select("text").limit(200).collect()] + ["", "!! 1", "é" * 70]
+    data, offsets = text_bytes(pa.array(texts))
+    found = []
+    for dense, piece in ((0, 1 << 20), (0, 50), (8, 1 << 20), (1000, 1 << 20)):
+        monkeypatch.setattr(L, "DENSE", dense)
+        monkeypatch.setattr(L, "PIECE", piece)
+        model = L.train(rows)
+        logs, letters = model.likelihoods(data, offsets)
+        places, row = L.trigrams(L._FOLD[data], offsets)
+        plain = np.zeros_like(logs)
+        np.add.at(plain, row, model.table[places])
+        assert np.allclose(logs, plain, rtol=1e-6, atol=1e-6)
+        found.append((model.languages, logs, letters))
+    for names, logs, letters in found[1:]:
+        assert names == found[0][0] and np.allclose(logs, found[0][1], rtol=1e-5, atol=1e-3) and (letters == found[0][2]).all()
+
+
+def test_parts_bound_the_scores(spark, model, monkeypatch):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text", "lang", "source")
+    found = lambda: sorted(map(str, L.identify(docs, "text", "lang", None, "source", model=model).drop("text").collect()))
+    one = found()
+    monkeypatch.setattr(L, "CELLS", 1)
+    assert found() == one
