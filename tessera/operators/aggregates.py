@@ -1,5 +1,6 @@
 """Aggregations: grouped, distinct, grouping sets, statistics, percentiles and sketches."""
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.registry import Registry
@@ -97,6 +98,23 @@ def approximate_distinct(spark, sf_dir):
     return table(spark, sf_dir, "lineitem").groupBy("l_returnflag").agg(F.approx_count_distinct("l_partkey", 0.02).alias("parts"))
 
 
+def distinct_estimates(rows: DataFrame, by: str, item: str, errors: list[float]) -> DataFrame:
+    """For each value of by (null is one): exact, the number of distinct items, and for each standard error allowed whether the estimate is within four of it (within_0, within_1, ...).
+
+    The pairs are made distinct first, for the exact number; what estimates see is the same with their repeats gone.
+    Null items count nowhere; a group of nothing else has 0 and keeps every bound.
+    """
+    exact = F.count(F.col(item))
+    near = [(F.abs(F.approx_count_distinct(item, e) - exact) <= F.lit(4 * e) * exact + 1).alias(f"within_{i}") for i, e in enumerate(errors)]
+    return rows.select(by, item).distinct().groupBy(by).agg(exact.alias("exact"), *near)
+
+
+@R.query("SELECT l_suppkey, count(DISTINCT l_partkey) AS exact, true AS within_0, true AS within_1 FROM lineitem GROUP BY l_suppkey")
+def approximate_distinct_bounds(spark, sf_dir):
+    """Every supplier's distinct parts, and whether estimates of two precisions keep their bounds."""
+    return distinct_estimates(table(spark, sf_dir, "lineitem"), "l_suppkey", "l_partkey", [0.05, 0.02])
+
+
 @R.query()
 def sketches(spark, sf_dir):
     """Mergeable sketches: distinct counts by HLL and theta, quantiles."""

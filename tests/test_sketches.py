@@ -54,3 +54,13 @@ def test_count_min_is_never_too_low(spark):
     # the bound e / cells of all rows holds for all but e ** -depth of them
     over = [found["g", i] - n > 2.72 / 256 * 20_000 for i, n in true.items()]
     assert sum(over) <= 0.05 * len(over)
+
+
+def test_distinct_estimates_edges(spark):
+    from tessera.operators.aggregates import distinct_estimates
+
+    rows = [("a", i % 700) for i in range(2000)] + [("b", None), ("b", None), (None, 1), (None, 1), ("c", 5), ("c", None)]
+    df = spark.createDataFrame(rows, "k string, v int")
+    found = {r["k"]: tuple(r)[1:] for r in distinct_estimates(df, "k", "v", [0.05, 0.01]).collect()}
+    assert found == {"a": (700, True, True), "b": (0, True, True), None: (1, True, True), "c": (1, True, True)}
+    assert distinct_estimates(df.limit(0), "k", "v", [0.05]).count() == 0
