@@ -75,9 +75,14 @@ def order_statistics(df: DataFrame, keys: list[str], value: str, wanted: DataFra
     return found.select(*[F.col(n).alias(k) for n, k in zip(named, keys, strict=True)], F.col("_rank").alias("rank"), F.col("_value").alias("value"))
 
 
-def exact_quantiles(df: DataFrame, keys: list[str], value: str, shares: list[float]) -> DataFrame:
-    """keys, n (values that count) and q0, q1, ... for the shares, interpolated between neighbours."""
-    counted = df.filter(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double"))).groupBy(*keys).agg(F.count("*").alias("n"))
+def exact_quantiles(df: DataFrame, keys: list[str], value: str, shares: list[float], whole: bool = False) -> DataFrame:
+    """keys, n (values that count) and q0, q1, ... for the shares, interpolated between neighbours.
+
+    With whole, NaN counts as the greatest value, as in SQL, and a group without values has n 0 and nulls.
+    """
+    nan = F.isnan(F.col(value).cast("double"))
+    rows = df if whole else df.filter(F.col(value).isNotNull() & ~nan)
+    counted = rows.groupBy(*keys).agg(F.count(value).alias("n"), F.count_if(F.col(value).isNotNull() & ~nan).alias("numbers"))
     counted = _written(counted)
     place = lambda q: F.lit(q) * (F.col("n") - 1)
     ranks = F.array_distinct(F.array(*[c for q in shares for c in (F.floor(place(q)), F.ceil(place(q)))]))
@@ -87,12 +92,13 @@ def exact_quantiles(df: DataFrame, keys: list[str], value: str, shares: list[flo
     on = F.lit(True)
     for k in keys:
         on = on & counted[k].eqNullSafe(maps[k])
-    both = counted.join(maps, on).select(*[counted[k] for k in keys], "n", "at")
+    both = counted.join(maps, on, "left").select(*[counted[k] for k in keys], "n", "numbers", "at")
 
     def quantile(q: float):
-        low, high = F.element_at("at", F.floor(place(q))), F.element_at("at", F.ceil(place(q)))
+        at = lambda rank: F.when(rank < F.col("numbers"), F.try_element_at("at", rank)).otherwise(F.lit(float("nan")))
+        low, high = at(F.floor(place(q))), at(F.ceil(place(q)))
         part = place(q) - F.floor(place(q))
-        return F.when(low == high, low).otherwise(low * (1 - part) + high * part)
+        return F.when(F.col("n") > 0, F.when(low == high, low).otherwise(low * (1 - part) + high * part))
 
     return both.select(*keys, "n", *[quantile(q).alias(f"q{i}") for i, q in enumerate(shares)])
 

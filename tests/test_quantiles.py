@@ -62,3 +62,20 @@ def test_empty(spark):
     df = spark.createDataFrame([("a", None), ("b", math.nan)], "k string, v double")
     assert quantiles.exact_quantiles(df, ["k"], "v", [0.5]).count() == 0
     assert quantiles.exact_quantiles(df.limit(0), ["k"], "v", [0.5]).count() == 0
+
+
+def test_percentiles_hold_no_group(spark, tmp_path):
+    """No task gets a group's values; NaN and groups without values are as in SQL."""
+    from tessera import catalogue
+    from tests.oracle import connect, differences
+
+    rows = [("a", float(i * 7 % 101) / 8) for i in range(50)] + [("b", None), (None, 2.5), (None, 3.25), ("c", math.nan), ("c", 1.0), ("c", 2.0), ("d", None), ("d", math.nan), ("d", 4.0), ("e", math.inf), ("e", 1.0), ("e", 0.5)]
+    spark.createDataFrame(rows, "l_returnflag string, l_extendedprice double").coalesce(1).write.parquet(f"{tmp_path}/t")
+    (next((tmp_path / "t").glob("*.parquet"))).rename(tmp_path / "lineitem.parquet")
+    found = catalogue.queries()["percentiles"](spark, str(tmp_path))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "percentile(" not in plan and "median(" not in plan
+    # NaN equals nothing, so it is compared as a great number
+    told = "SELECT l_returnflag, if(isnan(quarter), 1e300, quarter) AS quarter, if(isnan(middle), 1e300, middle) AS middle FROM "
+    mine = found.selectExpr("l_returnflag", "if(isnan(quarter), 1e300D, quarter) quarter", "if(isnan(middle), 1e300D, middle) middle")
+    assert not differences(mine, connect(str(tmp_path)), f"{told} ({catalogue.oracle_sql()['percentiles']})")
