@@ -56,3 +56,67 @@ def test_kinds_are_forgotten(spark, tmp_path):
 
     assert told("a", 3_600_000, 0) == [(1, 1), (2, 4)]
     assert told("b", 500, 1.5) == [(1, 1), (1, 3), (2, 4)]
+
+
+class _Counting:
+    """A handle whose state is plain Python, which counts the calls to it."""
+
+    def __init__(self):
+        self.calls, self.rows, self.pairs, self.timers = 0, [], {}, set()
+
+    def _called(self, out=None):
+        self.calls += 1
+        return out
+
+    def getListState(self, name, schema):
+        return self
+
+    def getMapState(self, name, *_):
+        return self
+
+    exists = lambda self: self._called(bool(self.rows))
+    get = lambda self: iter(self._called(list(self.rows)))
+    iterator = lambda self: iter(self._called([(k, v) for k, v in self.pairs.items()]))
+
+    def put(self, rows):
+        self.rows = self._called(list(rows))
+
+    def clear(self):
+        self.rows = self._called([])
+
+    def updateValue(self, k, v):
+        self.pairs[k] = self._called(v)
+
+    def removeKey(self, k):
+        self._called(self.pairs.pop(k, None))
+
+    def registerTimer(self, t):
+        self._called(self.timers.add(t))
+
+    def deleteTimer(self, t):
+        self._called(self.timers.discard(t))
+
+    def getCurrentWatermarkInMs(self):
+        return self.passed
+
+
+def test_sessions_take_few_calls_to_the_state():
+    """Two batches of 500 sessions of a key, then the watermark closes all but the last."""
+    import pandas as pd
+
+    from tessera.streaming.state import Sessions
+
+    handle, gap = _Counting(), 1_000_000
+    sessions = Sessions(gap)
+    sessions.init(handle)
+    at = [i * 10 * gap for i in range(1000)]
+    for part in (at[::2], at[1::2]):
+        list(sessions.handleInputRows((1,), iter([pd.DataFrame({"at": part + [x + gap // 2 for x in part], "kind": ["a"] * 500 + [None] * 500})]), handle))
+    handle.passed, told = at[-1] // 1000, []
+    while due := sorted(t for t in handle.timers if t <= handle.passed):
+        handle.timers.discard(due[0])
+        told += [f for f in sessions.handleExpiredTimer((1,), handle, None)]
+    rows = pd.concat(told)
+    assert sorted(rows["opening"]) == at[:-1] and set(rows["n"]) == {2} and set(rows["kinds"]) == {2}
+    assert [tuple(r)[:3] for r in handle.rows] == [(at[-1], at[-1] + gap // 2, 2)] and len(handle.timers) == 1
+    assert handle.calls < 20
